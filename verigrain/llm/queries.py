@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verigrain.llm.columns import ascii_lower, text_or_empty
 from verigrain.llm.exact_dedup import exact_dedup
+from verigrain.llm.fingerprints import fingerprint_with_next
+from verigrain.llm.langid import identify_language, train_language_model
+from verigrain.llm.licenses import scan_licenses
 from verigrain.llm.line_dedup import line_dedup
 from verigrain.llm.mixing import mix_sources
+from verigrain.llm.packing import pack_documents
+from verigrain.llm.quality import classify_quality, train_quality_model
+from verigrain.llm.sampling import crc_fold
+from verigrain.llm.toxicity import classify_toxicity, train_toxicity_model
 
 #: Production mix: target shares of characters. ``*`` is every source not named.
 MIX_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05, "*": 0.55}
@@ -30,13 +37,56 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), carry={"text_sha256": digest})
 
 
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def _held_out(folds: int, held_out: int) -> Column:
+    return F.coalesce(crc_fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = train_quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify_quality(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_next(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = train_toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify_toxicity(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train_language_model(docs, crc_fold("doc_id", 4) != 2)
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", _held_out(4, 2), "lang_pred", "score", "ambiguous")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pack_sequences": op2_pack_sequences,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_toxicity": op7_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
