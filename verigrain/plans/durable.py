@@ -20,6 +20,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder now and continue from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder now and continue from the written copy.
+
+    A checkpoint also remembers the size that the planner had estimated, and a join multiplies the sizes of its
+    sides: in a loop the number of digits doubles from round to round until planning takes longer than running.
+    So the written rows are wrapped anew, without an estimate.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    written = df.checkpoint(eager=True)._jdf
+    rows = written.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, written.schema(), False), spark)
