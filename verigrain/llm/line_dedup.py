@@ -11,32 +11,38 @@ tokens or shuffled; a fixed-size bitmap of those leaves filters the others in th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigrain.llm.columns import bitmap_of, free_name, text_or_empty, with_bitmap_flag
 from verigrain.plans.durable import durable
 
 VARIABLE = "<*>"
-BLANKS = "[\\x09\\x0b\\x0c\\x0d ]+"
-
-
-def masked_line(line: Column) -> Column:
-    """Blanks folded and trimmed; each token that holds a digit replaced by the variable mark."""
-    folded = F.trim(F.when(line.rlike("[\\x09\\x0b\\x0c\\x0d]|  "), F.regexp_replace(line, BLANKS, " ")).otherwise(line))
-    return F.when(folded.rlike("[0-9]"), F.regexp_replace(folded, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(folded)
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """One row per line that is not blank: row_id, text_key, pos (from 0), masked, n_tokens, leaf."""
-    text = text_or_empty(text_col)
-    lines = docs.select(
-        F.col(id_col).alias("row_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")
+    """One row per line that is not blank: row_id, text_key, pos (from 0), masked, n_tokens, leaf.
+
+    masked has blanks folded and trimmed, and the variable mark for each token that holds a digit. Both are done
+    on the whole text, and only where it has something to fold or mask.
+    """
+    text = F.col("text")
+    uneven = F.lit(False)
+    for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        uneven = uneven | F.contains(text, F.lit(blank))
+    folded = F.when(uneven, F.regexp_replace(text, "[\\x09\\x0b\\x0c\\x0d ]+", " ")).otherwise(text)
+    marked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", VARIABLE)).otherwise(text)
+    lines = (
+        docs.select(F.col(id_col).alias("row_id"), text_or_empty(text_col).alias("text"))
+        .select("row_id", F.xxhash64("text").alias("text_key"), folded.alias("text"))
+        .select("row_id", "text_key", marked.alias("text"))
+        .select("row_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("row_id", "text_key", "pos", F.trim("line").alias("masked"))
+        .where("masked <> ''")
     )
-    lines = lines.withColumn("masked", masked_line(F.col("line"))).where("masked <> ''")
     n_tokens = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
     leaf = F.xxhash64("n_tokens", F.substring_index("masked", " ", depth))
-    return lines.withColumn("n_tokens", n_tokens).withColumn("leaf", leaf).drop("line")
+    return lines.withColumn("n_tokens", n_tokens).withColumn("leaf", leaf)
 
 
 def line_dedup(
