@@ -14,6 +14,7 @@ from verigrain.llm.langid import identify_language, train_language_model
 from verigrain.llm.licenses import scan_licenses
 from verigrain.llm.line_dedup import line_dedup
 from verigrain.llm.mixing import mix_sources
+from verigrain.llm.ngram_join import ngram_jaccard_join
 from verigrain.llm.packing import pack_documents
 from verigrain.llm.quality import classify_quality, train_quality_model
 from verigrain.llm.sampling import crc_fold
@@ -68,6 +69,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(docs, model).select("doc_id", _held_out(3, 1), "score", "predicted")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_language_model(docs, crc_fold("doc_id", 4) != 2)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_fingerprint": op6_fingerprint,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
@@ -120,6 +126,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, n::INT AS n_copies,
                ('0x' || substr(md5('{MIX_SEED} order|' || doc_id || '|' || copy), 1, 15))::BIGINT AS shuffle_key
         FROM drawn, LATERAL (SELECT unnest(range(1, n + 1)) AS copy)""",
+    "op8_ngram_join": f"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        grams AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+        sizes AS (SELECT doc_id, count(g) AS n FROM d LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+        pairs AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+          FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (
+          SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        reach AS (
+          SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT doc_id, n::BIGINT AS n_shingles, component_id
+        FROM sizes JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)""",
     "op10_line_dedup": """
         WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         lines AS (
