@@ -6,6 +6,9 @@ names none (unit tests) is a folder of our own used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 OWN_FOLDER = "/tmp/checkpoints/verigrain"
@@ -30,4 +33,27 @@ def durable(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     written = df.checkpoint(eager=True)._jdf
     rows = written.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, written.schema(), False), spark)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, written.schema(), False), spark)
+    out._checkpoint = written.logicalPlan().rdd().getCheckpointFile()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the written copy of a ``durable`` table that nothing will read again, before Spark would."""
+    file = df._checkpoint
+    if file.isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans that are run inside send at most so many rows to Python at once; long texts then need less memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
