@@ -118,7 +118,7 @@ def plain_line_dedup(rows, depth=3, min_docs=10, min_tokens=3, min_constant=0.8)
 
 def test_line_dedup(spark, small, odd):
     planted = [
-        (i, f"Own words number {i} here only for this\nShare this page with {i}{i} of your friends today\n  Cookies   are\tused here \nshort\n" + "long passage of words " * 20)
+        (i, f"Own{chr(97 + i)} words{chr(97 + i)} here only for this\nShare this page with {i}{i} of your friends today\n  Cookies   are\tused here \nshort\n" + "long passage of words " * 20)
         for i in range(15)
     ]
     planted += [(100 + i, "alone a b c d e\nCookies are used here") for i in range(3)] + [(200, "Share this page now please do it all again")]
@@ -130,5 +130,5 @@ def test_line_dedup(spark, small, odd):
             got = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup(docs, **options).collect())
             assert got == sorted((str(i), want[i, t or ""]) for i, t in rows)
     kept = {r["doc_id"]: r for r in line_dedup(made).collect()}
-    assert kept[0]["n_dropped"] == 0 and kept[1]["text"].startswith("Own words number 1 here") and "Share" not in kept[1]["text"]
+    assert kept[0]["n_dropped"] == 0 and kept[1]["text"].startswith("Ownb wordsb here") and "Share" not in kept[1]["text"]
     assert "Cookies" not in kept[101]["text"] and kept[101]["text"].startswith("alone") and "Share" in kept[200]["text"]
