@@ -60,7 +60,7 @@ def test_machine_learns_what_addition_cannot():
     texts, label = [], []
     for _ in range(1500):
         a, b = rng.random(2) < 0.5
-        texts.append(np.unique(np.concatenate([[1] * a, [2] * b, rng.choice(np.arange(10, 16), 2)])).astype(np.int64))
+        texts.append(np.unique(np.concatenate([[1] * int(a), [2] * int(b), rng.choice(np.arange(10, 16), 2)])).astype(np.int64))
         label.append(int(a and b))
     model = fit_machine(texts, np.array(label), 1e9, 0.0, 400, 1)
     right = [(model.margin(t) > 0) == bool(y) for t, y in zip(texts, label, strict=True)]
