@@ -11,10 +11,13 @@ sequences. The pieces find their own rank and read their place from those ranges
 from __future__ import annotations
 
 import bisect
+import functools
+import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,86 +25,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from verigrain.llm.textkit import as_bytes, slices
+from verigrain.llm.textkit import ROWS_AT_A_TIME, as_bytes
 from verigrain.plans.durable import durable
 
 CAPACITY = 4096
 #: A length may belong to a third of all pieces; its ranks are counted in so many shares.
 RANK_SHARES = 256
-PIECE = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint{}>>"
+
+
+_BORDER = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z])")
+
+
+@functools.cache
+def chunk_tokens(path: str) -> ChunkTokens:
+    """One table for all tasks of a Python worker."""
+    return ChunkTokens(path)
 
 
 class ChunkTokens:
-    """Token ids of texts, from a table of blank-separated chunks that the tokenizer has already seen.
+    """Token ids of texts (as little-endian 32-bit bytes), from a table of the chunks that were seen before.
 
-    The tokenizer's pattern never crosses white space, so a text's ids are its chunks' ids in order. Ids live in
-    one flat array; the table is emptied when it holds ``limit`` chunks, which changes no result.
+    The tokenizer's pattern never crosses white space, nor the border between an ASCII letter and an ASCII mark
+    other than the apostrophe, and it lower-cases. So a text's ids are those of its lower-cased blank-separated
+    chunks in order, and a new chunk's are those of the parts between its borders. Texts that may hold a special
+    token keep their case, and chunks that may are not divided. The table is emptied when it holds ``limit``
+    chunks, which changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        for e, chunk in zip(self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), chunks, strict=True):
-            ids, row = e.ids, len(self.rows)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if row == len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[row], self.size[row], self.rows[chunk] = self.used, len(ids), row
-            self.used += len(ids)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        chunks = list(chain.from_iterable(split))
-        if len(self.rows) > self.limit:
-            self.forget()
-        if new := set(chunks) - self.rows.keys():
-            self.learn(list(new))
-        rows = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[rows]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        after = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(after[:-1], after[1:], strict=True)]
+        self.table: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: set[bytes]) -> None:
+        parts = {c: [c] if b"<|" in c else _BORDER.split(c) for c in chunks}
+        new = list({p for ps in parts.values() for p in ps} - self.table.keys())
+        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        pack = struct.pack
+        self.table.update((p, pack(f"<{len(ids)}I", *ids)) for p, ids in zip(new, (e.ids for e in encoded), strict=True))
+        get = self.table.__getitem__
+        self.table.update((c, b"".join(map(get, ps))) for c, ps in parts.items() if len(ps) > 1)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.table) > self.limit:
+            self.table.clear()
+        if new := set().union(*split) - self.table.keys():
+            self.learn(new)
+        get = self.table.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32 and, if asked for, ids (array<int>)."""
-    kind = PIECE.format(",ids:array<int>" if with_ids else "")
-
-    @arrow_udf(kind)
-    def cut(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = ChunkTokens(tokenizer_path)
-        for texts in columns:
-            out = []
-            for some in slices(texts):
-                for ids in coder.encode(as_bytes(some)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    pieces = []
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        row = {"piece": k, "start": at, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes())}
-                        pieces.append(row | {"ids": part.astype(np.int32)} if with_ids else row)
-                    out.append(pieces)
-            yield pa.array(out[: len(texts)], _arrow(with_ids))
-
-    found = docs.select(F.col(id_col), F.explode(cut(F.col(text_col).cast("string"))).alias("p"))
-    return found.select(id_col, "p.*")
-
-
-def _arrow(with_ids: bool) -> pa.DataType:
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    return pa.list_(pa.struct(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else [])))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"row_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
+
+    # Not a column function under an explode: the planner would copy it into a filter and so tokenize twice.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end = chunk_tokens(tokenizer_path), struct.pack("<I", end_id)
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                some, rows = batch.slice(at, ROWS_AT_A_TIME), []
+                for k, ids in enumerate(coder.encode(as_bytes(some.column(1)))):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        row = (k, piece, start // 4, len(part) // 4, zlib.crc32(part))
+                        rows.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
+                owner, *columns = zip(*rows, strict=True)
+                arrays = [some.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+
+    found = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text_")).mapInArrow(cut, schema)
+    return found.withColumnRenamed("row_id", id_col)
 
 
 def plan_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
