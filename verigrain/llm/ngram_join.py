@@ -23,20 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from verigrain.llm.columns import bitmap_of, with_bitmap_flag
 from verigrain.llm.textkit import HashOf, as_bytes
 from verigrain.operators.components import connected_components
-from verigrain.plans.durable import durable
+from verigrain.plans.durable import batches_of, discard, durable
 
 _U = np.uint64
 _ODD = tuple(map(_U, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)))
-DOCS_AT_A_TIME = 4096
-PIVOT_ROUNDS = 3
-_SIG_BITS = 46
+DOCS_AT_A_TIME = 256
+CLASSES_AT_A_TIME, SIGNATURES_AT_A_TIME = 1 << 10, 400_000
+PIVOT_ROUNDS = 4
+BATCH_ROWS = 2000
+#: Beside the bin, which the leading bits choose: bins grow with the input, so chance meetings in a bin stay rare.
+_SIG_BITS = 36
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,7 +53,7 @@ class Shingles:
     """Sorted distinct hashes of a text's word n-grams; of all its words if they are fewer than n."""
 
     def __init__(self, n: int):
-        self.n, self.hash = n, HashOf()
+        self.n, self.hash = n, HashOf(limit=200_000)
 
     def __call__(self, text: bytes) -> np.ndarray:
         h = self.hash.all(text.lower().split())
@@ -112,7 +115,7 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, lis
         place = segment[starts] + _U(pool) * _U(1 << 40)
         sums = np.add.reduceat(weight, starts)
         found.append(mix(sums ^ mix(place)))
-        kinds.append(np.full(len(starts), kind))
+        kinds.append(np.full(len(starts), kind, np.uint8))
         slack[kind] = max(len(starts) - differ - 1, 0)
         if len(starts) > differ:
             continue
@@ -124,64 +127,82 @@ def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, lis
         if len(starts) + int((sizes > 1).sum()) <= differ:
             short.append(mix(weight ^ mix(np.full(len(s), _U(pool) + _U(1 << 61)))))
         found += short
-        kinds.append(np.full(sum(map(len, short)), 2))
+        kinds.append(np.full(sum(map(len, short)), 2, np.uint8))
     return np.concatenate(found), np.concatenate(kinds), slack
 
 
-_CLASS = "struct<size:bigint,ka:bigint,kb:bigint>"
-
-
-def document_classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """row_id, size (distinct n-grams), ka and kb (the class of equal sets) of every document."""
-
-    @arrow_udf(_CLASS)
-    def classify(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        shingles = Shingles(n)
-        for texts in columns:
-            rows = [(len(s), *class_key(s)) for s in map(shingles, as_bytes(texts))]
-            size, ka, kb = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (size, ka, kb)], ["size", "ka", "kb"])
-
-    return docs.select(F.col(id_col).alias("row_id"), classify(F.col(text_col).cast("string")).alias("c")).select("row_id", "c.*")
-
-
-def packed_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, bins: int) -> DataFrame:
-    """All signatures, a batch's share of a bin packed into one row: bin, entries, keys, slack."""
+def bin_keys(spark: SparkSession, bins: int) -> list[int]:
+    """A number for each bin that Spark's hash deals to the bin's own partition."""
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(bins))
+    found = spark.range(bins * 40 + 1000).groupBy(part.alias("part")).agg(F.min("id").alias("key")).collect()  # one row for each bin
+    keys = {r["part"]: r["key"] for r in found}
+    return [keys.get(b, bins * 40 + 1000 + b) for b in range(bins)]
+
+
+def _packed(held: list[tuple[int, np.ndarray, np.ndarray, list[int]]], keys_of_bins: list[int]) -> list[tuple[int, bytes, bytes, bytes]]:
+    """A row for each bin: its signatures with kind and owner (six bytes each), and the owners' keys and allowances."""
+    bins = len(keys_of_bins)
+    keys, slacks = np.array([h[0] for h in held], np.int64), np.minimum([h[3] for h in held], 0xFFFF).astype(np.uint16)
+    sig = np.concatenate([h[1] for h in held])
+    who = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h[1]) for h in held])
+    kind = np.concatenate([h[2] for h in held])
+    into = ((sig >> _U(48)) * _U(bins) >> _U(16)).astype(np.uint16)
+    order = np.argsort(into, kind="stable")
+    cuts = np.searchsorted(into[order], np.arange(bins + 1))
+    out = []
+    for b in range(bins):
+        part = order[cuts[b] : cuts[b + 1]]
+        if len(part):
+            used, local = np.unique(who[part], return_inverse=True)
+            entry = (sig[part] & _U((1 << _SIG_BITS) - 1)) << _U(12) | kind[part].astype(_U) << _U(10) | local.astype(_U)
+            six = np.ascontiguousarray(entry.view(np.uint8).reshape(-1, 8)[:, :6])
+            out.append((keys_of_bins[b], six.tobytes(), keys[used].tobytes(), slacks[used].tobytes()))
+    return out
+
+
+def packed_signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands, bins: list[int]) -> DataFrame:
+    """Two kinds of rows from one reading of the texts.
+
+    With bin -1: row_id, size (distinct n-grams), ka and kb (the class of equal sets) of every document. With a bin
+    from 0 on: all signatures that a batch's classes have in that bin, packed into entries, keys and slack.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for batch in batches:
+            schema = pa.schema([
+                ("bin", pa.int32()), ("entries", pa.binary()), ("keys", pa.binary()), ("slack", pa.binary()),
+                ("row_id", batch.schema.field(0).type), ("size", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()),
+            ])
+
+            def made(columns: dict, schema: pa.Schema = schema) -> pa.RecordBatch:
+                rows = len(next(iter(columns.values())))
+                return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+            held, count, seen, classes = [], 0, set(), []
             for at in range(0, batch.num_rows, DOCS_AT_A_TIME):
-                keys, slacks, sigs, kinds, owner, seen = [], [], [], [], [], set()
-                for text in as_bytes(batch.column(0).slice(at, DOCS_AT_A_TIME)):
+                for text in as_bytes(batch.column(1).slice(at, DOCS_AT_A_TIME)):
                     s = shingles(text)
-                    if not len(s) or bands.lonely(len(s)) or (key := class_key(s)[0]) in seen:
+                    key = class_key(s)
+                    classes.append((len(s), *key))
+                    if not len(s) or bands.lonely(len(s)) or key in seen:
                         continue
                     seen.add(key)
-                    sig, kind, slack = signatures(s, bands)
-                    sigs.append(sig)
-                    kinds.append(kind.astype(_U))
-                    owner.append(np.full(len(sig), len(keys), np.uint16))
-                    keys.append(key)
-                    slacks.append(slack)
-                if not keys:
-                    continue
-                sig, kind, who = np.concatenate(sigs), np.concatenate(kinds), np.concatenate(owner)
-                into = ((sig >> _U(48)) * _U(bins) >> _U(16)).astype(np.int32)
-                order = np.argsort(into, kind="stable")
-                cuts = np.searchsorted(into[order], np.arange(bins + 1))
-                keys, slacks = np.array(keys, np.int64), np.array(slacks, np.int32)
-                out = []
-                for b in range(bins):
-                    part = order[cuts[b] : cuts[b + 1]]
-                    if len(part):
-                        used, local = np.unique(who[part], return_inverse=True)
-                        entry = (sig[part] & _U((1 << _SIG_BITS) - 1)) << _U(18) | kind[part] << _U(16) | local.astype(_U)
-                        out.append((b, entry.tobytes(), keys[used].tobytes(), slacks[used].tobytes()))
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bin", "entries", "keys", "slack"])
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "bin int, entries binary, keys binary, slack binary")
+                    held.append((key[0], *signatures(s, bands)))
+                    count += len(held[-1][1])
+                    if count > SIGNATURES_AT_A_TIME or len(held) == CLASSES_AT_A_TIME:
+                        yield made(dict(zip(("bin", "entries", "keys", "slack"), zip(*_packed(held, bins), strict=True), strict=True)))
+                        held, count = [], 0
+            if held:
+                yield made(dict(zip(("bin", "entries", "keys", "slack"), zip(*_packed(held, bins), strict=True), strict=True)))
+            if classes:
+                size, ka, kb = zip(*classes, strict=True)
+                yield made({"bin": [-1] * len(classes), "row_id": batch.column(0), "size": size, "ka": ka, "kb": kb})
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
+        pack, f"bin int, entries binary, keys binary, slack binary, row_id {kind}, size bigint, ka bigint, kb bigint"
+    )
 
 
 def shared_signatures(table: pa.Table) -> pa.Table:
@@ -189,10 +210,12 @@ def shared_signatures(table: pa.Table) -> pa.Table:
     bins = table.column("bin").to_pylist()
     parts = [[], [], [], []]
     for entries, keys, slack in zip(*(table.column(c).to_pylist() for c in ("entries", "keys", "slack")), strict=True):
-        e = np.frombuffer(entries, _U)
-        who, kind = (e & _U(0xFFFF)).astype(np.int64), (e >> _U(16) & _U(3)).astype(np.int64)
-        allowed = np.frombuffer(slack, np.int32).reshape(-1, 2)[who, np.minimum(kind, 1)] * (kind < 2)
-        for part, x in zip(parts, (e >> _U(18), np.frombuffer(keys, np.int64)[who], kind, allowed), strict=True):
+        wide = np.zeros((len(entries) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(entries, np.uint8).reshape(-1, 6)
+        e = wide.view(_U).ravel()
+        who, kind = (e & _U(0x3FF)).astype(np.int64), (e >> _U(10) & _U(3)).astype(np.int64)
+        allowed = np.frombuffer(slack, np.uint16).astype(np.int64).reshape(-1, 2)[who, np.minimum(kind, 1)] * (kind < 2)
+        for part, x in zip(parts, (e >> _U(12), np.frombuffer(keys, np.int64)[who], kind, allowed), strict=True):
             part.append(x)
     sig, key, kind, slack = map(np.concatenate, parts)
     order = np.argsort(sig)
@@ -207,85 +230,138 @@ def shared_signatures(table: pa.Table) -> pa.Table:
     _, back, sharers = np.unique(sig, return_inverse=True, return_counts=True)
     n = sharers[back]
     sig, key, kind, slack, n = sig[n > 1], key[n > 1], kind[n > 1], slack[n > 1], n[n > 1]
-    whole = sig.astype(np.int64) << 16 | (bins[0] if bins else 0)
+    whole = sig.astype(np.int64) << 24 | (bins[0] if bins else 0)
     return pa.table({"ka": key, "kind": kind.astype(np.int32), "sig": whole, "sharers": n.astype(np.int64), "slack": slack.astype(np.int64)})
 
 
-def candidate_groups(docs: DataFrame, text_col: str, n: int, bands: Bands) -> DataFrame:
+def candidate_groups(packed: DataFrame) -> DataFrame:
     """(sig, ka): classes under the signatures that they share and neither gives up."""
-    bins = min(1 << 15, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = packed_signatures(docs, text_col, n, bands, bins)
-    shared = packed.groupBy("bin").applyInArrow(shared_signatures, "ka bigint, kind int, sig bigint, sharers bigint, slack bigint")
+    bins = packed.where("bin >= 0").select("bin", "entries", "keys", "slack")
+    shared = bins.groupBy("bin").applyInArrow(shared_signatures, "ka bigint, kind int, sig bigint, sharers bigint, slack bigint")
     rank = F.row_number().over(Window.partitionBy("ka", "kind").orderBy(F.desc("sharers"), "sig"))
     kept = durable(shared.withColumn("rank", rank).where("rank > slack").select("sig", "ka").distinct())
-    alive = durable(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
-    return durable(kept.join(alive, "sig", "left_semi"))
+    # Near copies share many signatures; of those with the same members one says it all.
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("ka")).alias("x"), F.sum(F.xxhash64("ka", F.lit(1)).cast("decimal(38,0)")).alias("s")]
+    distinct = durable(kept.groupBy("sig").agg(*members).where("n > 1").groupBy("n", "x", "s").agg(F.min("sig").alias("sig")).select("sig"))
+    return durable(kept.join(distinct, "sig", "left_semi"))
+
+
+_SKETCH_LONGS = 8
+
+
+def node_of_class() -> Column:
+    """ka and kb as 16 bytes."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(k), 16, "0")) for k in ("ka", "kb")])
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """512 bits as eight numbers. Bit k is the parity of the elements that hash to k, so two sets differ in at least
+    as many elements as their sketches differ in bits."""
+    parity = np.bincount((s >> _U(55)).astype(np.int64), minlength=64 * _SKETCH_LONGS).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64)
+
+
+def sketch_distance(a: Column, b: Column) -> Column:
+    out = F.lit(0)
+    for k in range(_SKETCH_LONGS):
+        out = out + F.bit_count(a[f"s{k}"].bitwiseXOR(b[f"s{k}"]))
+    return out
+
+
+def hopeful(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes and sketches of two sides, which bound their similarity from above, leave a chance of a link."""
+    x, y = F.col(f"{a}_size"), F.col(f"{b}_size")
+    near = sketch_distance(F.col(f"{a}_sketch"), F.col(f"{b}_sketch")) * (den + num) <= (x + y) * (den - num)
+    return (F.least(x, y) * den >= F.greatest(x, y) * num) & near
+
+
+def _sketches(sets: list[np.ndarray]) -> pa.StructArray:
+    table = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, _SKETCH_LONGS)
+    return pa.StructArray.from_arrays([pa.array(table[:, k]) for k in range(_SKETCH_LONGS)], [f"s{k}" for k in range(_SKETCH_LONGS)])
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """ka, kb, hashes (array<bigint>) of the classes whose ka is ``wanted``, each from its smallest document.
+    """ka, node (16 bytes), size, sketch and hashes (array<bigint>) of the classes whose ka is ``wanted``.
 
-    A fixed-size bitmap of those documents' ids keeps all other texts out of Python.
+    Each is read from its smallest document. A fixed-size bitmap of those ids keeps all other texts out of Python.
     """
     chosen = classes.join(wanted, "ka", "left_semi").select("row_id")
     flagged = with_bitmap_flag(
-        docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")), F.xxhash64("row_id"), bitmap_of(chosen, F.xxhash64("row_id")), "chosen"
+        docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")), F.xxhash64("row_id"), bitmap_of(chosen, F.xxhash64("row_id")), "chosen"
     )
 
-    @arrow_udf("struct<ka:bigint,kb:bigint,hashes:array<bigint>>")
-    def sets(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    # Not a column function: the planner would copy one below the filter, to test it for null on every document.
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for texts in columns:
-            found = [shingles(t) for t in as_bytes(texts)]
+        for batch in batches:
+            found = [shingles(t) for t in as_bytes(batch.column(0))]
             keys = [class_key(s) for s in found]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate([*found, np.zeros(0, _U)]).view(np.int64)
-            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.StructArray.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), hashes], ["ka", "kb", "hashes"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
+                _sketches(found), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+            ], ["ka", "kb", "size", "sketch", "hashes"])
+
+    sketch = ",".join(f"s{k}:bigint" for k in range(_SKETCH_LONGS))
+    found = flagged.where("chosen").select("text").mapInArrow(sets, f"ka bigint, kb bigint, size bigint, sketch struct<{sketch}>, hashes array<bigint>")
+    found = found.join(wanted, "ka", "left_semi").dropDuplicates(["ka", "kb"])
+    return durable(found.select("ka", node_of_class().alias("node"), "size", "sketch", "hashes"))
 
-    found = flagged.where("chosen").select(sets("text").alias("s")).select("s.*")
-    return durable(found.join(wanted, "ka", "left_semi").dropDuplicates(["ka", "kb"]))
+
+def _side(sets: DataFrame, end: str, *columns: str) -> DataFrame:
+    return sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The links (x, y: class keys as text) among ``pairs`` (a, b: ka), by exact comparison of the sets."""
+    """The links among ``pairs`` (a, b: nodes), by exact comparison of their sets."""
 
     @arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        la, lo = left.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(left.value_lengths().to_numpy(zero_copy_only=False))])
-        ra, ro = right.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(right.value_lengths().to_numpy(zero_copy_only=False))])
-        for k in range(len(left)):
-            x, y = la[lo[k] : lo[k + 1]], ra[ro[k] : ro[k + 1]]
-            fewest = min(len(x), len(y)) * den >= max(len(x), len(y)) * num
-            common = len(np.intersect1d(x, y, assume_unique=True)) if fewest else 0
-            out.append(fewest and den * common >= num * (len(x) + len(y) - common))
+        for x, y in zip(left, right, strict=True):
+            x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(den * common >= num * (len(x) + len(y) - common))
         return pa.array(out, pa.bool_())
 
-    a = sets.select(F.col("ka").alias("a"), F.concat_ws(":", F.hex("ka"), F.hex("kb")).alias("x"), F.col("hashes").alias("left"))
-    b = sets.select(F.col("ka").alias("b"), F.concat_ws(":", F.hex("ka"), F.hex("kb")).alias("y"), F.col("hashes").alias("right"))
-    return pairs.join(a, "a").join(b, "b").where(similar("left", "right")).select("x", "y")
+    both = pairs.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
+    return both.where(similar("a_hashes", "b_hashes")).select("a", "b")
+
 
+def _pivots(groups: DataFrame, weight: DataFrame, turn: int) -> DataFrame:
+    """For each signature the member of the largest weight; in every other round any member, by a hash."""
+    order = F.when(F.lit(turn % 2 == 0), F.coalesce("w", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    best = F.max(F.struct(order.alias("w"), F.xxhash64("node", F.lit(turn)).alias("o"), "node", "comp")).alias("p")
+    weighted = groups.join(weight, "node", "left") if turn % 2 == 0 else groups.withColumn("w", F.lit(0).cast("long"))
+    return durable(weighted.groupBy("sig").agg(best).select("sig", F.col("p.node").alias("b"), F.col("p.comp").alias("other")))
 
-def similarity_links(groups: DataFrame, sets: DataFrame, num: int, den: int, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame | None:
-    """(node, component) over class keys as text, from enough links to tell every component; None without any."""
-    names = durable(sets.select("ka", F.concat_ws(":", F.hex("ka"), F.hex("kb")).alias("x")))
-    spark, links, tested, state = groups.sparkSession, None, None, None
-    groups = durable(groups.join(names, "ka").select("sig", "ka", F.col("x").alias("comp"), "x"))
+
+def similarity_components(groups: DataFrame, sets: DataFrame, num: int, den: int, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame | None:
+    """(node, component) over classes, from enough links to tell every component; None if there is no link.
+
+    In a round each class is held against the pivots of its signatures, and the one of the nearest sketch is verified.
+    The first pivots are the classes with the most live signatures, which are closest to what a group has in common;
+    later ones are those with the most links. Classes whose signatures hold one component only drop out. What is
+    left is paired in full, except where sizes and sketches rule a link out.
+    """
+    links, tested, state = None, None, None
+    groups = durable(groups.join(sets.select("ka", "node"), "ka").select("sig", "node", F.col("node").alias("comp")))
+    weight = durable(groups.groupBy("node").agg(F.count(F.lit(1)).alias("w")))
     for turn in range(pivot_rounds + 1):
-        if turn < pivot_rounds:  # each class against the pivot it shares most with
-            order = F.xxhash64("ka", F.lit(turn))
-            pivot = durable(groups.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "ka", "comp")).alias("p")).select("sig", F.col("p.ka").alias("pivot"), F.col("p.comp").alias("pcomp")))
-            pairs = groups.join(pivot, "sig").where("comp <> pcomp")
-            pairs = pairs.select(F.least("ka", "pivot").alias("a"), F.greatest("ka", "pivot").alias("b"), "ka")
-            counted = pairs.groupBy("ka", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        if turn < pivot_rounds:
+            pivots = _pivots(groups, weight, turn)
+            pairs = groups.join(pivots, "sig").where("comp <> other").select(F.col("node").alias("a"), "b").distinct()
+            near = pairs.join(_side(sets, "a", "size", "sketch"), "a").join(_side(sets, "b", "size", "sketch"), "b").where(hopeful("a", "b", num, den))
+            near = near.select("a", "b", sketch_distance(F.col("a_sketch"), F.col("b_sketch")).alias("far"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             if tested is not None:
-                counted = counted.join(tested, ["a", "b"], "left_anti")
-            best = counted.groupBy("ka").agg(F.max(F.struct("n", "a", "b")).alias("t"))
-            pairs = best.select("t.a", "t.b").distinct()
-        else:  # all classes that share a signature and are still apart
-            other = groups.select("sig", F.col("ka").alias("kb"), F.col("comp").alias("other"))
-            pairs = groups.join(other, "sig").where("ka < kb AND comp <> other").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+                near = near.join(tested.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+            pairs = near.groupBy("a").agg(F.min(F.struct("far", "x", "y")).alias("t")).select(F.col("t.x").alias("a"), F.col("t.y").alias("b")).distinct()
+        else:
+            rows = groups.join(sets.select("node", "size", "sketch"), "node")
+            left, right = (rows.select("sig", F.col("node").alias(e), F.col("comp").alias(f"{e}_comp"), F.col("size").alias(f"{e}_size"), F.col("sketch").alias(f"{e}_sketch")) for e in "ab")
+            apart = (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & hopeful("a", "b", num, den)
+            pairs = left.join(right, (left["sig"] == right["sig"]) & apart).select("a", "b").distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = durable(pairs)
@@ -296,11 +372,12 @@ def similarity_links(groups: DataFrame, sets: DataFrame, num: int, den: int, piv
         if new.isEmpty():
             continue
         links = new if links is None else durable(links.union(new))
-        state = durable(connected_components(links, "x", "y"))
-        comp = state.select(F.col("node").alias("x"), F.col("component").alias("c"))
-        groups = groups.join(comp, "x", "left").select("sig", "ka", F.coalesce("c", "comp").alias("comp"), "x")
-        apart = durable(groups.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"))
-        groups = durable(groups.join(apart, "sig", "left_semi"))
+        state = durable(connected_components(links, "a", "b"))
+        if turn < pivot_rounds:
+            groups = groups.join(state, "node", "left").select("sig", "node", F.coalesce("component", "comp").alias("comp"))
+            apart = durable(groups.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"))
+            groups = durable(groups.join(apart, "sig", "left_semi"))
+            weight = durable(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("w")))
     return state
 
 
@@ -315,21 +392,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     * Repeated rows have equal sets and so share a component. An empty table gives an empty result. Other columns
       are ignored. Whole texts count, whatever their length.
     """
-    bands = Bands(num, den)
+    spark, bands = docs.sparkSession, Bands(num, den)
+    bins = bin_keys(spark, min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
-    rows = durable(document_classes(docs, "doc", "body", n))
-    classes = durable(rows.where("size > 0").groupBy("ka", "kb").agg(F.min("row_id").alias("row_id")))
-    groups = candidate_groups(docs, "body", n, bands)
-    wanted = durable(groups.select("ka").distinct())
-    state = None
-    if not wanted.isEmpty():
-        sets = class_sets(docs, classes, wanted, "doc", "body", n)
-        state = similarity_links(groups, sets, num, den)
-    name = F.concat_ws(":", F.hex("ka"), F.hex("kb"))
+    with batches_of(spark, BATCH_ROWS):
+        packed = durable(packed_signatures(docs, "doc", "body", n, bands, bins))
+        rows = durable(packed.where("bin < 0").select("row_id", "size", "ka", "kb"))
+        classes = durable(rows.where("size > 0").groupBy("ka", "kb").agg(F.min("row_id").alias("row_id")))
+        groups = candidate_groups(packed)
+        discard(packed)
+        wanted = durable(groups.select("ka").distinct())
+        state = None
+        if not wanted.isEmpty():
+            state = similarity_components(groups, class_sets(docs, classes, wanted, "doc", "body", n), num, den)
     if state is None:
         found = classes.select("ka", "kb", F.col("row_id").alias("component_id"))
     else:
-        joined = durable(classes.withColumn("node", name).join(state, "node", "left").select("ka", "kb", "row_id", "component"))
+        joined = durable(classes.withColumn("node", node_of_class()).join(state, "node", "left").select("ka", "kb", "row_id", "component"))
         least = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("row_id").alias("least"))
         found = durable(joined.join(least, "component", "left").select("ka", "kb", F.coalesce("least", "row_id").alias("component_id")))
     placed = rows.where("size > 0").join(found, ["ka", "kb"]).select("row_id", "size", "component_id")
