@@ -36,7 +36,7 @@ _U = np.uint64
 _ODD = tuple(map(_U, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)))
 DOCS_AT_A_TIME = 256
 CLASSES_AT_A_TIME, SIGNATURES_AT_A_TIME = 1 << 10, 400_000
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 BATCH_ROWS = 2000
 #: Beside the bin, which the leading bits choose: bins grow with the input, so chance meetings in a bin stay rare.
 _SIG_BITS = 36
