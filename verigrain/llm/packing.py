@@ -37,9 +37,12 @@ _BORDER = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])
 
 
 @functools.cache
-def chunk_tokens(path: str) -> ChunkTokens:
-    """One table for all tasks of a Python worker."""
-    return ChunkTokens(path)
+def loaded(path: str):
+    """The tokenizer, read once in a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class ChunkTokens:
@@ -52,11 +55,8 @@ class ChunkTokens:
     chunks, which changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+    def __init__(self, path: str, limit: int = 700_000):
+        self.tokenizer, self.limit = loaded(path), limit
         self.table: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
@@ -85,7 +85,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
     # Not a column function under an explode: the planner would copy it into a filter and so tokenize twice.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = chunk_tokens(tokenizer_path), struct.pack("<I", end_id)
+        # The table is the task's own: kept for later tasks it would hold an executor's memory for good.
+        coder, end = ChunkTokens(tokenizer_path), struct.pack("<I", end_id)
         for batch in batches:
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
             for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
