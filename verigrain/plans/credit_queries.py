@@ -133,10 +133,10 @@ FEATURES = f"""{SEQUENCES}, feat AS (SELECT account_id, count(*) AS n, CASE WHEN
 _FEATURE_NAMES = ("balance_trend", "balance_volatility", "recent_balance_change", "payment_trend", "min_payment_ratio", "avg_utilization", "max_utilization", "utilization_trend", "cash_total", "recent_cash", "limit_increases", "recent_limit_change")
 
 
-@query(f"WITH {FEATURES} SELECT account_id, n AS months_on_books, payment_declining, cash_frequency, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in _FEATURE_NAMES)} FROM feat")
+@query(f"WITH {FEATURES} SELECT account_id, n AS months_on_books, payment_declining, cash_frequency, {', '.join(f'round({c} + 1e-8::DOUBLE, 6) + 0 AS {c}' for c in _FEATURE_NAMES)} FROM feat")
 def sequence_features(t: Tables) -> DataFrame:
     f = C.sequence_features(t.credit_sequences())
-    return f.select("account_id", "months_on_books", "payment_declining", "cash_frequency", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _FEATURE_NAMES])
+    return f.select("account_id", "months_on_books", "payment_declining", "cash_frequency", *[(F.round(F.col(c) + 1e-8, 6) + F.lit(0.0)).alias(c) for c in _FEATURE_NAMES])
 
 
 BUST_OUT = f"""{FEATURES}, bo AS (SELECT *, {clip(f"{points('utilization_trend > 0.05', 0.2)} + {points('max_utilization > 0.9', 0.15)} + {points('payment_declining', 0.25)} + {points('payment_trend < -100', 0.15)} + {points('cash_frequency > 2', 0.2)} + {points('recent_cash > 1000', 0.15)} + {points('n < 12 AND balance_trend > 500', 0.2)}")} AS p,

@@ -28,7 +28,7 @@ WITH_CREDIT = f"""{IDENTITIES}, {TRADELINES}, {FILES}, pc AS (
       coalesce(au_very_new, 0) AS au_very_new, coalesce(recent_delinquency, 0) AS recent_delinquency, coalesce(new_accounts_6mo, 0) AS new_accounts_6mo, coalesce(inquiries_6mo, 0) AS inquiries_6mo,
       date_sub('day', dob::TIMESTAMP, {ORDERS_AT}) / 365.0::DOUBLE AS age_years, coalesce(num_tradelines < 3, true) AS is_thin_file, coalesce(total_balance / nullif(total_limit, 0), 0) AS utilization
     FROM people p LEFT JOIN files ON identity_key = holder)"""
-SEQUENCES = """paid AS (SELECT l_orderkey, sum(round(l_extendedprice * l_discount, 2)::DECIMAL(18,2)) AS paid FROM lineitem GROUP BY 1),
+SEQUENCES = """paid AS (SELECT l_orderkey, sum(round(l_extendedprice * l_discount, 4)::DECIMAL(18,4)) AS paid FROM lineitem GROUP BY 1),
     months AS (SELECT o_custkey AS account_id, o_orderdate AS at_, o_orderkey AS k, o_totalprice / 100 AS balance, coalesce(paid::DOUBLE, 0) / 100 AS payment,
       CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice / 100 ELSE 0 END AS cash, max(o_totalprice / 100) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS highest,
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n

@@ -60,7 +60,7 @@ class Tables:
 
     def credit_sequences(self) -> DataFrame:
         """account_id, months_on_books and five arrays in order of month."""
-        paid = self.read("lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).cast("decimal(18,2)")).alias("paid"))
+        paid = self.read("lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount"), 4).cast("decimal(18,4)")).alias("paid"))
         month = F.struct(
             F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 100).alias("balance"),
             (F.coalesce(F.col("paid").cast("double"), F.lit(0.0)) / 100).alias("payment"),
