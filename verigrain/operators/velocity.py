@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verigrain.config import CONFIG, EngineConfig
 from verigrain.functions import scores as S
 from verigrain.functions.basics import before
+from verigrain.operators.pairs import block_pairs
 
 WINDOWS = (30, 90, 180)
 
@@ -89,23 +90,22 @@ def last_use_per_identity(uses: DataFrame, as_of: Column, days: int = 180) -> Da
 
 
 def linked_addresses(uses: DataFrame, as_of: Column, days: int = 180, least: int = 2, max_fanout: int = CONFIG.max_fanout) -> DataFrame:
-    """Pairs of addresses with at least ``least`` identities in common.
+    """Pairs of addresses with at least ``least`` identities in common, whatever the number of addresses of an identity.
 
-    Identities with more than ``max_fanout`` addresses would make a pair of each two; they are left to
-    ``hub_identities`` and reported there.
+    An address of fewer than ``least`` identities is in no such pair and goes first. The addresses of an identity with
+    more than ``max_fanout`` of them are paired in blocks of that size.
     """
-    pairs = uses.where((F.col("element_type") == "address") & (F.col("ts") >= before(as_of, days))).select("identity_key", "element_key").distinct()
-    small = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("identity_key"))).where(F.col("n") <= max_fanout).drop("n")
-    a, b = small.alias("a"), small.alias("b")
-    both = a.join(b, "identity_key").where(F.col("a.element_key") < F.col("b.element_key"))
+    pairs = uses.where((F.col("element_type") == "address") & (F.col("ts") >= before(as_of, days))).select("identity_key", "element_key").where("identity_key IS NOT NULL").distinct()
+    shared = pairs.groupBy("element_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("element_key")
+    both = block_pairs(pairs.join(shared, "element_key"), ["identity_key"], "element_key", max_fanout)
     return (
-        both.groupBy(F.col("a.element_key").alias("address_a"), F.col("b.element_key").alias("address_b"))
+        both.groupBy(F.col("src").alias("address_a"), F.col("dst").alias("address_b"))
         .agg(F.count(F.lit(1)).alias("shared_identities")).where(F.col("shared_identities") >= least)
     )
 
 
 def hub_identities(uses: DataFrame, element_type: str, max_fanout: int = CONFIG.max_fanout) -> DataFrame:
-    """Identities with more than ``max_fanout`` elements of a type, which pair joins leave out."""
+    """Identities with more than ``max_fanout`` elements of a type, which pair joins take in blocks."""
     found = uses.where(F.col("element_type") == element_type).groupBy("identity_key").agg(F.count_distinct("element_key").alias("elements"))
     return found.where(F.col("elements") > max_fanout)
 
