@@ -5,6 +5,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from verigrain.operators import graph as G
 from verigrain.operators import velocity as V
 from verigrain.operators.pairs import block_pairs
 
@@ -28,3 +29,14 @@ def test_linked_addresses_keeps_hubs(spark):
             count[pair] = count.get(pair, 0) + 1
     got = V.linked_addresses(uses, F.lit(datetime.datetime(2001, 8, 1)).cast("timestamp_ntz"), max_fanout=10)
     assert {tuple(r) for r in got.collect()} == {(*p, n) for p, n in count.items() if n >= 2}
+
+
+def test_hub_element_pairs_all_identities(spark):
+    """A phone of 1,001 identities, one above the block size: every feature sees each pair."""
+    n = 1001
+    uses = spark.range(1, n + 1).select(F.col("id").alias("identity_id"), F.lit("phone").alias("element_type"), F.lit(5).cast("long").alias("element_key"))
+    edges = G.identity_edges(uses).persist()
+    assert edges.count() == n * (n - 1) // 2 and edges.where("src < dst AND shared = 1").count() == n * (n - 1) // 2
+    assert {r["degree"] for r in G.degrees(edges).select("degree").distinct().collect()} == {n - 1}
+    assert G.shared_elements(uses).where(F.size("phone") == n - 1).count() == n
+    assert G.component_density(edges).first()["density"] == 1.0

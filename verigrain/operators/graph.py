@@ -1,8 +1,7 @@
 """The shared-element identity graph as tables: edges, neighbourhoods, features, communities, centrality.
 
-Input is ``identity_element(identity_id, element_type, element_key)``, distinct. Elements of more than ``max_fanout``
-identities would pair each two of them; they link their identities in a star around the smallest instead, which
-keeps components, and ``hub_elements`` reports them.
+Input is ``identity_element(identity_id, element_type, element_key)``, distinct. An element pairs each two of its
+identities, also where they are very many; such pairs are made in blocks, and ``hub_elements`` reports the elements.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from verigrain.config import CONFIG, EngineConfig
 from verigrain.functions.basics import clip01, ladder, names_where, points
 from verigrain.operators.components import connected_components
+from verigrain.operators.pairs import block_pairs
 from verigrain.plans.durable import durable
 
 CLUSTER_TYPES = ("ssn", "address", "phone", "device")
@@ -29,15 +29,18 @@ def hub_elements(uses: DataFrame, max_fanout: int = CONFIG.max_fanout) -> DataFr
     return counts.where(F.col("fanout") > max_fanout)
 
 
-def identity_pairs(uses: DataFrame, max_fanout: int = CONFIG.max_fanout) -> DataFrame:
-    """src < dst for every shared element: element_type, element_key, src, dst."""
+def identity_pairs(uses: DataFrame, max_fanout: int | None = None) -> DataFrame:
+    """src < dst for every shared element: element_type, element_key, src, dst.
+
+    With ``max_fanout``, elements of more identities link theirs in a star around the smallest instead, which keeps
+    components and nothing else; no feature is made from that.
+    """
+    if max_fanout is None:
+        return block_pairs(uses, ["element_type", "element_key"], "identity_id")
     sized = _sized(uses)
-    small = sized.where(F.col("fanout") <= max_fanout)
-    a = small.select("element_type", "element_key", F.col("identity_id").alias("src"))
-    b = small.select("element_type", "element_key", F.col("identity_id").alias("dst"))
-    pairs = a.join(b, ["element_type", "element_key"]).where("src < dst")
+    pairs = block_pairs(sized.where(F.col("fanout") <= max_fanout), ["element_type", "element_key"], "identity_id")
     stars = sized.where((F.col("fanout") > max_fanout) & (F.col("identity_id") != F.col("centre")))
-    return pairs.select("element_type", "element_key", "src", "dst").union(stars.select("element_type", "element_key", F.col("centre").alias("src"), F.col("identity_id").alias("dst")))
+    return pairs.union(stars.select("element_type", "element_key", F.col("centre").alias("src"), F.col("identity_id").alias("dst")))
 
 
 def link_weight(kind: Column, config: EngineConfig = CONFIG) -> Column:
@@ -47,7 +50,7 @@ def link_weight(kind: Column, config: EngineConfig = CONFIG) -> Column:
 
 def identity_edges(uses: DataFrame, types: tuple[str, ...] = ALL_TYPES, config: EngineConfig = CONFIG) -> DataFrame:
     """src < dst, types (sorted), shared elements and weight, each element counted once."""
-    pairs = identity_pairs(uses.where(F.col("element_type").isin(*types)), config.max_fanout)
+    pairs = identity_pairs(uses.where(F.col("element_type").isin(*types)))
     return pairs.groupBy("src", "dst").agg(
         F.sort_array(F.collect_set("element_type")).alias("types"), F.count(F.lit(1)).alias("shared"),
         F.sum(link_weight(F.col("element_type"), config).cast("decimal(18,4)")).cast("double").alias("weight"),
@@ -65,9 +68,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("identity_id")).agg(F.count(F.lit(1)).alias("degree"), F.sum(F.size("types")).alias("weighted_degree"), *shared)
 
 
-def shared_elements(uses: DataFrame, max_fanout: int = CONFIG.max_fanout) -> DataFrame:
+def shared_elements(uses: DataFrame) -> DataFrame:
     """Per identity, the sorted other identities that share each type, with the risk indicators."""
-    pairs = identity_pairs(uses, max_fanout).select("element_type", "src", "dst").distinct()
+    pairs = identity_pairs(uses).select("element_type", "src", "dst").distinct()
     lists = [F.sort_array(F.collect_set(F.when(F.col("element_type") == t, F.col("dst")))).alias(t) for t in ALL_TYPES]
     found = both_ways(pairs.select("src", "dst", "element_type")).groupBy(F.col("src").alias("identity_id")).agg(*lists)
     total = F.lit(0)
