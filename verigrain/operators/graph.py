@@ -227,27 +227,29 @@ def modularity(edges: DataFrame, assignment: DataFrame) -> float:
     return (inner or 0.0) / m - square
 
 
-def betweenness(edges: DataFrame, sources: int = 500, seed: int = 0, max_depth: int = 30) -> DataFrame:
-    """Betweenness by Brandes' accumulation for up to ``sources`` sources at once, scaled to all vertices.
+def betweenness(edges: DataFrame, sources: int = 500, seed: int = 0, exact_up_to: int = 10_000) -> DataFrame:
+    """Betweenness by Brandes' accumulation, exact up to so many vertices; beyond, from ``sources`` of them, scaled.
 
     Breadth-first levels and dependencies are joins over (source, vertex) rows, so no component has to fit a task.
-    With at least as many sources as vertices the result is exact. Sources are those of the smallest seeded hash.
+    Levels go on until none is reached. With at least as many sources as vertices the result is exact too. Sources are
+    those of the smallest seeded hash.
     """
     ways = durable(both_ways(edges.select("src", "dst")))
     nodes = durable(ways.select(F.col("src").alias("v")).distinct())
     n = nodes.count()
     if n < 3:
         return nodes.select(F.col("v").alias("identity_id"), F.lit(0.0).alias("betweenness"))
-    chosen = nodes if n <= sources else nodes.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sources)
+    sources = n if n <= exact_up_to else min(n, sources)
+    chosen = nodes if n == sources else nodes.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sources)
     levels = [durable(chosen.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))]
-    seen = levels[0].select("s", "v")
-    for _ in range(max_depth):
+    while True:
         step = levels[-1].join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = durable(step.join(seen, ["s", "v"], "left_anti"))
+        for near in levels[-2:]:  # edges go both ways, so none leads from a level further back than to the one before
+            step = step.join(near.select("s", "v"), ["s", "v"], "left_anti")
+        level = durable(step)
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.union(level.select("s", "v"))
     delta = durable(levels[-1].withColumn("delta", F.lit(0.0)))
     parts = [delta] if len(levels) > 1 else []
     for upper in reversed(levels[1:-1]):
@@ -258,7 +260,7 @@ def betweenness(edges: DataFrame, sources: int = 500, seed: int = 0, max_depth:
     total = parts[0] if parts else levels[0].withColumn("delta", F.lit(0.0))
     for p in parts[1:]:
         total = total.unionByName(p)
-    scale = (n / min(n, sources)) / ((n - 1) * (n - 2))
+    scale = (n / sources) / ((n - 1) * (n - 2))
     summed = total.groupBy("v").agg((F.sum("delta") * scale).alias("b"))
     return nodes.join(summed, "v", "left").select(F.col("v").alias("identity_id"), F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 

@@ -129,13 +129,13 @@ def louvain(t: Tables) -> DataFrame:
 
 @query()
 def betweenness(t: Tables) -> DataFrame:
-    return G.betweenness(G.identity_edges(t.graph_use()), sources=200)
+    return G.betweenness(G.identity_edges(t.graph_use()))
 
 
 @query()
 def graph_features(t: Tables) -> DataFrame:
     ids = t.read("customer").select(F.col("c_custkey").alias("identity_id"))
-    return G.feature_table(t.graph_use(), _scores(t), ids, rank_rounds=10, with_betweenness=False)
+    return G.feature_table(t.graph_use(), _scores(t), ids)
 
 
 @query(f"""WITH {GRAPH_USE}, m AS (SELECT * FROM gu WHERE identity_id % 50 = 0), n AS (SELECT DISTINCT 'identity:' || identity_id AS id, 'identity' AS kind FROM m UNION SELECT DISTINCT element_type || ':' || element_key, element_type FROM m)

@@ -82,7 +82,7 @@ def training_join(t: Tables) -> DataFrame:
 def gbt_train(t: Tables) -> DataFrame:
     table = N.identities(t.spark, 2000)
     train, test = L.split(table, "identity_id", "is_synthetic")
-    model = L.fit_scorer(train, trees=10)
+    model = L.fit_scorer(train)
     return L.probabilities(model, test, L.SCORER_FEATURES, "is_synthetic").select("identity_id", "is_synthetic", "score")
 
 
@@ -93,14 +93,14 @@ def _sequences(t: Tables) -> DataFrame:
 @query()
 def rf_train(t: Tables) -> DataFrame:
     train, test = L.split(_sequences(t), "account_id", "is_bust_out")
-    model = L.fit_bust_out(train, trees=20)
+    model = L.fit_bust_out(train)
     return L.probabilities(model, test, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "is_bust_out", "score")
 
 
 @query()
 def model_inference(t: Tables) -> DataFrame:
     """The forest trained on made accounts, applied to the accounts of the driver's tables."""
-    model = L.fit_bust_out(_sequences(t), trees=20)
+    model = L.fit_bust_out(_sequences(t))
     real = C.sequence_features(t.credit_sequences()).withColumn("is_bust_out", F.lit(False))
     return L.probabilities(model, real, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "score")
 
