@@ -89,10 +89,20 @@ class NoticeSearch:
         out = []
         for k, windows in sorted(self.candidates(text).items()):
             for a, b in windows:
-                for m in self.exact[k].finditer(text, a, b):
+                for m in self._matches(k, text, a, b):
                     out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
         return out
 
+    def _matches(self, k: int, text: str, a: int, b: int) -> Iterator[regex.Match]:
+        """Matches of a window in order. The best of what is left comes first from the pattern; others, of more edits,
+        may lie before it, so the text up to the blank before it is searched again."""
+        least = len(self.notices[k].words) - self.notices[k].edits
+        for m in self.exact[k].finditer(text, a, b):
+            if m.start() - 1 - a >= least:
+                yield from self._matches(k, text, a, m.start() - 1)
+            yield m
+            a = m.end()
+
 
 def scan_text(search: NoticeSearch, text: bytes, phrases: dict[str, str]) -> dict:
     """The row of one text, see ``scan_licenses``."""
