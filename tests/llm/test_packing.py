@@ -2,13 +2,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from verigrain.llm.packing import pack_documents, packed_sequences, plan_rounds
+from verigrain.llm.packing import ChunkTokens, best_fit_rounds, pack_documents, packed_sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,14 +70,30 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-@given(st.lists(st.integers(1, 40), max_size=120))
-@settings(deadline=None)
-def test_rounds_equal_plain_best_fit(lengths):
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    plan, rows = plan_rounds(counts, 40), []
-    for n, count in counts.items():
-        for rank in range(count):
-            _, first, per, seq, offset = max((p for p in plan if p[0] == n and p[1] <= rank), key=lambda p: p[1])
-            slot = rank - first
-            rows.append({"sequence_id": seq + slot // per, "offset": offset + slot % per * n, "length": n})
-    assert check_places(rows, 40) == best_fit_decreasing(lengths, 40)
+@pytest.mark.parametrize("lengths", [
+    [5, 5, 5, 5, 1, 1, 1, 1, 1, 1, 1, 3, 9, 10], [1] * 1000, [40] * 3 + [1] * 7, [], [21] * 5 + [20] * 5,
+    np.random.default_rng(1).integers(1, 41, 500).tolist(), [*np.random.default_rng(2).integers(1, 41, 90).tolist(), *[2] * 300],
+])
+def test_rounds_against_plain_best_fit(spark, lengths):
+    """Every piece has one place, no sequence overflows, and few more are used than by plain best-fit decreasing."""
+    counts = sorted((n, lengths.count(n)) for n in set(lengths))
+    rounds = best_fit_rounds(spark.createDataFrame(counts, "length long, count long"), 40)
+    seen, used = defaultdict(set), defaultdict(int)
+    for length, first_rank, count, first, around, phase in (tuple(r) for placed in rounds for r in placed.collect()):
+        for i in range(count):
+            assert first_rank + i not in seen[length]
+            seen[length].add(first_rank + i)
+            used[first + (phase + i) % around] += length
+    assert {n: set(range(c)) for n, c in counts} == dict(seen)
+    assert all(v <= 40 for v in used.values()) and set(used) == set(range(len(used)))
+    assert len(used) <= 1.1 * best_fit_decreasing(lengths, 40) + 1
+
+
+@given(st.lists(st.text(alphabet="aBé ÉßÿÀ÷×'.,!$<|>1२\u0301\u0338=İΣς\n\t\u00a0endoftx-", max_size=40), max_size=12))
+@settings(deadline=None, max_examples=300)
+def test_chunks_equal_the_tokenizer(texts):
+    texts = [*texts, "<|endoftext|>", None, "Don't STOP.it's $5,000 naïve ÉCOLE!!"]
+    ids, starts = ChunkTokens(PATH).encode(pa.array(texts, pa.string()), 1)
+    tokenizer = Tokenizer.from_file(PATH)
+    for k, text in enumerate(texts):
+        assert ids[starts[k] : starts[k + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text

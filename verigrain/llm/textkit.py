@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Lower-cases A-Z, keeps digits and all bytes of non-ASCII characters, and turns every other ASCII byte into a blank.
@@ -28,6 +29,17 @@ def slices(array: pa.Array) -> Iterator[pa.Array]:
         yield array.slice(at, ROWS_AT_A_TIME)
 
 
+def sliced_by_bytes(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose column ``text`` has at most ``limit`` bytes, or one row if that is longer."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = sizes[at - 1] if at else 0
+        end = max(int(np.searchsorted(sizes, done + limit, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased runs of ASCII letters, digits and non-ASCII characters."""
     return text.translate(WORD_BYTES).split()
