@@ -1,7 +1,7 @@
 """Lineage cuts that survive the loss of an executor.
 
-Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``. Only when a session
-names none (unit tests) is a folder of our own used.
+Everything goes to the folder that the cluster names in ``spark.checkpoint.dir``. Only where a local session
+names none (unit tests) is a folder of our own used; a cluster must name one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None)
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(configured or OWN_FOLDER)
 
 
@@ -48,12 +50,19 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Plans that are run inside send at most so many rows to Python at once; long texts then need less memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Plans that are run inside have these settings (dots written as two underscores)."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Plans that are run inside send at most so many rows to Python at once; long texts then need less memory."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
