@@ -57,9 +57,11 @@ def test_mixing(small, odd, weights):
         want = Counter()
         for i, t, s in rows:
             g = group(s)
-            rate = weights.get(g, 0) / math.fsum(weights.values()) * sum(size.values()) / size[g] if size[g] else 0
+            present = sum(weights.get(k, 0) for k in sorted(size) if size[k])
+            rate = weights.get(g, 0) / present * sum(size.values()) / size[g] if size[g] and present else 0
+            ident = "null|" + hashlib.md5(t.encode()).hexdigest() if i is None else str(i)
             parts = max(1, math.ceil(rate / 200))
-            n = sum(poisson(rate / parts, uniform("7", "null" if i is None else str(i), str(k + 1))) for k in range(parts))
+            n = sum(poisson(rate / parts, uniform("7", ident, str(k + 1))) for k in range(parts))
             for copy in range(n):
                 want[i, t, s, copy + 1, n] += 1
         out = mix_sources(docs, weights, 7).collect()
@@ -72,13 +74,34 @@ def test_mixing_reaches_the_weights(spark):
     assert abs(share["a"] - 10_000) < 400 and abs(share["b"] - 10_000) < 400
 
 
+def test_mixing_null_ids_and_absent_sources(spark):
+    """Rows without an id draw each for themselves; the weight of a source that does not occur is shared out."""
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) doc_id", "lpad(id, 10, '0') text", "if(id % 10 = 0, 'a', 'b') source")
+    rows = mix_sources(docs, {"a": 0.25, "b": 0.25, "absent": 0.5}, 1).groupBy("source", "text").count().collect()
+    share = Counter()
+    for r in rows:
+        share[r["source"]] += r["count"]
+    assert abs(share["a"] - 10_000) < 400 and abs(share["b"] - 10_000) < 400 and max(r["count"] for r in rows) > 10
+
+
+def test_exact_dedup_hot_group(spark):
+    """A group with a third of all rows, ids null or not, is marked whole; its rows meet in no one task."""
+    docs = spark.range(3000).selectExpr("if(id % 7 = 0, NULL, id) doc_id", "if(id % 3 = 0, 'Same Text', concat('text ', id % 1000)) text")
+    rows = [(r["doc_id"], lower(r["text"])) for r in docs.collect()]
+    size, keep = Counter(t for _, t in rows), {}
+    for i, t in rows:
+        keep[t] = max((i, keep.get(t)), key=low_id)
+    got = sorted((str(r[0]), str(r[1]), r[2], r[3]) for r in exact_dedup(docs).collect())
+    assert got == sorted((str(i), str(keep[t]), size[t], i == keep[t]) for i, t in rows)
+
+
 def test_mixing_large_rate(spark):
     docs = spark.range(1000).selectExpr("id doc_id", "'xxxx' text", "if(id < 2, 'a', 'b') source")
     got = {r[0]: r[1] for r in mix_sources(docs, {"a": 1.0}, 1).groupBy("doc_id").count().collect()}
     assert set(got) == {0, 1} and all(abs(n - 500) < 150 for n in got.values())
 
 
-def plain_line_dedup(rows, depth=3, min_docs=10, min_tokens=3, min_constant=0.8):
+def plain_line_dedup(rows, depth=3, min_docs=10, min_constant=0.8):
     """{(id, text): kept text} by the same definition, one line at a time."""
     docs = sorted({(i, t or "") for i, t in rows}, key=lambda d: (low_id(d[0]), d[1]))
     lines = []
@@ -86,7 +109,7 @@ def plain_line_dedup(rows, depth=3, min_docs=10, min_tokens=3, min_constant=0.8)
         for pos, line in enumerate(t.split("\n")):
             tokens = re.sub(r"[\t\x0b\x0c\r ]+", " ", line).strip(" ")
             tokens = ["<*>" if re.search("[0-9]", x) else x for x in tokens.split(" ")] if tokens else []
-            if len(tokens) >= min_tokens:
+            if tokens:
                 lines.append((d, pos, (len(tokens), *tokens[:depth]), tuple(tokens)))
     reach = defaultdict(set)
     for d, _, leaf, _ in lines:
@@ -102,7 +125,7 @@ def plain_line_dedup(rows, depth=3, min_docs=10, min_tokens=3, min_constant=0.8)
     template = {}
     for leaf, tokens in holders:
         fixed = [x if x != "<*>" and seen[leaf, at, x] >= min_docs else "<*>" for at, x in enumerate(tokens)]
-        if sum(x != "<*>" for x in fixed) >= min_constant * len(fixed):
+        if sum(x != "<*>" for x in fixed) >= max(min_constant * sum(x != "<*>" for x in tokens), 1):
             template[leaf, tokens] = (leaf, tuple(fixed))
     members = defaultdict(list)
     for d, pos, leaf, tokens in lines:

@@ -47,3 +47,10 @@ def test_odd_rows(spark, odd):
             assert step.columns == docs.columns
         P.STAGES[-1][1](spark, step, SF).collect()
     assert PATH
+
+
+def test_columns_named_like_those_that_stages_add(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"'own' AS {c}" for c in ("score", "ambiguous", "lang_pred", "n_lines", "n_dropped", "copy", "n_copies", "shuffle_key", "found")])
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert all(set(r[5:]) == {"own"} for r in docs.collect())

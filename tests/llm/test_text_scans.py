@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
 import regex
 
-from verigrain.llm.fingerprints import canonical, canonical_groups, digest, edited_text, fingerprint_with_next
-from verigrain.llm.licenses import BASE_PHRASES, NOTICES, NoticeSearch, scan_licenses
+from verigrain.llm.fingerprints import canonical, canonical_groups, digest, edited_text, fingerprint_with_next, fingerprints_with_groups
+from verigrain.llm.licenses import BASE_PHRASES, NOTICES, NoticeSearch, scan_licenses, scan_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -77,3 +79,49 @@ def test_canonical_groups(small, odd):
             same = [i for i, f in rows if f == form]
             assert r["group_size"] == len(same) and r["fingerprint"] == digest(form)
             assert r["group_id"] == min((i for i in same if i is not None), default=None)
+
+
+def test_license_time_grows_with_the_text():
+    """Many places, exact and with edits, in one text: twice the text takes about twice the time."""
+    search = NoticeSearch()
+    for unit in (b"mit license ", b"mit licence x ", b"gnu general public license "):
+        took = []
+        for n in (4000, 16000):
+            start = time.process_time()
+            row = scan_text(search, unit * n, BASE_PHRASES)
+            took.append(time.process_time() - start)
+            assert row["labels"] in ("mit", "gpl") and len(row["spans"]) >= n
+        assert took[1] < 10 * took[0] + 0.5
+
+
+def edited(words, edits, rng):
+    """``words`` with letters replaced inside, but not next to each other."""
+    out = list(words)
+    for at in rng.sample(range(4, len(words) - 1, 2), edits):
+        if out[at] != " ":
+            out[at] = "q"
+    return "".join(out)
+
+
+def test_planted_notices_with_edits():
+    """Every notice with 0 to its number of edits is found; words that only look alike are not."""
+    rng, search = random.Random(3), NoticeSearch()
+    for n in NOTICES:
+        for k in range(n.edits + 1):
+            for _ in range(5):
+                text = f"some words before {edited(n.words, min(k, len(n.words) // 4), rng)} and after"
+                assert n.label in scan_text(search, text.encode(), {})["labels"].split(","), text
+    for clean in ("it license", "is license", "the mint licence plate", "general public", "apache helicopter", "a driving license", "cc by"):
+        assert scan_text(search, clean.encode(), {})["labels"] == "", clean
+
+
+def test_groups_beside_the_fingerprints(spark, small, odd):
+    """The query's groups are those of the canonical forms, a hot group included."""
+    hot = spark.range(900).selectExpr("id doc_id", "if(id % 3 = 0, if(id % 2 = 0, 'The  Same', 'the same'), concat('own ', id)) text")
+    for docs in (small, odd, odd.limit(0), hot):
+        forms = {}
+        for r in docs.collect():
+            forms.setdefault(canonical(r["text"] or ""), []).append(r["doc_id"])
+        want = sorted((digest(f), min((i for i in ids if i is not None), default=None), len(ids)) for f, ids in forms.items() for _ in ids)
+        got = fingerprints_with_groups(docs).collect()
+        assert sorted((r["fingerprint"], r["group_id"], r["group_size"]) for r in got) == want

@@ -49,3 +49,22 @@ def with_bitmap_flag(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -
     )
     hit = F.getbit(byte, (bit % 8).cast("int")) == 1
     return probed.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("bm_at", "bm_bucket", "bm_bits")
+
+
+#: Groups of more rows are hot: their rows are dealt over so many salts.
+HOT_GROUP, SALTS = 256, 64
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row per value of ``keys``, whose number of rows is ``size``).
+
+    A bitmap of the hot groups tells both sides alike which keys are salted, also where it errs; the group's one row is
+    repeated for each salt. So no task gets all rows of a group.
+    """
+    key = F.xxhash64(*keys)
+    hot = bitmap_of(groups.where(F.col(size) > HOT_GROUP), key)
+    salt = F.when(F.col("hot_key"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    salts = F.when(F.col("hot_key"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    rows = with_bitmap_flag(rows, key, hot, "hot_key").withColumn("salt", salt.cast("long")).drop("hot_key")
+    groups = with_bitmap_flag(groups, key, hot, "hot_key").withColumn("salt", F.explode(salts)).drop("hot_key")
+    return rows.join(groups, [*keys, "salt"], "left").drop("salt")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from verigrain.llm.columns import bitmap_of, with_bitmap_flag
+from verigrain.llm.columns import bitmap_of, salted_join, with_bitmap_flag
 from verigrain.plans.durable import durable
 
 
@@ -46,6 +46,7 @@ def _row(text: str, after: str) -> tuple:
     own, changed, following = canonical(text), canonical(edited), canonical(after)
     return (
         len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(changed), likeness(own, changed), likeness(own, following),
+        hashlib.sha256(text.encode()).hexdigest(),
     )
 
 
@@ -63,31 +64,53 @@ def canonical_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows count; an empty table gives an empty result; other columns are ignored.
     """
 
-    @arrow_udf("string")
-    def form(texts: pa.Array) -> pa.Array:
-        return pa.array([canonical(t or "").decode() for t in texts.to_pylist()], pa.string())
-
     @arrow_udf("string")
     def fingerprint(texts: pa.Array) -> pa.Array:
         return pa.array([digest(canonical(t or "")) for t in texts.to_pylist()], pa.string())
 
-    rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    marked = durable(rows.select("row_id", fingerprint("text").alias("fp"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw")))
-    shared = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("a"), F.max("raw").alias("b")).where("n > 1 AND a <> b")
-    bitmap = bitmap_of(shared, F.xxhash64("fp"))
-    bytes_of = with_bitmap_flag(rows.withColumn("form", form("text")).withColumn("fp", fingerprint("text")), F.xxhash64("fp"), bitmap, "twice")
-    clashing = bytes_of.where("twice").groupBy("fp").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fp")
-    split = bytes_of.join(clashing, "fp", "left_semi").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("raw"), "fp", F.sha2("form", 256).alias("part")).distinct()
-    keyed = marked.join(split, ["raw", "fp"], "left").withColumn("part", F.coalesce("part", F.lit("")))
-    groups = durable(keyed.groupBy("fp", "part").agg(F.min("row_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")))
-    return keyed.join(groups, ["fp", "part"]).select(F.col("row_id").alias(id_col), F.col("fp").alias("fingerprint"), "group_id", "group_size")
+    rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marked = durable(rows.select("row_id", fingerprint("text").alias("fingerprint"), F.sha2("text", 256).alias("raw")))
+    return grouped(marked, rows.select("text")).select(F.col("row_id").alias(id_col), "fingerprint", "group_id", "group_size")
+
+
+def grouped(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``marked`` (with row_id, fingerprint and raw, the SHA-256 of the text) plus group_id and group_size.
 
+    ``texts`` holds all of their texts; those of equal fingerprint but unequal SHA-256 are read again.
+    """
 
-def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    @arrow_udf("struct<form:string,fingerprint:string>")
+    def forms(column: pa.Array) -> pa.Array:
+        found = [canonical(t) for t in column.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f.decode() for f in found], pa.string()), pa.array(list(map(digest, found)), pa.string())], ["form", "fingerprint"])
+
+    buckets = durable(marked.groupBy("fingerprint").agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.min("row_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")))
+    mixed = buckets.where("a <> b").select("fingerprint")
+    raws = durable(marked.select("raw", "fingerprint").distinct().join(mixed, "fingerprint", "left_semi").select("raw"))
+    chosen = with_bitmap_flag(texts.withColumn("raw", F.sha2("text", 256)), F.xxhash64("raw"), bitmap_of(raws, F.xxhash64("raw")), "chosen").where("chosen")
+    # The smallest and the largest form of each bucket: partial aggregation brings them down to a pair for each task.
+    seen = chosen.select("raw", forms("text").alias("f")).select("raw", "f.*")
+    clashing = seen.groupBy("fingerprint").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fingerprint")
+    part = durable(seen.join(clashing, "fingerprint", "left_semi").select("raw", "fingerprint", F.sha2("form", 256).alias("part")).distinct())
+    if part.isEmpty():
+        return salted_join(marked, buckets.drop("a", "b"), ["fingerprint"], "group_size").drop("raw")
+    keyed = durable(marked.join(part, ["raw", "fingerprint"], "left").withColumn("part", F.coalesce("part", F.lit(""))))
+    groups = durable(keyed.groupBy("fingerprint", "part").agg(F.min("row_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")))
+    return salted_join(keyed, groups, ["fingerprint", "part"], "group_size").drop("raw", "part")
+
+
+def fingerprints_with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``fingerprint_with_next`` plus group_id and group_size, as ``canonical_groups`` has them, from the same digests."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = durable(fingerprint_with_next(docs, id_col, text_col, with_raw=True))
+    return grouped(found.withColumnRenamed(id_col, "row_id"), texts).withColumnRenamed("row_id", id_col).select(id_col, *FIELDS, "group_id", "group_size")
+
+
+def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, with_raw: bool = False) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and its likeness to that text and to the next document.
 
     The next document is the one with the next larger id; after the last comes the first. Columns: ``id_col`` and
-    those of ``FIELDS``. One range shuffle brings neighbours together; only the last row of each partition waits
+    those of ``FIELDS``, and raw (SHA-256 of the text) ``with_raw``. One range shuffle brings neighbours together; only the last row of each partition waits
     for the first of the following one, and those few rows meet in a second, small step.
 
     Null text counts as empty. A null id comes before all others; rows that repeat an id follow each other in the
@@ -96,24 +119,24 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(partitions, "row_id") if partitions else rows.repartitionByRange("row_id")
     kind = rows.schema["row_id"].dataType.simpleString()
-    schema = f"row_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, edge string, text string"
+    schema = f"row_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, raw string, part int, edge string, text string"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), None
         for batch in batches:
-            names = ("row_id", *FIELDS, "part", "edge", "text")
+            names = ("row_id", *FIELDS, "raw", "part", "edge", "text")
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 256):
                 out = []
                 for row_id, text in zip(ids.slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist(), strict=True):
                     if before is None:
-                        out.append((row_id, *[None] * 6, part, "first", text))
+                        out.append((row_id, *[None] * 7, part, "first", text))
                     else:
                         out.append((before[0], *_row(before[1], text), part, None, None))
                     before = row_id, text
                 yield _record(names, out, batch.schema.field(0).type)
         if before is not None:
-            yield _record(("row_id", *FIELDS, "part", "edge", "text"), [(before[0], *[None] * 6, part, "last", before[1])], ids.type)
+            yield _record(("row_id", *FIELDS, "raw", "part", "edge", "text"), [(before[0], *[None] * 7, part, "last", before[1])], ids.type)
 
     walked = durable(dealt.sortWithinPartitions("row_id", "text").mapInArrow(walk, schema))
     firsts = walked.where("edge = 'first'").select(F.col("part").alias("part_"), F.col("text").alias("after"))
@@ -126,17 +149,19 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     lasts = walked.where("edge = 'last'").select("row_id", "part", "text").join(following, "part").join(firsts, "part_")
 
-    @arrow_udf("struct<n_chars:bigint,edited_sha256:string,fingerprint:string,edited_fingerprint:string,near_edited:double,near_next:double>")
+    @arrow_udf("struct<n_chars:bigint,edited_sha256:string,fingerprint:string,edited_fingerprint:string,near_edited:double,near_next:double,raw:string>")
     def meet(texts: pa.Array, after: pa.Array) -> pa.Array:
         found = [_row(t, a) for t, a in zip(texts.to_pylist(), after.to_pylist(), strict=True)]
-        return pa.array([dict(zip(FIELDS, r, strict=True)) for r in found], pa.struct(list(zip(FIELDS, _TYPES, strict=True))))
+        names = (*FIELDS, "raw")
+        return pa.array([dict(zip(names, r, strict=True)) for r in found], pa.struct(list(zip(names, _TYPES, strict=True))))
 
     met = lasts.withColumn("met", meet("text", "after")).select("row_id", "met.*")
-    inner = walked.where("edge IS NULL").select("row_id", *FIELDS)
-    return inner.unionByName(met).withColumnRenamed("row_id", id_col)
+    inner = walked.where("edge IS NULL").select("row_id", *FIELDS, "raw")
+    found = inner.unionByName(met).withColumnRenamed("row_id", id_col)
+    return found if with_raw else found.drop("raw")
 
 
-_TYPES = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_TYPES = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
 
 
 def _record(names: tuple[str, ...], rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:

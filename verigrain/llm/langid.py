@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from verigrain.llm.columns import free_name
 from verigrain.llm.sampling import bounded
 from verigrain.llm.textkit import as_bytes, sigmoid, slices
 
@@ -77,16 +78,17 @@ class LanguageModel:
 
 def train_language_model(
     docs: DataFrame, trainable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_language: int = 1500, min_docs: int = 3, rounds: int = 60, seed: int = 11,
+    docs_per_language: int = 1500, docs_in_all: int = 12_000, rounds: int = 60, seed: int = 11,
 ) -> LanguageModel:
     """Fit on at most about ``docs_per_language`` documents of each language, chosen by a hash of the id.
 
-    Rows without text or language are left out, as are languages with fewer than ``min_docs`` documents, unless
-    no language has more. Without any row the model knows no language and finds every text undetermined.
+    With many languages each has fewer, so that they are about ``docs_in_all`` together: the driver's memory is
+    bounded. Rows without text or language are left out. Without any row the model knows no language and finds
+    every text undetermined.
     """
     rows = docs.where(trainable) if trainable is not None else docs
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = bounded(rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull()), "id", "lang", docs_per_language, seed)
+    rows = bounded(rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull()), "id", "lang", docs_per_language, seed, docs_in_all)
 
     @arrow_udf("binary")
     def sparse(texts: pa.Array) -> pa.Array:
@@ -98,11 +100,7 @@ def train_language_model(
         return pa.array(out, pa.binary())
 
     got = rows.select("id", "lang", sparse("text").alias("x")).orderBy("id", "lang", F.crc32("x")).collect()  # bounded by docs_per_language
-    tally = {l: 0 for l in sorted({r["lang"] for r in got})}
-    for r in got:
-        tally[r["lang"]] += 1
-    languages = [l for l, n in tally.items() if n >= min_docs] or list(tally)
-    got = [r for r in got if r["lang"] in languages]
+    languages = sorted({r["lang"] for r in got})
     code = codewords(len(languages))
     if not got:
         return LanguageModel([], np.ones((0, 1)), np.zeros((BUCKETS, 1), np.float32), np.zeros(1), np.ones(1))
@@ -161,5 +159,6 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
     get equal answers, an empty table an empty result, and a text is read whole whatever its length.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
-    found = docs.withColumn("__found", language_of(model, docs.sparkSession, F.col(text_col).cast("string")))
-    return found.withColumns({c: F.col(f"__found.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("__found")
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, language_of(model, docs.sparkSession, F.col(text_col).cast("string")))
+    return found.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop(name)

@@ -7,16 +7,19 @@ piece does the regex library search the notice with its bounded-error matching a
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from verigrain.llm.columns import free_name
 from verigrain.llm.textkit import as_bytes, slices, words_of
 
 #: Exact phrases and their labels.
@@ -33,6 +36,8 @@ class Notice:
     words: str
     label: str
     edits: int
+    #: First words that must be unchanged, where they alone tell the licence.
+    head: str = ""
 
 
 #: Short notices and how many character edits each may have.
@@ -42,7 +47,7 @@ NOTICES = (
     Notice("gnu affero general public license", "agpl", 3),
     Notice("apache license", "apache", 2),
     Notice("licensed under the apache license version", "apache", 4),
-    Notice("mit license", "mit", 1),
+    Notice("mit license", "mit", 1, "mit"),
     Notice("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     Notice("creative commons attribution", "cc-by", 3),
     Notice("licensed under cc by", "cc-by", 2),
@@ -50,7 +55,7 @@ NOTICES = (
     Notice("mozilla public license", "mpl", 2),
     Notice("eclipse public license", "epl", 2),
     Notice("boost software license", "bsl", 2),
-    Notice("isc license", "isc", 1),
+    Notice("isc license", "isc", 1, "isc"),
 )
 
 
@@ -59,7 +64,9 @@ class NoticeSearch:
 
     def __init__(self, notices: tuple[Notice, ...] = NOTICES):
         self.notices = notices
-        self.exact = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.edits}}}(?![^ ])") for n in notices]
+        self.exact = [
+            regex.compile(rf"(?b)(?<![^ ]){regex.escape(n.head)}(?:{regex.escape(n.words.removeprefix(n.head))}){{e<={n.edits}}}(?![^ ])") for n in notices
+        ]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(notices):
             cuts = [round(i * len(n.words) / (n.edits + 1)) for i in range(n.edits + 2)]
@@ -71,27 +78,37 @@ class NoticeSearch:
         self.automaton.make_automaton()
 
     def candidates(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """For each notice, the merged windows around its seeds."""
+        """For each notice, the windows around its seeds, merged as far as they stay short: the search for the best
+        match reads a window once for each match in it."""
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.automaton.iter(text):
             for k, at in uses:
                 n, start = self.notices[k], end + 1 - size - at
                 a, b = max(0, start - n.edits - 1), min(len(text), start + len(n.words) + n.edits + 1)
                 own = windows.setdefault(k, [])
-                if own and a <= own[-1][1]:
+                if own and a <= own[-1][1] and b - own[-1][0] <= 4 * len(n.words):
                     own[-1] = own[-1][0], max(own[-1][1], b)
                 else:
                     own.append((a, b))
         return windows
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) of every match, not overlapping within a notice, in order."""
+        """(notice, start, end, edits) of every match, not overlapping within a notice, in order. Of matches that
+        overlap, the one of the fewest edits counts."""
         out = []
         for k, windows in sorted(self.candidates(text).items()):
-            for a, b in windows:
-                for m in self._matches(k, text, a, b):
-                    out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return out
+            found = {
+                (sum(m.fuzzy_counts), m.start(), m.end())
+                for a, b in windows for m in self._matches(k, text, a, b) if m.end() == len(text) or text[m.end()] == " "
+            }
+            starts, ends = [], []
+            for edits, start, end in sorted(found):
+                at = bisect.bisect_left(ends, start)
+                if at == len(starts) or starts[at] >= end:
+                    starts.insert(at, start)
+                    ends.insert(at, end)
+                    out.append((k, start, end, edits))
+        return sorted(out)
 
     def _matches(self, k: int, text: str, a: int, b: int) -> Iterator[regex.Match]:
         """Matches of a window in order. The best of what is left comes first from the pattern; others, of more edits,
@@ -108,21 +125,26 @@ def scan_text(search: NoticeSearch, text: bytes, phrases: dict[str, str]) -> dic
     """The row of one text, see ``scan_licenses``."""
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     places, base = [], set()
     for phrase, label in phrases.items():
         wanted = b" " + phrase.encode() + b" "
         at = joined.find(wanted)
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
             at = joined.find(wanted, at + 1)
+    places = np.searchsorted(blanks, places).tolist()
     plain = joined[1:-1].decode("utf-8", "replace")
+    found = search.find(plain)
+    if found:
+        blanks = blanks[1:-1] - 1 if plain.isascii() else np.cumsum([len(w) + 1 for w in plain.split(" ")])[:-1] - 1
     spans, labels, best = [], set(base), 1.0 if base else 0.0
-    for k, start, end, edits in search.find(plain):
+    for k, start, end, edits in found:
         notice = search.notices[k]
         labels.add(notice.label)
         best = max(best, 1.0 - edits / len(notice.words))
-        spans.append({"notice": notice.words, "first_word": plain.count(" ", 0, start), "last_word": plain.count(" ", 0, end - 1), "edits": edits})
+        spans.append({"notice": notice.words, "first_word": int(np.searchsorted(blanks, start)), "last_word": int(np.searchsorted(blanks, end - 1)), "edits": edits})
     return {
         "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": best, "spans": spans,
@@ -161,5 +183,6 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", notices: tuple[Notice
             yield pa.array([scan_text(search, t, phrases) for some in slices(texts) for t in as_bytes(some)], _ROW)
 
     docs = docs.drop(*FIELDS)
-    found = docs.withColumn("__found", scan(F.col(text_col).cast("string")))
-    return found.withColumns({c: F.col(f"__found.{c}") for c in FIELDS}).drop("__found")
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, scan(F.col(text_col).cast("string")))
+    return found.withColumns({c: F.col(f"{name}.{c}") for c in FIELDS}).drop(name)

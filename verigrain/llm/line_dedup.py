@@ -18,6 +18,8 @@ from verigrain.llm.columns import bitmap_of, free_name, text_or_empty, with_bitm
 from verigrain.plans.durable import durable
 
 VARIABLE = "<*>"
+#: Tokens of a line that are hashed together.
+BLOCK = 64
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
@@ -51,14 +53,14 @@ def line_dedup(
     text_col: str = "text",
     depth: int = 3,
     min_docs: int = 10,
-    min_tokens: int = 3,
     min_constant: float = 0.8,
 ) -> DataFrame:
     """``docs`` with recurring lines removed from ``text_col``; adds n_lines and n_dropped (bigint).
 
-    A template recurs if at least ``min_docs`` documents have a line of it, it has at least ``min_tokens`` tokens,
-    and at least the share ``min_constant`` of them is constant. Its first line, by id and then position, stays;
-    the other lines of the template go. Lines are what line feeds separate.
+    A template recurs if at least ``min_docs`` documents have a line of it and it has a constant token, as must be at
+    least the share ``min_constant`` of its tokens without a digit. Its first line, by id and then position, stays;
+    the other lines of the template go. Lines are what line feeds separate; they may be of any length, so that
+    ``min_docs`` copies of a document vanish whole and leave no stubs of their short lines.
 
     * Null or empty text: no lines count, the text becomes empty. Blank lines always stay.
     * A document is a row: rows that repeat an id with another text are separate; rows that repeat both id and
@@ -67,7 +69,7 @@ def line_dedup(
     * Empty table: empty result.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    lines = line_table(docs, id_col, text_col, depth).where(F.col("n_tokens") >= min_tokens)
+    lines = line_table(docs, id_col, text_col, depth)
     slim = durable(lines.select("row_id", "text_key", "pos", "leaf", "n_tokens", F.xxhash64("masked").alias("line")))
 
     held = slim.select("row_id", "text_key", "leaf", "line").distinct()
@@ -90,15 +92,20 @@ def line_dedup(
         .where(F.col("seen") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
     )
     field = F.struct("at", F.when(F.col("fixed") == 1, F.col("token")).otherwise(F.lit(VARIABLE)).alias("as"))
-    templates = (
+    # The tokens of one line may be very many: they meet in blocks, whose hashes make the template.
+    blocks = (
         tokens.join(constant, ["leaf", "at", "token"], "left")
-        .groupBy("leaf", "line")
+        .groupBy("leaf", "line", (F.col("at") / BLOCK).cast("int").alias("block"))
         .agg(
-            F.sort_array(F.collect_list(field)).alias("fields"),  # as many as one line has tokens
+            F.xxhash64(F.sort_array(F.collect_list(field))).alias("fields"),  # at most ``BLOCK``
             F.sum(F.coalesce("fixed", F.lit(0))).alias("n_fixed"),
-            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("token") != VARIABLE).alias("n_plain"),
         )
-        .where(F.col("n_fixed") >= F.lit(min_constant) * F.col("n"))
+    )
+    templates = (
+        blocks.groupBy("leaf", "line")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "fields"))).alias("fields"), F.sum("n_fixed").alias("n_fixed"), F.sum("n_plain").alias("n_plain"))
+        .where((F.col("n_fixed") > 0) & (F.col("n_fixed") >= F.lit(min_constant) * F.col("n_plain")))
         .select("leaf", "line", F.xxhash64("leaf", "fields").alias("template"))
     )
     placed = durable(slim.join(templates, ["leaf", "line"]).select("row_id", "text_key", "pos", "template"))

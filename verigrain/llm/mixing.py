@@ -40,12 +40,15 @@ def poisson_cdf(mean: Column) -> Column:
 
 def mixing_rates(docs: DataFrame, weights: dict[str, float], source_col: str, text_col: str) -> DataFrame:
     """One row per group: grp, size (characters), rate, parts, cdf. At most ``len(weights) + 1`` rows."""
-    total_weight = math.fsum(weights.values())
-    shares = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, w / total_weight)])
+    given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
     sizes = docs.groupBy(_group(weights, source_col).alias("grp")).agg(F.sum(F.length(text_or_empty(text_col))).alias("size"))
-    whole = F.sum("size").over(Window.partitionBy(F.lit(0)))  # over at most len(weights) + 1 rows
-    share = F.coalesce(F.try_element_at(shares, F.col("grp")), F.lit(0.0))
-    rate = F.when(F.col("size") > 0, share * whole.cast("double") / F.col("size").cast("double")).otherwise(F.lit(0.0))
+    all_groups = Window.partitionBy(F.lit(0))  # at most len(weights) + 1 rows
+    weight = F.coalesce(F.try_element_at(given, F.col("grp")), F.lit(0.0))
+    # Summed in order of the names, so that a rerun rounds alike.
+    present = F.aggregate(F.sort_array(F.collect_list(F.when(F.col("size") > 0, F.struct("grp", weight.alias("w")))).over(all_groups)), F.lit(0.0), lambda acc, x: acc + x["w"])
+    sizes = sizes.select("grp", "size", weight.alias("weight"), present.alias("present"), F.sum("size").over(all_groups).cast("double").alias("whole"))
+    scaled = F.col("weight") / F.col("present") * F.col("whole") / F.col("size").cast("double")
+    rate = F.when((F.col("size") > 0) & (F.col("present") > 0), scaled).otherwise(F.lit(0.0))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(LARGEST_PART)).cast("int"))
     return (
         sizes.select("grp", "size", rate.alias("rate"))
@@ -67,11 +70,12 @@ def mix_sources(
 
     ``weights`` names sources and their target shares of all characters; the key ``*`` stands for every source
     not named, null included, as one group. A group without a weight, or with weight 0, vanishes. Shares are
-    divided by their sum. The output has about as many characters as the input.
+    divided by the sum of those of groups that occur and have text, so the output has about as many characters as
+    the input. If only groups of weight 0 occur, nothing is left.
 
     * Null source: group ``*``. Null text: no characters; the document is drawn at its group's rate like any other.
       A group whose texts are all empty has no size to scale by and gets rate 0.
-    * Rows that repeat an id get equal counts and keys; both appear. Null ids draw like the text "null".
+    * Rows that repeat an id get equal counts and keys; both appear. A row with a null id draws by its text's hash.
     * Columns of ``docs`` named copy, n_copies or shuffle_key are replaced; all others are kept.
     * Empty table: empty result.
     """
@@ -82,7 +86,7 @@ def mix_sources(
     rates = mixing_rates(docs, weights, source_col, text_col).select(
         F.col("grp").alias(grp), F.col("parts").alias(parts), F.col("cdf").alias(part_cdf)
     )
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.md5(text_or_empty(text_col))))
 
     def one(part: Column) -> Column:
         u = hashed_uniform(F.lit(str(seed)), ident, part.cast("string"))

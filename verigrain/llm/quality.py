@@ -61,41 +61,75 @@ class QualityModel:
         return sigmoid(_binned(measures, self.edges) @ self.weights + self.bias)
 
 
-def _binned(measures: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """One-hot quantile bins, BINS columns for each measure."""
-    out = np.zeros((len(measures), edges.shape[1] * BINS), np.float32)
-    for j in range(edges.shape[1]):
-        out[np.arange(len(measures)), j * BINS + np.searchsorted(edges[:, j], measures[:, j], "right")] = 1
-    return out
+class Binned:
+    """One-hot quantile bins, BINS columns for each measure, by the numbers of the columns that are one."""
 
+    def __init__(self, at: np.ndarray):
+        self.at, self.shape = at, (len(at), at.shape[1] * BINS)
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, rows: np.ndarray) -> Binned:
+        return Binned(self.at[rows])
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return weights[self.at].sum(1)
+
+    def pulled(self, slope: np.ndarray) -> np.ndarray:
+        """The transpose times ``slope``."""
+        return np.bincount(self.at.ravel(), np.repeat(slope, self.at.shape[1]), self.shape[1])
+
+
+def _binned(measures: np.ndarray, edges: np.ndarray) -> Binned:
+    at = [j * BINS + np.searchsorted(edges[:, j], measures[:, j], "right") for j in range(edges.shape[1])]
+    return Binned(np.stack(at, 1))
+
+
+def fit_nnpu(positive: Binned, unlabelled: Binned, prior: float, rounds: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk under the logistic loss (Adam, whole batches)."""
-    x = np.vstack([positive, unlabelled])
-    w, b, n = np.zeros(x.shape[1]), 0.0, len(positive)
+    w, b, n, u = np.zeros(positive.shape[1]), 0.0, len(positive), len(unlabelled)
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        p = sigmoid(x @ w + b)
-        pos, unl = p[:n], p[n:]
-        as_negative = -np.log1p(-np.clip(p, 0, 1 - 1e-9))
-        below = as_negative[n:].mean() - prior * as_negative[:n].mean()
-        slope = np.concatenate([prior * (pos - 1) / n, np.zeros(len(unl))])
-        negative = np.concatenate([-prior * pos / n, unl / len(unl)])
-        slope = slope + negative if below >= 0 else -negative  # step back out of a negative risk
-        g = np.append(x.T @ slope + l2 * w, slope.sum())
+        pos, unl = sigmoid(positive @ w + b), sigmoid(unlabelled @ w + b)
+        below = -np.log1p(-np.clip(unl, 0, 1 - 1e-9)).mean() + prior * np.log1p(-np.clip(pos, 0, 1 - 1e-9)).mean()
+        # Slopes of the positives' risk and of the negative risk, by the margin of each text.
+        if below >= 0:
+            by_pos, by_unl = prior * (pos - 1) / n - prior * pos / n, unl / u
+        else:  # step back out of a negative risk
+            by_pos, by_unl = prior * pos / n, -unl / u
+        g = np.append(positive.pulled(by_pos) + unlabelled.pulled(by_unl) + l2 * w, by_pos.sum() + by_unl.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int) -> float:
-    """Share of positives in the unlabelled text by the mean score of held-back positives (Elkan and Noto)."""
-    order = np.random.default_rng(seed).permutation(len(positive))
-    back, front = positive[order[: len(order) // 5 + 1]], positive[order[len(order) // 5 :]]
-    w, b = fit_nnpu(front, unlabelled, len(front) / (len(front) + len(unlabelled)), rounds=150, l2=1e-3)
-    ratio = sigmoid(unlabelled @ w + b).mean() / max(sigmoid(back @ w + b).mean(), 1e-6)
-    return float(np.clip(ratio, 0.05, 0.95))
+def estimated_prior(positive: Binned, unlabelled: Binned, seed: int, parts: int = 2, turns: int = 3) -> float:
+    """Share of positives in the unlabelled text, by the best bin of a score (Garg et al., 2021).
+
+    Above any score the unlabelled text has at least that share of what trusted positives have there. The score is
+    taken above which the two shares' quotient, with its margin of error, is least. Each part of either sample is
+    scored by a model of the other parts: one that had met the unlabelled texts as negatives would score them too low.
+    The better the score, the closer the bound, so each turn scores with the prior that the one before has found.
+    """
+    rng = np.random.default_rng(seed)
+    folds = [rng.permutation(np.arange(len(x)) % parts) for x in (positive, unlabelled)]
+    if min(len(positive), len(unlabelled)) < parts:
+        return 0.5
+    prior = 0.5
+    for _ in range(turns):
+        scores: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        for k in range(parts):
+            w, b = fit_nnpu(positive[folds[0] != k], unlabelled[folds[1] != k], prior, rounds=100, l2=1e-3)
+            for out, x, fold in zip(scores, (positive, unlabelled), folds, strict=True):
+                out.append(x[fold == k] @ w + b)
+        trusted, web = (np.sort(np.concatenate(s)) for s in scores)
+        above = np.arange(len(trusted), 0, -1) / len(trusted)
+        ratio = (len(web) - np.searchsorted(web, trusted)) / len(web) / above
+        error = sum(np.sqrt(np.log(40) / 2 / len(x)) for x in (trusted, web)) / above
+        prior = float(np.clip(ratio[np.argmin(ratio + error)], 0.05, 0.95))
+    return prior
 
 
 def train_quality_model(
@@ -104,11 +138,10 @@ def train_quality_model(
 ) -> QualityModel:
     """Fit on at most about ``cap`` trusted positives and ``cap`` unlabelled documents, none of the held-out fold.
 
-    The prior is the share of positives among the labelled rows of the training folds if both labels occur there,
-    else estimated from scores, unless given. Null ids, null labels and labels of unknown documents are left out.
-    Without positives the model scores every text 0.5.
+    The class prior is estimated from positives and unlabelled text, unless given; labels of negatives are not used.
+    Null ids, null labels and labels of unknown documents are left out. Without positives the model scores every
+    text 0.5.
     """
-    known = {r[0]: r[1] for r in labels.where(F.col(label_col).isNotNull() & (crc_fold(id_col, folds) != held_out)).groupBy((F.col(label_col) > 0).cast("int")).count().collect()}
     trusted = labelled_sample(labels.where(F.col(label_col) > 0), label_col, id_col, folds, held_out, cap, seed).select(F.col(id_col).alias("id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     web = bounded(texts.where(crc_fold("id", folds) != held_out).withColumn("all", F.lit(1)), "id", "all", cap, seed + 1)
@@ -119,8 +152,7 @@ def train_quality_model(
     edges = np.quantile(np.vstack([positive, unlabelled]), np.arange(1, BINS) / BINS, axis=0).astype(np.float32)
     positive, unlabelled = _binned(positive, edges), _binned(unlabelled, edges)
     if prior is None:
-        both = len(known) == 2
-        prior = known[1] / (known[0] + known[1]) if both else estimated_prior(positive, unlabelled, seed)
+        prior = estimated_prior(positive, unlabelled, seed)
     w, b = fit_nnpu(positive, unlabelled, prior)
     return QualityModel(edges, w, b, prior)
 

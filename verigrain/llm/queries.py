@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verigrain.llm.columns import ascii_lower, text_or_empty
 from verigrain.llm.exact_dedup import exact_dedup
-from verigrain.llm.fingerprints import fingerprint_with_next
+from verigrain.llm.fingerprints import fingerprints_with_groups
 from verigrain.llm.langid import identify_language, train_language_model
 from verigrain.llm.licenses import scan_licenses
 from verigrain.llm.line_dedup import line_dedup
@@ -34,8 +33,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.sha2(ascii_lower(text_or_empty()), 256)
-    return exact_dedup(documents(spark, sf_dir), carry={"text_sha256": digest})
+    return exact_dedup(documents(spark, sf_dir), digest_col="text_sha256")
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +58,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_with_next(documents(spark, sf_dir))
+    return fingerprints_with_groups(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +109,10 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE d AS (
           SELECT *, CASE WHEN source IN ({_MIX_NAMED}) THEN source ELSE '*' END AS grp FROM documents),
         sizes AS (SELECT grp, sum(length(coalesce(text, ''))) AS size FROM d GROUP BY grp),
+        shares AS (SELECT grp, size, CASE grp {_MIX_CASE} END AS weight FROM sizes),
         rates AS (
-          SELECT grp, CASE WHEN size > 0 THEN (CASE grp {_MIX_CASE} END) / {sum(MIX_WEIGHTS.values())!r}::DOUBLE
-                        * (SELECT sum(size) FROM sizes)::DOUBLE / size::DOUBLE ELSE 0 END AS rate FROM sizes),
+          SELECT grp, CASE WHEN size > 0 THEN weight / (SELECT sum(weight ORDER BY grp) FROM shares WHERE size > 0)
+                        * (SELECT sum(size) FROM sizes)::DOUBLE / size::DOUBLE ELSE 0 END AS rate FROM shares),
         cdf AS (
           SELECT grp, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
           UNION ALL
@@ -151,7 +150,7 @@ ORACLES: dict[str, str] = {
         masked AS (
           SELECT doc_id, pos, string_split(m, ' ') AS toks, m FROM (
             SELECT doc_id, pos, regexp_replace(f, '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS m FROM folded) WHERE m <> ''),
-        slim AS (SELECT *, len(toks) || '|' || list_aggregate(toks[1:3], 'string_agg', ' ') AS leaf FROM masked WHERE len(toks) >= 3),
+        slim AS (SELECT *, len(toks) || '|' || list_aggregate(toks[1:3], 'string_agg', ' ') AS leaf FROM masked),
         held AS (SELECT DISTINCT doc_id, leaf, m FROM slim),
         leaves AS (SELECT leaf FROM held GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
         cand AS (SELECT leaf, m, count(*) AS n_docs FROM held WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, m),
@@ -162,7 +161,7 @@ ORACLES: dict[str, str] = {
         templates AS (
           SELECT t.leaf, t.m, string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE t.token END, ' ' ORDER BY t.place) AS template
           FROM tokens t LEFT JOIN fixed f ON t.leaf = f.leaf AND t.place = f.place AND t.token = f.token
-          GROUP BY t.leaf, t.m HAVING count(f.token) >= 0.8::DOUBLE * count(*)),
+          GROUP BY t.leaf, t.m HAVING count(f.token) > 0 AND count(f.token) >= 0.8::DOUBLE * count(*) FILTER (t.token <> '<*>')),
         placed AS (SELECT doc_id, pos, leaf, template FROM slim JOIN templates USING (leaf, m)),
         recurring AS (
           SELECT leaf, template, min((doc_id, pos)) AS first FROM placed

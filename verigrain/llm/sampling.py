@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_STRATA = 2000
+
+
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
@@ -16,11 +19,18 @@ def hash_fraction(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def bounded(df: DataFrame, id_col: str, strata: str, cap: int, seed: int) -> DataFrame:
-    """About ``cap`` rows at most of each value of ``strata`` (a column of few values), chosen by a hash of the id."""
-    sizes = {r[0]: r[1] for r in df.where(F.col(strata).isNotNull()).groupBy(strata).count().collect()}
+def bounded(df: DataFrame, id_col: str, strata: str, cap: int, seed: int, in_all: int | None = None) -> DataFrame:
+    """About ``cap`` rows at most of each value of ``strata``, chosen by a hash of the id; about ``in_all`` together.
+
+    The values are listed on the driver: labels, or languages. More than ``MOST_STRATA`` of them are an error.
+    """
+    sizes = {r[0]: r[1] for r in df.where(F.col(strata).isNotNull()).groupBy(strata).count().limit(MOST_STRATA + 1).collect()}
+    if len(sizes) > MOST_STRATA:
+        raise ValueError(f"{strata} has more than {MOST_STRATA} values")
     if not sizes:
         return df.limit(0)
+    if in_all is not None:
+        cap = min(cap, max(in_all // len(sizes), 1))
     fraction = F.lit(0.0)
     for value, n in sizes.items():
         fraction = F.when(F.col(strata) == F.lit(value), F.lit(min(1.0, cap / n))).otherwise(fraction)

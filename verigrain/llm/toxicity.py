@@ -35,7 +35,7 @@ class TermsOf:
             terms = [b"w:" + word] + [b"s:" + chars[:n].encode() for n in STEMS if len(chars) > n]
             packed = 0
             for k, term in enumerate(terms):
-                packed |= ((xxhash.xxh3_64_intdigest(term) >> (64 - TERM_BITS)) | 1) << (TERM_BITS * k)
+                packed |= (xxhash.xxh3_64_intdigest(term) % ((1 << TERM_BITS) - 1) + 1) << (TERM_BITS * k)
             return packed
 
         self.table = HashOf(mix)
@@ -68,16 +68,28 @@ class ToxicityModel:
 
 
 def telling_terms(texts: list[np.ndarray], label: np.ndarray, least_z: float, common: float) -> tuple[np.ndarray, np.ndarray]:
-    """Terms whose share differs between the labels by ``least_z`` standard errors, and those that so many texts
-    have (share ``common``) that their meeting others can matter although they tell little alone."""
-    n1, n0 = label.sum(), (1 - label).sum()
-    terms, seen = np.unique(np.concatenate(texts), return_counts=True)
-    toxic = np.zeros(len(terms))
-    found, times = np.unique(np.concatenate([t for t, y in zip(texts, label, strict=True) if y]), return_counts=True)
-    toxic[np.searchsorted(terms, found)] = times
-    p = (seen + 1) / (n1 + n0 + 2)
-    z = np.abs(toxic / n1 - (seen - toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    kept = (z >= least_z) | (seen >= common * (n1 + n0))
+    """Terms whose share differs between the labels by ``least_z`` standard errors, in all texts or in those that hold
+    a term of toxic texts, so that a term that tells something only beside another is kept; and those that so many
+    texts have (share ``common``) that their meeting others can matter. With each its larger number of errors."""
+    terms = np.unique(np.concatenate(texts))
+    rows = [np.searchsorted(terms, t) for t in texts]
+
+    def difference(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Standard errors by which the share in toxic texts is above that in others, and how many texts have a term."""
+        n1, n0 = label[chosen].sum(), (1 - label[chosen]).sum()
+        seen, toxic = np.zeros(len(terms)), np.zeros(len(terms))
+        if not n1 or not n0:
+            return toxic, seen
+        for k in chosen:
+            seen[rows[k]] += 1
+            toxic[rows[k]] += label[k]
+        p = (seen + 1) / (n1 + n0 + 2)
+        return (toxic / n1 - (seen - toxic) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), seen
+
+    z, seen = difference(np.arange(len(texts)))
+    beside = difference(np.array([k for k, r in enumerate(rows) if (z[r] >= least_z).any()], int))[0]
+    z = np.maximum(np.abs(z), np.abs(beside))
+    kept = (z >= least_z) | (seen >= common * len(texts))
     return terms[kept], z[kept]
 
 
