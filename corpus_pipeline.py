@@ -6,9 +6,12 @@ to the next; ``run`` does the same through the checkpoint folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verigrain.llm.columns import free_name
 from verigrain.llm.langid import UNDETERMINED, identify_language, train_language_model
 from verigrain.llm.line_dedup import line_dedup
 from verigrain.llm.mixing import mix_sources
@@ -23,18 +26,33 @@ LEAST_SCORE = 0.5
 END_ID = 1
 
 
+def beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` makes of ``docs``, with the columns of ``docs`` alone. Those named like the columns that ``work``
+    adds keep their own values."""
+    held = {c: free_name(docs, c) for c in docs.columns if c.lower() in added}
+    done = work(docs.withColumnsRenamed(held))
+    return done.drop(*added).withColumnsRenamed({v: k for k, v in held.items()}).select(docs.columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined: ``und`` goes, and so does an ambiguous answer of a low score."""
     model = train_language_model(docs, crc_fold("doc_id", 4) != 2)
-    found = identify_language(docs, model)
-    rejected = (F.col("lang_pred") == UNDETERMINED) | (F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
-    return found.where(~rejected).select(docs.columns)
+
+    def accepted(rows: DataFrame) -> DataFrame:
+        rejected = (F.col("lang_pred") == UNDETERMINED) | (F.col("ambiguous") & (F.col("score") < LEAST_SCORE))
+        return identify_language(rows, model).where(~rejected)
+
+    return beside(docs, ("lang_pred", "score", "ambiguous"), accepted)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; a document of which nothing is left goes."""
-    cleaned = line_dedup(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        left = line_dedup(rows).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+        return left.withColumn("n_chars", F.length("text").cast("long"))
+
+    return beside(docs, ("n_lines", "n_dropped"), cleaned)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +63,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources reach their target weights, in shuffled order."""
-    return mix_sources(docs, MIX_WEIGHTS, MIX_SEED).select(docs.columns)
+    return beside(docs, ("copy", "n_copies", "shuffle_key"), lambda rows: mix_sources(rows, MIX_WEIGHTS, MIX_SEED))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
