@@ -80,7 +80,7 @@ def sar_amount(balance: Column, limit: Column) -> Column:
 
 def sar_narrative(identity: Column, score: Column, signals: Column, bust_out: Column) -> Column:
     return F.concat_ws(
-        " ", F.concat(F.lit("Suspected fabricated identity "), F.substring(identity.cast("string"), 1, 8), F.lit(".")), F.format_string("Score %d of 100.", F.floor(score * 100).cast("int")),
+        " ", F.concat(F.lit("Suspected fabricated identity "), F.substring(identity.cast("string"), 1, 8), F.lit(".")), F.format_string("Score %d of 100.", F.floor(F.round(score, 6).cast("decimal(18,6)") * 100).cast("int")),
         F.when(F.size(signals) > 0, F.concat(F.lit("Indicators: "), F.array_join(F.slice(signals, 1, 5), ", "), F.lit("."))), F.when(or_zero(bust_out) > 0.5, F.lit("Default may be near.")),
     )
 

@@ -6,7 +6,7 @@ identities, also where they are very many; such pairs are made in blocks, and ``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verigrain.config import CONFIG, EngineConfig
@@ -159,6 +159,34 @@ def detect_clusters(uses: DataFrame, algorithm: str = "components", min_size: in
     return cluster_scores(edges, durable(ways[algorithm](edges)), min_size)
 
 
+def ranked_clusters(clusters: DataFrame, min_score: float = 0.0, most: int = 50) -> DataFrame:
+    """The ``most`` clusters of at least ``min_score``, highest score first; ties by the smaller cluster."""
+    return clusters.where(F.col("score") >= min_score).orderBy(F.desc("score"), "cluster").limit(most)
+
+
+def members_of_clusters(edges: DataFrame, min_size: int = CONFIG.min_cluster_size, most: int = 100) -> DataFrame:
+    """(cluster_id, identity_id) of components of at least ``min_size``, the ``most`` smallest identities of each."""
+    found = connected_components(edges).select(F.col("node").alias("identity_id"), "component")
+    large = found.groupBy("component").count().where(F.col("count") >= min_size).select("component")
+    place = F.row_number().over(Window.partitionBy("component").orderBy("identity_id"))
+    first = found.join(large, "component").withColumn("place", place).where(F.col("place") <= most)
+    return first.select(F.concat(F.lit("cluster_"), F.col("component").cast("string")).alias("cluster_id"), "identity_id")
+
+
+def scoring_features(uses: DataFrame, scores: DataFrame) -> DataFrame:
+    """What the synthetic score takes from the graph, per identity with a link: identity_key, shared_ssn_count, size and
+    density of its component, and the mean of its neighbours' stored scores."""
+    edges = durable(identity_edges(uses))
+    labels = durable(connected_components(edges).select(F.col("node").alias("identity_id"), "component"))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
+    inside = edges.join(labels.withColumnRenamed("identity_id", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    n = F.col("cluster_size")
+    density = sizes.join(inside, "component").select("component", "cluster_size", (2.0 * F.col("m") / (n * (n - 1))).alias("cluster_density"))
+    found = degrees(edges).select("identity_id", "shared_ssn_count").join(labels.join(density, "component").drop("component"), "identity_id")
+    near = neighbour_scores(edges, scores).select("identity_id", F.round("neighbor_avg_score", 6).alias("neighbor_avg_score"))
+    return durable(found.join(near, "identity_id").withColumnRenamed("identity_id", "identity_key"))
+
+
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(identity_id, rank) over the undirected graph after so many rounds, from equal ranks that sum to 1."""
     ways = durable(both_ways(edges.select("src", "dst")))

@@ -66,7 +66,7 @@ def ensemble(people: DataFrame, velocity: DataFrame, graph: DataFrame, bust_out:
 def explanation(found: DataFrame) -> DataFrame:
     """A sentence per identity: level, score, strongest component and the first five signals."""
     text = F.concat(
-        F.lit("Risk "), F.col("final_level"), F.lit(" at "), F.format_string("%.2f", F.col("final_score")), F.lit("; strongest component "), F.col("top_component"),
+        F.lit("Risk "), F.col("final_level"), F.lit(" at "), F.round(F.round("final_score", 6).cast("decimal(18,6)"), 2).cast("decimal(18,2)").cast("string"), F.lit("; strongest component "), F.col("top_component"),
         F.when(F.size("all_signals") > 0, F.concat(F.lit("; signals: "), F.array_join(F.slice("all_signals", 1, 5), ", "))).otherwise(""),
     )
     return found.withColumn("explanation", text)

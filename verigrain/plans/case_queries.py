@@ -81,11 +81,10 @@ def recommendations(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_SYNTH} SELECT identity_key, CASE WHEN (identity_key % 100) / 100.0 > 0.7 THEN 'SYNTHETIC_IDENTITY_BUST_OUT' WHEN list_contains(sig, 'SHARED_SSN') THEN 'SYNTHETIC_IDENTITY_RING' ELSE 'SYNTHETIC_IDENTITY_FRAUD' END AS activity_type,
-    CASE WHEN c_acctbal + 1000 > 0 THEN round(c_acctbal + 1000, 2) END AS amount, concat_ws(' ', 'Suspected fabricated identity ' || substr(identity_key::VARCHAR, 1, 8) || '.', 'Score ' || floor(s * 100)::INT || ' of 100.', CASE WHEN len(sig) > 0 THEN 'Indicators: ' || array_to_string(sig[1:5], ', ') || '.' END, CASE WHEN (identity_key % 100) / 100.0 > 0.5 THEN 'Default may be near.' END) AS narrative
-    FROM syn JOIN customer ON c_custkey = identity_key WHERE abs(s * 100 - round(s * 100)) > 1e-6""")
+    CASE WHEN c_acctbal + 1000 > 0 THEN round(c_acctbal + 1000, 2) END AS amount, concat_ws(' ', 'Suspected fabricated identity ' || substr(identity_key::VARCHAR, 1, 8) || '.', 'Score ' || floor(round(s, 6)::DECIMAL(18, 6) * 100)::INT || ' of 100.', CASE WHEN len(sig) > 0 THEN 'Indicators: ' || array_to_string(sig[1:5], ', ') || '.' END, CASE WHEN (identity_key % 100) / 100.0 > 0.5 THEN 'Default may be near.' END) AS narrative
+    FROM syn JOIN customer ON c_custkey = identity_key""")
 def sar_projection(t: Tables) -> DataFrame:
     f = X.synthetic(bags(t)).join(t.read("customer").select(F.col("c_custkey").alias("identity_key"), "c_acctbal"), "identity_key")
-    f = f.where(F.abs(F.col("synthetic_score") * 100 - F.round(F.col("synthetic_score") * 100)) > 1e-6)  # away from whole percents
     risk = (F.col("identity_key") % 100) / 100.0
     return f.select("identity_key", K.sar_type(F.col("triggered_signals"), risk).alias("activity_type"), F.round(K.sar_amount(F.col("c_acctbal"), F.lit(1000.0)), 2).alias("amount"), K.sar_narrative(F.col("identity_key"), F.col("synthetic_score"), F.col("triggered_signals"), risk).alias("narrative"))
 

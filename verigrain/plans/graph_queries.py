@@ -66,11 +66,11 @@ def clustering_coefficient(t: Tables) -> DataFrame:
     return G.clustering(G.identity_edges(t.graph_use())).withColumn("clustering", F.round("clustering", 6))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT identity_id AS start, identity_id, 0 AS hops FROM gu WHERE identity_id % 50 = 0 UNION SELECT r.start, w2.dst, r.hops + 1 FROM r JOIN w2 ON w2.src = r.identity_id WHERE r.hops < 2)
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT identity_id AS start, identity_id, 0 AS hops FROM gu UNION SELECT r.start, w2.dst, r.hops + 1 FROM r JOIN w2 ON w2.src = r.identity_id WHERE r.hops < 2)
     SELECT start, identity_id, min(hops)::INT AS hops FROM r GROUP BY 1, 2""")
 def khop_neighborhood(t: Tables) -> DataFrame:
     uses = t.graph_use()
-    return G.neighbourhood(uses, uses.where("identity_id % 50 = 0").select("identity_id").distinct(), 2)
+    return G.neighbourhood(uses, uses.select("identity_id").distinct(), 2)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_CC} SELECT * FROM comp")
@@ -138,12 +138,36 @@ def graph_features(t: Tables) -> DataFrame:
     return G.feature_table(t.graph_use(), _scores(t), ids)
 
 
-@query(f"""WITH {GRAPH_USE}, m AS (SELECT * FROM gu WHERE identity_id % 50 = 0), n AS (SELECT DISTINCT 'identity:' || identity_id AS id, 'identity' AS kind FROM m UNION SELECT DISTINCT element_type || ':' || element_key, element_type FROM m)
+@query(f"""WITH {GRAPH_USE}, n AS (SELECT DISTINCT 'identity:' || identity_id AS id, 'identity' AS kind FROM gu UNION SELECT DISTINCT element_type || ':' || element_key, element_type FROM gu)
     SELECT id, kind, CASE kind WHEN 'identity' THEN 'ID: ' || substr(split_part(id, ':', 2), 1, 8) WHEN 'ssn' THEN 'SSN' WHEN 'address' THEN 'Address' WHEN 'phone' THEN 'Phone' WHEN 'email' THEN 'Email' ELSE 'Device' END AS label,
       CASE kind WHEN 'identity' THEN '#ff6b6b' WHEN 'ssn' THEN '#4ecdc4' WHEN 'address' THEN '#45b7d1' WHEN 'phone' THEN '#96ceb4' WHEN 'email' THEN '#ffeaa7' ELSE '#dfe6e9' END AS colour, CASE kind WHEN 'identity' THEN 30 ELSE 20 END AS size FROM n""")
 def graph_export(t: Tables) -> DataFrame:
     uses = t.graph_use()
-    return G.export_nodes_edges(uses.where("identity_id % 50 = 0"), uses)[0]
+    return G.export_nodes_edges(uses, uses)[0]
+
+
+@query(f"WITH {GRAPH_USE} SELECT 'identity:' || identity_id AS source, element_type || ':' || element_key AS target, 'HAS_' || upper(element_type) AS kind FROM gu")
+def graph_export_edges(t: Tables) -> DataFrame:
+    uses = t.graph_use()
+    return G.export_nodes_edges(uses, uses)[1]
+
+
+@query(f"""{_CLUSTERS} SELECT 'cluster_' || cluster AS cluster_id, size, round(sc, 6) AS score FROM scd WHERE sc >= 0.2 ORDER BY sc DESC, cluster LIMIT 50""")
+def top_clusters(t: Tables) -> DataFrame:
+    return G.ranked_clusters(G.detect_clusters(t.graph_use()), min_score=0.2, most=50).select("cluster_id", "size", F.round("score", 6).alias("score"))
+
+
+@query(f"""{_CLUSTERS}, k AS (SELECT component, identity_id, row_number() OVER (PARTITION BY component ORDER BY identity_id) AS place FROM comp JOIN sz ON component = cluster)
+    SELECT 'cluster_' || component AS cluster_id, identity_id FROM k WHERE place <= 100""")
+def cluster_members(t: Tables) -> DataFrame:
+    edges = G.identity_edges(t.graph_use(), G.CLUSTER_TYPES)
+    return G.members_of_clusters(edges, most=100)
+
+
+@query()
+def louvain_clusters(t: Tables) -> DataFrame:
+    f = G.detect_clusters(t.graph_use(), "louvain")
+    return f.select("cluster_id", "size", "edges", "centre", "density", "score", "risk_level")
 
 
 @query()

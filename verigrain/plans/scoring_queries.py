@@ -12,6 +12,7 @@ from verigrain.operators import graph as G
 from verigrain.operators import scoring as X
 from verigrain.operators import velocity as V
 from verigrain.plans.credit_queries import AU, BEHAVIOUR, BUST_OUT, people
+from verigrain.plans.durable import durable
 from verigrain.plans.identity_queries import _RESULT
 from verigrain.plans.registry import Registry
 from verigrain.plans.sql_tables import ELEMENT_USE, GRAPH_USE, WITH_CREDIT, clip, joined_sql, names_sql, points
@@ -69,28 +70,36 @@ def score_levels(t: Tables) -> DataFrame:
 # --- the ensemble over all tables -----------------------------------------------------------------------------------------
 
 
-def full_scores(t: Tables) -> DataFrame:
+def full_scores(t: Tables, wanted: DataFrame | None = None) -> DataFrame:
+    """Scores of all identities, or of those that ``wanted`` names. What others bring (shared elements, links) counts
+    in either case; only rows about single identities are left out before they are joined."""
     at = as_of(ORDERS_AS_OF)
     credit = C.au_abuse(C.credit_behaviour(people(t)))
+    if wanted is not None:
+        credit = credit.join(wanted, "identity_key", "left_semi")
     velocity = V.velocity_analysis(t.element_use(), at).drop("risk_level")
-    edges = G.identity_edges(t.graph_use())
-    graph = G.degrees(edges).select(F.col("identity_id").alias("identity_key"), "shared_ssn_count", F.lit(0.0).alias("cluster_density"), (F.col("degree") + 1).alias("cluster_size"), F.lit(0.0).alias("neighbor_avg_score"))
+    stored = t.read("customer").select(F.col("c_custkey").alias("identity_id"), ((F.col("c_custkey") * 7 % 100) / 100.0).alias("score"))
+    graph = G.scoring_features(t.graph_use(), stored)
     risk = C.bust_out(C.sequence_features(t.credit_sequences())).select(F.col("account_id").alias("identity_key"), "bust_out_probability", "warning_signals")
     ssn = C.ssn_dob_signal(t.identities(), t.area_map()).select("identity_key", "mismatch", I.ssn_result(F.col("ssn"), F.col("identity_key") % 101 == 0).alias("ssn_result"))
     return X.ensemble(credit, velocity, graph, risk, ssn)
 
 
 _EDGES = f"""{GRAPH_USE}, ge AS (SELECT a.identity_id AS x, b.identity_id AS y, list_sort(list(DISTINCT element_type)) AS types FROM gu a JOIN gu b USING (element_type, element_key) WHERE a.identity_id <> b.identity_id GROUP BY 1, 2),
-    gf AS (SELECT x AS identity_key, count(*) FILTER (list_contains(types, 'ssn')) AS shared_ssn, count(*) + 1 AS csize FROM ge GROUP BY 1)"""
+    walk AS (SELECT x AS v, x AS c FROM ge UNION SELECT ge.y, walk.c FROM walk JOIN ge ON ge.x = walk.v), comp AS (SELECT v, min(c) AS component FROM walk GROUP BY 1),
+    csz AS (SELECT component, count(*) AS csize FROM comp GROUP BY 1), cme AS (SELECT component, count(*) / 2 AS m FROM ge JOIN comp ON x = v GROUP BY 1),
+    stored AS (SELECT c_custkey AS id, (c_custkey * 7 % 100) / 100.0::DOUBLE AS score FROM customer),
+    gn AS (SELECT x, count(*) FILTER (list_contains(types, 'ssn')) AS shared_ssn, round(avg(coalesce(score, 0)), 6) AS navg FROM ge LEFT JOIN stored ON id = y GROUP BY 1),
+    gf AS (SELECT x AS identity_key, shared_ssn, navg, csize, 2.0::DOUBLE * m / (csize * (csize - 1)) AS cdens FROM gn JOIN comp ON x = v JOIN csz USING (component) JOIN cme USING (component))"""
 _DEAD, _BAD, _ITIN = "res = 'death_master'", "starts_with(res, 'invalid')", "res = 'itin'"
-_ALL = f"""WITH {ELEMENT_USE}, {_ANALYSIS}, {WITH_CREDIT}, {BEHAVIOUR}, {AU}, {BUST_OUT}, {_EDGES},
+_ALL = f"""WITH RECURSIVE {ELEMENT_USE}, {_ANALYSIS}, {WITH_CREDIT}, {BEHAVIOUR}, {AU}, {BUST_OUT}, {_EDGES},
     areas AS (SELECT a AS area, CASE WHEN a % 7 <> 0 THEN 1936 + a % 60 END AS ys FROM range(1, 900) r(a)),
     sr AS (SELECT identity_key, {_RESULT} AS res, year(dob) > ys + 25 OR (year(dob) >= 1987 AND ys > year(dob) + 5) AS mm FROM people LEFT JOIN areas ON area = substr(ssn, 1, 3)::BIGINT),
     j AS (SELECT b.identity_key, coalesce(t.address_velocity, 0) AS va, coalesce(t.phone_velocity, 0) AS vp, coalesce(t.email_velocity, 0) AS ve, coalesce(t.device_velocity, 0) AS vd, coalesce(t.overall, 0) AS vo, coalesce(t.names, []) AS vn,
-      b.is_thin_file, b.mism AS fam, b.anom, b.bscore, au.prob AS aup, au.ind, coalesce(gf.shared_ssn, 0) AS shared_ssn, coalesce(gf.csize, 1) AS csize, bo.p AS bop, coalesce(bo.warn, []) AS warn, sr.res, coalesce(sr.mm, false) AS mm
+      b.is_thin_file, b.mism AS fam, b.anom, b.bscore, au.prob AS aup, au.ind, coalesce(gf.shared_ssn, 0) AS shared_ssn, coalesce(gf.csize, 1) AS csize, coalesce(gf.cdens, 0) AS cdens, coalesce(gf.navg, 0) AS navg, bo.p AS bop, coalesce(bo.warn, []) AS warn, sr.res, coalesce(sr.mm, false) AS mm
       FROM beh2 b JOIN au ON b.identity_key = au.identity_key LEFT JOIN total t ON t.identity_key = b.identity_key LEFT JOIN gf ON gf.identity_key = b.identity_key LEFT JOIN bo ON bo.account_id = b.identity_key LEFT JOIN sr ON sr.identity_key = b.identity_key),
     c AS (SELECT *, {clip(f"{points('mm', 0.6)} + {points(_DEAD, 0.8)} + {points(_BAD, 0.5)} + {points(_ITIN, 0.4)}")} AS c1,
-      {clip(f"{points('shared_ssn > 0', 'least(0.6::DOUBLE, 0.3::DOUBLE * shared_ssn)')} + {points('csize > 5', 'least(0.3::DOUBLE, 0.05::DOUBLE * (csize - 5))')}")} AS c2, {clip('0.3::DOUBLE * va + 0.4::DOUBLE * vp + 0.3::DOUBLE * ve')} AS c3,
+      {clip(f"{points('shared_ssn > 0', 'least(0.6::DOUBLE, 0.3::DOUBLE * shared_ssn)')} + {points('cdens > 0.5', 0.2)} + {points('csize > 5', 'least(0.3::DOUBLE, 0.05::DOUBLE * (csize - 5))')} + {points('navg > 0.5', 0.2)}")} AS c2, {clip('0.3::DOUBLE * va + 0.4::DOUBLE * vp + 0.3::DOUBLE * ve')} AS c3,
       {clip(f"{points('is_thin_file', 0.2)} + {points('fam', 0.4)} + {points('aup > 0.5', 0.5)}")} AS c4, {points('vd = 0', 0.3)} AS c5 FROM j),
     f AS (SELECT *, 0.25::DOUBLE * c1 + 0.3::DOUBLE * c2 + 0.2::DOUBLE * c3 + 0.15::DOUBLE * c4 + 0.1::DOUBLE * c5 AS s, list_sort(list_distinct(list_concat(vn, anom, ind, warn,
       {names_sql({"SSN_DOB_MISMATCH": "mm", "DEATH_MASTER_MATCH": "res = 'death_master'", "SHARED_SSN": "shared_ssn > 0", "LARGE_CLUSTER": "csize > 5", "HIGH_ADDRESS_VELOCITY": "va > 0.5", "HIGH_PHONE_VELOCITY": "vp > 0.5", "THIN_FILE": "is_thin_file", "AU_ABUSE": "aup > 0.5"})}))) AS sig FROM c),
@@ -108,15 +117,14 @@ def ensemble(t: Tables) -> DataFrame:
 @query(f"{_ALL} SELECT o_orderkey AS application, identity_key, round(fin, 6) AS final_score, lev AS final_level, {_ACTION} AS action FROM l JOIN orders ON o_custkey = identity_key WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY")
 def full_application_score(t: Tables) -> DataFrame:
     recent = t.read("orders").where(F.col("o_orderdate").cast("timestamp_ntz") >= as_of(ORDERS_AS_OF) - F.expr("INTERVAL 90 DAYS"))
-    scored = full_scores(t).select("identity_key", F.round("final_score", 6).alias("final_score"), "final_level", "action")
+    applicants = durable(recent.select(F.col("o_custkey").alias("identity_key")).distinct())
+    scored = full_scores(t, applicants).select("identity_key", F.round("final_score", 6).alias("final_score"), "final_level", "action")
     return recent.select(F.col("o_orderkey").alias("application"), F.col("o_custkey").alias("identity_key")).join(scored, "identity_key")
 
 
-@query(f"{_ALL} SELECT identity_key, 'Risk ' || lev || ' at ' || printf('%.2f', fin) || '; strongest component ' || {_TOP} || CASE WHEN len(sig) > 0 THEN '; signals: ' || array_to_string(sig[1:5], ', ') ELSE '' END AS explanation FROM l WHERE abs(fin * 1000 - floor(fin * 1000 + 0.5)) > 1e-6")
+@query(f"{_ALL} SELECT identity_key, 'Risk ' || lev || ' at ' || round(round(fin, 6)::DECIMAL(18, 6), 2)::DECIMAL(18, 2) || '; strongest component ' || {_TOP} || CASE WHEN len(sig) > 0 THEN '; signals: ' || array_to_string(sig[1:5], ', ') ELSE '' END AS explanation FROM l")
 def explanation_text(t: Tables) -> DataFrame:
-    f = X.explanation(full_scores(t))
-    exact = F.abs(F.col("final_score") * 1000 - F.floor(F.col("final_score") * 1000 + 0.5)) > 1e-6  # where rounding rules agree
-    return f.where(exact).select("identity_key", "explanation")
+    return X.explanation(full_scores(t)).select("identity_key", "explanation")
 
 
 @query("SELECT o_custkey AS identity_key, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS score, max(o_orderdate) AS ts FROM orders GROUP BY 1")

@@ -34,8 +34,8 @@ SEQUENCES = """paid AS (SELECT l_orderkey, sum(round(l_extendedprice * l_discoun
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n
       FROM orders LEFT JOIN paid ON o_orderkey = l_orderkey),
     steps AS (SELECT *, balance / highest AS util, coalesce(highest - lag(highest) OVER (PARTITION BY account_id ORDER BY i), 0) AS lim FROM months)"""
-GRAPH_USE = """gu AS (SELECT DISTINCT o_custkey AS identity_id, ['ssn', 'address', 'phone', 'email', 'device'][l_partkey % 5 + 1] AS element_type, l_partkey AS element_key
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49)"""
+GRAPH_USE = """gu AS (SELECT DISTINCT o_custkey AS identity_id, ['ssn', 'address', 'phone', 'email', 'device'][l_partkey % 5 + 1] AS element_type, l_partkey * 1000 + l_quantity::BIGINT * 10 + l_linenumber AS element_key
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 PREDICTIONS = """preds AS (SELECT o_orderkey AS prediction_id, o_custkey AS account_id, 'm' || (o_orderkey % 3) AS model, (o_orderkey * 13 % 1000) / 1000.0::DOUBLE AS score,
     CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus = 'F' END AS actual, o_orderdate AS ts FROM orders)"""
 

@@ -71,7 +71,14 @@ class Tables:
             .groupBy(F.col("o_custkey").alias("account_id")).agg(F.sort_array(F.collect_list(month)).alias("m"))
         )
         balances = F.transform("m", lambda x: x["balance"])
-        highest = F.transform(balances, lambda x, i: F.array_max(F.slice(balances, 1, i + 1)))
+        # The running maximum in one pass, each step behind the last.
+        start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<double>").alias("all"))
+
+        def higher(acc: Column, x: Column) -> Column:
+            top = F.greatest(acc["top"], x)
+            return F.struct(top.alias("top"), F.concat(acc["all"], F.array(top)).alias("all"))
+
+        highest = F.aggregate(balances, start, higher, lambda acc: acc["all"])
         return months.select(
             "account_id", F.size("m").cast("long").alias("months_on_books"), balances.alias("balances"), F.transform("m", lambda x: x["payment"]).alias("payments"),
             F.transform(highest, lambda x, i: F.when(i > 0, x - F.get(highest, i - 1)).otherwise(0.0)).alias("limits"),
@@ -91,13 +98,17 @@ class Tables:
         return uses.select(F.col("user_id").alias("ssn_key"), (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("institution"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
     def graph_use(self) -> DataFrame:
-        """identity_id, element_type, element_key: distinct uses that link identities."""
+        """identity_id, element_type, element_key: distinct uses that link identities, one of each line.
+
+        Equal part, quantity and line number make an element, which few identities share.
+        """
         kinds = F.array(*[F.lit(x) for x in ("ssn", "address", "phone", "email", "device")])
-        lines = self.read("lineitem").where(F.col("l_quantity") >= 49).select("l_orderkey", "l_partkey")
+        element = F.col("l_partkey") * 1000 + F.col("l_quantity").cast("bigint") * 10 + F.col("l_linenumber")
+        lines = self.read("lineitem").select("l_orderkey", "l_partkey", element.alias("element"))
         orders = self.read("orders").select("o_orderkey", "o_custkey")
         return (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(F.col("o_custkey").alias("identity_id"), F.get(kinds, (F.col("l_partkey") % 5).cast("int")).alias("element_type"), F.col("l_partkey").alias("element_key"))
+            .select(F.col("o_custkey").alias("identity_id"), F.get(kinds, (F.col("l_partkey") % 5).cast("int")).alias("element_type"), F.col("element").alias("element_key"))
             .distinct()
         )
 
