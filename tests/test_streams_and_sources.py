@@ -48,6 +48,44 @@ def test_stream_of_alerts(spark, tmp_path):
     assert sorted(seen) == ["0", "2"]
 
 
+def test_stream_is_enriched_and_scored(spark, tmp_path):
+    """Scores by the rules for the known identity, alerts for high levels only, and nothing lost without a match."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("\n".join([application(1, ssn_hash="bad"), application(2, ssn_hash="good", device_fingerprint="d"), application(3, ssn_hash="unknown")]))
+    credit = spark.createDataFrame([("bad", 7, True, True, True, 0.9), ("good", 8, False, False, False, 0.0)], "ssn_hash string, identity_key long, ssn_dob_mismatch boolean, death_master_match boolean, au_abuse_pattern boolean, phone_velocity double")
+    credit = credit.withColumns({"address_velocity": F.col("phone_velocity"), "email_velocity": F.col("phone_velocity"), "is_thin_file": F.col("au_abuse_pattern"), "file_age_mismatch": F.col("au_abuse_pattern")})
+    graph = spark.createDataFrame([(7, 3, 0.9, 20, 0.8)], "identity_key long, shared_ssn_count long, cluster_density double, cluster_size long, neighbor_avg_score double")
+    good, _ = A.application_stream(A.file_lines(spark, str(tmp_path / "in")))
+    A.score_stream(good, credit, graph, str(tmp_path / "out"), str(tmp_path / "c"))
+    rows = {r["application_id"]: r for r in spark.read.parquet(str(tmp_path / "out/scores")).collect()}
+    assert set(rows) == {"a1", "a2", "a3"} and rows["a2"]["score"] == 0 and abs(rows["a3"]["score"] - 0.03) < 1e-9
+    assert rows["a1"]["identity_key"] == 7 and abs(rows["a1"]["score"] - (0.25 + 0.3 + 0.2 * 0.9 + 0.15 + 0.1 * 0.3)) < 1e-9
+    alerts = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/alerts")).collect()]
+    assert [a["identity_key"] for a in alerts] == [7]
+
+
+def test_sessions(spark, tmp_path):
+    start = dt.datetime(2023, 1, 1)
+    rows = [("phone", "1", k, start + dt.timedelta(minutes=m)) for k, m in enumerate((0, 10, 25, 90, 95, 5000))]
+    uses = spark.createDataFrame(rows, "element_type string, element_key string, identity_key long, ts timestamp")
+    assert sorted(r["uses"] for r in A.sessions(uses).collect()) == [1, 2, 3]
+
+
+def test_recent_alerts(spark):
+    rows = [(str(k), f"2024-01-{k:02d} 00:00:00") for k in (1, 5, 9, 20)]
+    found = A.recent_alerts(spark.createDataFrame(rows, "alert_id string, reported_date string"), F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), 7)
+    assert [r["alert_id"] for r in found.collect()] == ["9", "5"]
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id", "id % 7 * 0.1 AS ssn_score", "id % 5 AS num_tradelines", "int(id % 7 > 3) AS is_synthetic")
+    model = L.fit_scorer(rows, trees=3)
+    L.save_model(model, str(tmp_path / "m"))
+    L.save_model(model, str(tmp_path / "m"))
+    a, b = (L.probabilities(m, rows, L.SCORER_FEATURES, "is_synthetic").select("id", "score").orderBy("id").collect() for m in (model, L.load_model(str(tmp_path / "m"))))
+    assert a == b
+
+
 def test_keyed_state_equals_the_batch(spark, tmp_path):
     start = dt.datetime(2023, 1, 1)
     rows = [("phone", str(k % 7), k % 23, k % 5, start + dt.timedelta(days=(k * 37) % 400)) for k in range(300)]

@@ -49,6 +49,15 @@ def fit_bust_out(table: DataFrame, label: str = "is_bust_out", trees: int = 100,
     return Pipeline(stages=stages).fit(rows.withColumn("weight", weight))
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted model where driver and executors can read it; one that is there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def probabilities(model: PipelineModel, table: DataFrame, wanted: tuple[str, ...], label: str) -> DataFrame:
     rows, _ = prepared(table, wanted, label)
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")

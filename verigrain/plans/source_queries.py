@@ -11,6 +11,7 @@ from verigrain.operators import credit as C
 from verigrain.operators import learning as L
 from verigrain.plans.durable import durable, ensure_checkpoint_dir
 from verigrain.plans.registry import Registry
+from verigrain.plans.sql_tables import DEVICE_USE
 from verigrain.sources import generators as N
 from verigrain.sources import readers
 from verigrain.sources.adapters import Tables
@@ -105,7 +106,8 @@ def model_inference(t: Tables) -> DataFrame:
     return L.probabilities(model, real, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "score")
 
 
-@query()
+@query(f"""WITH {DEVICE_USE}, l AS (SELECT device, identity_key, max(ts) AS t FROM du GROUP BY 1, 2), n AS (SELECT device, max(t) AS newest FROM l GROUP BY 1)
+    SELECT 'device:' || device AS element, {', '.join(f"count(*) FILTER (t >= newest - INTERVAL {d} DAY) AS identities_{d}d" for d in (30, 90, 180))}, newest AS last_seen FROM l JOIN n USING (device) GROUP BY device, newest""")
 def stream_velocity(t: Tables) -> DataFrame:
     """Device re-use from a stream of events, state after all of them; the table it leaves is in the shared folder."""
     from verigrain.streaming import applications as A
