@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verigrain.llm.columns import bitmap_of, free_name, text_or_empty, with_bitmap_flag
+from verigrain.llm.columns import bitmap_of, free_name, salted_join, text_or_empty, with_bitmap_flag
 from verigrain.plans.durable import durable
 
 VARIABLE = "<*>"
@@ -100,21 +100,24 @@ def line_dedup(
             F.xxhash64(F.sort_array(F.collect_list(field))).alias("fields"),  # at most ``BLOCK``
             F.sum(F.coalesce("fixed", F.lit(0))).alias("n_fixed"),
             F.count_if(F.col("token") != VARIABLE).alias("n_plain"),
+            F.max("n_docs").alias("n_docs"),
         )
     )
     templates = (
         blocks.groupBy("leaf", "line")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "fields"))).alias("fields"), F.sum("n_fixed").alias("n_fixed"), F.sum("n_plain").alias("n_plain"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", "fields"))).alias("fields"), F.sum("n_fixed").alias("n_fixed"), F.sum("n_plain").alias("n_plain"), F.max("n_docs").alias("n_docs"))
         .where((F.col("n_fixed") > 0) & (F.col("n_fixed") >= F.lit(min_constant) * F.col("n_plain")))
-        .select("leaf", "line", F.xxhash64("leaf", "fields").alias("template"))
+        .select("leaf", "line", "n_docs", F.xxhash64("leaf", "fields").alias("template"))
     )
-    placed = durable(slim.join(templates, ["leaf", "line"]).select("row_id", "text_key", "pos", "template"))
+    # One line, or one template, may be in a third of all documents.
+    with_template = salted_join(slim, durable(templates), ["leaf", "line"], "n_docs").where("template IS NOT NULL")
+    placed = durable(with_template.select("row_id", "text_key", "pos", "template"))
     per_doc = placed.select("row_id", "text_key", "template").distinct()
-    recurring = per_doc.groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    recurring = per_doc.groupBy("template").count().where(F.col("count") >= min_docs).withColumnRenamed("count", "n_docs")
     first = placed.groupBy("template").agg(F.min(F.struct("row_id", "pos")).alias("first"))
     gone = (
-        placed.join(first.join(recurring, "template", "left_semi"), "template")
-        .where(~(F.struct("row_id", "pos").eqNullSafe(F.col("first"))))
+        salted_join(placed, durable(first.join(recurring, "template")), ["template"], "n_docs")
+        .where(F.col("first").isNotNull() & ~(F.struct("row_id", "pos").eqNullSafe(F.col("first"))))
         .select("row_id", "text_key", "pos").distinct()
         .groupBy("row_id", "text_key").agg(F.collect_list("pos").alias("gone"))  # as many as one text has lines
     )
