@@ -21,7 +21,9 @@ def window_counts(uses: DataFrame, as_of: Column, members: dict[str, str], bound
     expanded once per window. Without ``bounded``, uses later than ``as_of`` count too.
     """
     uses = uses.where(F.col("ts") <= as_of) if bounded else uses
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("member")) for k, c in members.items()]))
+    types = {uses.schema[c].dataType.simpleString() for c in members.values()}
+    kind = types.pop() if len(types) == 1 else "string"
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast(kind).alias("member")) for k, c in members.items()]))
     last = (
         uses.select("element_type", "element_key", "ts", each.alias("m")).groupBy("element_type", "element_key", "m.kind", "m.member")
         .agg(F.max("ts").alias("last"), F.min("ts").alias("first"))
