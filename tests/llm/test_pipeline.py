@@ -3,8 +3,10 @@ from test_native import plain_line_dedup
 from test_ngram_join import brute_force
 from test_packing import PATH, check_places, expected_pieces
 
+from verigrain.llm.langid import identify_language, train_language_model
 from verigrain.llm.mixing import mix_sources
 from verigrain.llm.queries import MIX_SEED, MIX_WEIGHTS
+from verigrain.llm.sampling import crc_fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,6 +19,9 @@ def test_stages_by_brute_force(spark):
     before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"] for r in kept.collect()}
     assert all(not any(c.isalpha() for c in t or "") for i, t in before.items() if i not in after)
 
+    found = identify_language(docs, train_language_model(docs, crc_fold("doc_id", 4) != 2)).collect()
+    assert after == {r["doc_id"] for r in found if r["lang_pred"] != "und" and not (r["ambiguous"] and r["score"] < P.LEAST_SCORE)}
+
     lines = P.line_stage(spark, kept, SF)
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     want = plain_line_dedup(rows)
