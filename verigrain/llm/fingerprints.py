@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from verigrain.llm.columns import bitmap_of, salted_join, with_bitmap_flag
-from verigrain.plans.durable import durable
+from verigrain.plans.durable import batches_of, durable
+
+#: Rows sent to a Python worker at once.
+BATCH_ROWS = 500
 
 
 def canonical(text: str) -> bytes:
@@ -102,8 +105,10 @@ def grouped(marked: DataFrame, texts: DataFrame) -> DataFrame:
 def fingerprints_with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fingerprint_with_next`` plus group_id and group_size, as ``canonical_groups`` has them, from the same digests."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = durable(fingerprint_with_next(docs, id_col, text_col, with_raw=True))
-    return grouped(found.withColumnRenamed(id_col, "row_id"), texts).withColumnRenamed("row_id", id_col).select(id_col, *FIELDS, "group_id", "group_size")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        found = durable(fingerprint_with_next(docs, id_col, text_col, with_raw=True))
+        groups = grouped(found.withColumnRenamed(id_col, "row_id"), texts)
+    return groups.withColumnRenamed("row_id", id_col).select(id_col, *FIELDS, "group_id", "group_size")
 
 
 def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, with_raw: bool = False) -> DataFrame:
