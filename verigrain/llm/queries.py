@@ -17,6 +17,7 @@ from verigrain.llm.ngram_join import ngram_jaccard_join
 from verigrain.llm.packing import pack_documents
 from verigrain.llm.quality import classify_quality, train_quality_model
 from verigrain.llm.sampling import crc_fold
+from verigrain.llm.token_files import token_files
 from verigrain.llm.toxicity import classify_toxicity, train_toxicity_model
 
 #: Production mix: target shares of characters. ``*`` is every source not named.
@@ -81,6 +82,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
@@ -92,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op12_token_files": op12_token_files,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
