@@ -15,6 +15,7 @@ from verigrain.llm.line_dedup import line_dedup
 from verigrain.llm.mixing import mix_sources
 from verigrain.llm.ngram_join import ngram_jaccard_join
 from verigrain.llm.packing import pack_documents
+from verigrain.llm.phrases import mine_phrases
 from verigrain.llm.quality import classify_quality, train_quality_model
 from verigrain.llm.sampling import crc_fold
 from verigrain.llm.token_files import token_files
@@ -82,6 +83,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir).select("lang", "text"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_phrases": op11_phrases,
     "op12_token_files": op12_token_files,
 }
 
@@ -183,4 +189,25 @@ ORACLES: dict[str, str] = {
         SELECT r.doc_id, CASE WHEN r.text = '' THEN 0 ELSE len(string_split(r.text, chr(10))) END::BIGINT AS n_lines,
                n_dropped::BIGINT AS n_dropped, coalesce(k.text, '') AS text
         FROM rows r JOIN kept k USING (doc_id)""",
+    "op11_phrases": f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_ASCII_LOWER} AS t FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+        ws AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang),
+        grams AS (
+          SELECT lang, k, phrase, count(*) AS f FROM (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM ws, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL HAVING count(*) >= 10),
+        cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2),
+        cuts AS (SELECT *, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+        scored AS (
+          SELECT c.lang, c.phrase, c.a, c.j, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+          FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = c.head JOIN grams r ON r.lang = c.lang AND r.phrase = c.rest),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        longer AS (
+          SELECT lang, phrase, max(a) AS most FROM (
+            SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM cand WHERE k = 3) GROUP BY ALL),
+        kept AS (SELECT s.* FROM lowest s LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
