@@ -18,6 +18,7 @@ from verigrain.llm.packing import pack_documents
 from verigrain.llm.phrases import mine_phrases
 from verigrain.llm.quality import classify_quality, train_quality_model
 from verigrain.llm.sampling import crc_fold
+from verigrain.llm.target_encoding import encode_lines
 from verigrain.llm.token_files import token_files
 from verigrain.llm.toxicity import classify_toxicity, train_toxicity_model
 
@@ -94,6 +95,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_lines(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_phrases": op11_phrases,
     "op12_token_files": op12_token_files,
+    "op13_target_encoding": op13_target_encoding,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,6 +120,44 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 _MIX_CASE = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in MIX_WEIGHTS.items())
 _MIX_NAMED = ", ".join(f"'{k}'" for k in MIX_WEIGHTS if k != "*")
 
+def _encoding_sql() -> str:
+    """Counts are those of the key less those of the key in the own fold, each over frames of strictly earlier times."""
+    keys = {"all": "0", "kind": "kind", "nation": "nation", "segment": "segment", "item": "item_id", "vendor": "vendor_id", "client": "client_id"}
+    earlier = "ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+    counts = ", ".join(
+        f"coalesce(sum({of}) OVER (PARTITION BY {key} {earlier}), 0) - coalesce(sum({of}) OVER (PARTITION BY {key}, fold {earlier}), 0) AS {name}_{c}"
+        for name, key in keys.items() for c, of in (("n", "n_lines"), ("s", "n_returned"))
+    )
+    rate = lambda name, prior: f"CASE WHEN {name}_n < 1 THEN {prior} ELSE (1000000 * {name}_s + 50 * {prior}) // ({name}_n + 50) END"
+    step = lambda names, prior: ", ".join(f"{rate(n, prior)} AS {n}_rate" for n in names)
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: " + _crc_step() + ")"
+    return f"""
+        WITH own AS (
+          SELECT sale_id, coalesce(item_id, -1) AS item_id, vendor_id, count(*) AS n_lines, count(*) FILTER (flag = 'returned') AS n_returned
+          FROM sale_lines WHERE sale_id IS NOT NULL GROUP BY ALL),
+        sold AS (SELECT sale_id, sold_at, coalesce(client_id, -1) AS client_id, xor({crc}, 4294967295::BIGINT) % 5 AS fold FROM sales WHERE sold_at IS NOT NULL),
+        base AS (
+          SELECT own.*, sold_at, client_id, fold, kind, nation, segment FROM own JOIN sold USING (sale_id)
+          LEFT JOIN (SELECT item_id, min(kind) AS kind FROM items GROUP BY 1) USING (item_id)
+          LEFT JOIN (SELECT vendor_id, min(nation_id) AS nation FROM vendors GROUP BY 1) USING (vendor_id)
+          LEFT JOIN (SELECT client_id, min(segment) AS segment FROM clients GROUP BY 1) USING (client_id)),
+        c AS (SELECT sale_id, item_id, vendor_id, n_lines, n_returned, {counts} FROM base),
+        r0 AS (SELECT *, {step(["all"], "500000")} FROM c),
+        r1 AS (SELECT *, {step(["kind", "nation", "segment"], "all_rate")} FROM r0)
+        SELECT sale_id, item_id, vendor_id, n_lines, n_returned, item_n::BIGINT AS item_n, ({rate("item", "kind_rate")})::BIGINT AS item_rate,
+               vendor_n::BIGINT AS vendor_n, ({rate("vendor", "nation_rate")})::BIGINT AS vendor_rate,
+               client_n::BIGINT AS client_n, ({rate("client", "segment_rate")})::BIGINT AS client_rate
+        FROM r1"""
+
+
+def _crc_step() -> str:
+    """One byte of crc32 (reflected polynomial 0xEDB88320), eight shifts written out."""
+    x = "xor(a, b)"
+    for _ in range(8):
+        x = f"list_transform([{x}], lambda v: xor(v >> 1, (v & 1) * 3988292384))[1]"
+    return x
+
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_ASCII_LOWER}) AS text_sha256 FROM documents)
@@ -210,4 +254,5 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT s.* FROM lowest s LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
         SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_target_encoding": _encoding_sql(),
 }
