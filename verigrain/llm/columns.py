@@ -29,9 +29,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def bitmap_of(keys: DataFrame, key: Column) -> DataFrame:
-    """The set bits of ``key`` (a 64-bit hash) as at most 256 rows (``bm_bucket``, ``bm_bits``)."""
-    place = F.pmod(key, F.lit(BITMAP_BITS))
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap for so many keys: 16 a key, so that one in 16 of other keys errs, and at most 8 MiB."""
+    return 1 << min(max((16 * keys).bit_length(), 23), 26)
+
+
+def bitmap_of(keys: DataFrame, key: Column, bits: int = BITMAP_BITS) -> DataFrame:
+    """The set bits of ``key`` (a 64-bit hash) as rows of 4 KiB, at most 256 by default (``bm_bucket``, ``bm_bits``)."""
+    place = F.pmod(key, F.lit(bits))
     return (
         keys.select(place.alias("bm_place"))
         .groupBy(F.bitmap_bucket_number("bm_place").alias("bm_bucket"))
@@ -39,9 +44,9 @@ def bitmap_of(keys: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def with_bitmap_flag(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) -> DataFrame:
+def with_bitmap_flag(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Add boolean ``flag``: true wherever ``key`` is in the bitmap, and for a few others (hash collisions)."""
-    place = F.pmod(key, F.lit(BITMAP_BITS))
+    place = F.pmod(key, F.lit(bits))
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("bm_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     probed = df.withColumn("bm_at", F.bitmap_bucket_number(place)).join(

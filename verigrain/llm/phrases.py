@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verigrain.llm.columns import bitmap_of, text_or_empty, with_bitmap_flag
+from verigrain.llm.columns import SALTS, bitmap_of, bits_for, text_or_empty, with_bitmap_flag
 from verigrain.llm.token_files import shared_folder
 from verigrain.plans.durable import batches_of, durable, settings
 
@@ -95,6 +96,14 @@ def only(seq: np.ndarray, units: int, codes: np.ndarray) -> np.ndarray:
     return (found[kept] * 2 + last[kept]).astype(np.uint32)
 
 
+def stored(seq: np.ndarray) -> bytes:
+    return zstandard.compress(seq.astype("<u4").tobytes(), 1)
+
+
+def restored(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
 def _list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
@@ -112,7 +121,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             del sizes[lang]
             counts = np.bincount(seq // 2, minlength=len(words))
             lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-            arrays = [pa.array([next(numbers)]), pa.array([lang]), pa.array([seq.tobytes()], pa.binary()), lists, _list(counts, pa.int64())]
+            arrays = [pa.array([next(numbers)]), pa.array([lang]), pa.array([stored(seq)], pa.binary()), lists, _list(counts, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["block", "lang", "seq", "words", "counts"])
 
         for batch in batches:
@@ -136,11 +145,11 @@ def _over_frequent(named: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 codes, ids = np.array(row["codes"], np.int64), np.array(row["ids"], np.int64)
-                seq, units = np.frombuffer(row["seq"], np.uint32), row["units"]
+                seq, units = restored(row["seq"]), row["units"]
                 if level > 1:
                     left, _, _, seq = adjacent(seq, units)
                     units = len(left)
-                arrays = [pa.array([row["block"]]), pa.array([only(seq, units, codes).tobytes()], pa.binary()), _list(ids, pa.int64())]
+                arrays = [pa.array([row["block"]]), pa.array([stored(only(seq, units, codes))], pa.binary()), _list(ids, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "seq", "ids"])
 
     return named.mapInArrow(narrow, "block bigint, seq binary, ids array<bigint>")
@@ -153,7 +162,7 @@ def _pairs(state: DataFrame) -> DataFrame:
         for batch in batches:
             for block, seq, ids in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
                 ids = ids.values.to_numpy()
-                left, right, n, _ = adjacent(np.frombuffer(seq, np.uint32), len(ids))
+                left, right, n, _ = adjacent(restored(seq), len(ids))
                 arrays = [np.full(len(left), block), np.arange(len(left)), ids[left], ids[right], n]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["block", "code", "left", "right", "n"])
 
@@ -185,7 +194,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col:
         blocks = _written(_blocks(docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), text_or_empty(text_col))))
     total = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("text")).agg(F.sum("w.counts").alias("f"))
-    named = durable(words.where(F.col("f") >= min_count).withColumn("id", F.monotonically_increasing_id()))
+    named = _written(words.where(F.col("f") >= min_count).withColumn("id", F.monotonically_increasing_id()))
     nothing = F.lit(None).cast("bigint")
     levels = [named.select("id", "lang", "text", "f", F.array("f").alias("starts"), F.array("f").alias("ends"), F.col("text").alias("tail"), nothing.alias("left"), nothing.alias("right"))]
     with batches_of(spark, BATCH_BLOCKS):
@@ -195,11 +204,12 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col:
         for level in range(2, max_words + 1):
             pairs = _pairs(state)
             sums = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-            frequent = durable(sums.withColumn("id", F.monotonically_increasing_id()))
-            levels.append(durable(_described(frequent, levels[-1])))
+            frequent = _written(sums.withColumn("id", F.monotonically_increasing_id()))
+            levels.append(_written(_described(frequent, levels[-1])))
             if level < max_words:
                 key = F.xxhash64("left", "right")
-                hopeful = with_bitmap_flag(pairs.drop("n"), key, bitmap_of(frequent, key), "met").where("met").drop("met")
+                bits = bits_for(frequent.count())
+                hopeful = with_bitmap_flag(pairs.drop("n"), key, bitmap_of(frequent, key, bits), "met", bits).where("met").drop("met")
                 found = hopeful.join(frequent.select("left", "right", "id"), ["left", "right"])
                 parts = state.select("block", "seq", F.size("ids").alias("units")).join(_by_block(found), "block")
                 state = _written(_over_frequent(parts, level))
@@ -246,8 +256,10 @@ def mine_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, top:
             rows = rows.join(longer, "id", "left").where("longer IS NULL OR 100 * longer < %d * a" % cover).drop("longer")
         rows = rows.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
         found = rows if found is None else found.unionByName(rows)
-    # Each task keeps the first of each lang before the rest meets.
-    ranked = f"SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM {{found}}"
+    # Each task keeps the first of each lang and salt before the rest meets, and so does each salt of a lang.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
     with settings(docs.sparkSession, spark__sql__optimizer__windowGroupLimitThreshold=str(top)):
-        best = durable(docs.sparkSession.sql(f"SELECT * FROM ({ranked}) WHERE rank <= {top}", found=found))
+        salted = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+        some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+        best = durable(some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top))
     return best.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
