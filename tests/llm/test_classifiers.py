@@ -152,3 +152,19 @@ def test_estimated_prior():
 def test_codewords_are_distinct(n):
     code = codewords(n)
     assert code.shape[0] == n and len({tuple(r) for r in code}) == n
+
+
+@pytest.mark.parametrize("languages", [600, 3000])
+def test_many_languages(spark, languages):
+    """A dirty language column neither stops the training nor drowns the languages that are frequent."""
+    from verigrain.llm.langid import identify_language, train_language_model
+    from verigrain.llm.sampling import MOST_STRATA
+
+    rows = [(k, "der hund und die katze sind nicht hier " * 3, "de") for k in range(400)]
+    rows += [(1000 + k, "the dog and the cat are not here today " * 3, "en") for k in range(400)]
+    rows += [(5000 + k, f"zq{k}x wv{k % 7}", f"junk{k:04d}") for k in range(languages)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = train_language_model(docs, rounds=20)
+    assert len(model.languages) == min(languages + 2, MOST_STRATA) and {"de", "en"} <= set(model.languages)
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_language(docs.where("doc_id < 5000"), model).collect()}
+    assert len(got) == 800 and sum(v == ("de" if k < 1000 else "en") for k, v in got.items()) > 700

@@ -125,3 +125,19 @@ def test_groups_beside_the_fingerprints(spark, small, odd):
         want = sorted((digest(f), min((i for i in ids if i is not None), default=None), len(ids)) for f, ids in forms.items() for _ in ids)
         got = fingerprints_with_groups(docs).collect()
         assert sorted((r["fingerprint"], r["group_id"], r["group_size"]) for r in got) == want
+
+
+def test_one_fingerprint_on_a_third_of_the_rows(spark, monkeypatch):
+    """Texts that differ in case and blanks alone are one group; colliding digests are told apart by their bytes."""
+    from verigrain.llm import fingerprints as P
+
+    rows = [(k, (" A  b\tC " if k % 2 else "a B c") if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["group_id"], r["group_size"]) for r in P.canonical_groups(docs).collect()}
+    assert got == {k: (0, 1000) if k % 3 == 0 else (k, 1) for k in range(3000)}
+    monkeypatch.setattr(P, "HELD_FORMS", 10)
+    marked = docs.selectExpr("doc_id AS row_id", "'same' AS fingerprint", "sha2(text, 256) AS raw")
+    seen = P.compared(docs.selectExpr("sha2(text, 256) AS raw", "text"))
+    monkeypatch.setattr(P, "compared", lambda chosen: seen.withColumn("fingerprint", P.F.lit("same")))
+    apart = {r["row_id"]: (r["group_id"], r["group_size"]) for r in P.grouped(marked, docs.select("text")).collect()}
+    assert apart == got

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from verigrain.llm.columns import bitmap_of, salted_join, with_bitmap_flag
+from verigrain.llm.textkit import sliced_by_bytes
 from verigrain.plans.durable import batches_of, durable
 
 #: Rows sent to a Python worker at once.
 BATCH_ROWS = 500
+#: Bytes of text taken from a batch at a time, and bytes of canonical forms that a task holds for comparison.
+BYTES_AT_A_TIME, HELD_FORMS = 4 << 20, 32 << 20
 
 
 def canonical(text: str) -> bytes:
@@ -59,9 +62,8 @@ FIELDS = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near
 def canonical_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, fingerprint, group_id (smallest id with the same canonical form), group_size.
 
-    Rows are grouped by digest. Canonical bytes are read only for digests that more than one row has, and
-    compared as the smallest and the largest of each bucket, which partial aggregation brings down to one pair per
-    task; should they differ, the bucket is split by the bytes' SHA-256.
+    Rows are grouped by digest. Canonical bytes are read only for digests under which texts differ, and compared where
+    they are read; should they differ, the bucket is split by the bytes' SHA-256.
 
     Null text counts as empty; a null id is larger than every other and stays alone only if its text does; repeated
     rows count; an empty table gives an empty result; other columns are ignored.
@@ -79,22 +81,16 @@ def canonical_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def grouped(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """``marked`` (with row_id, fingerprint and raw, the SHA-256 of the text) plus group_id and group_size.
 
-    ``texts`` holds all of their texts; those of equal fingerprint but unequal SHA-256 are read again.
+    ``texts`` holds all of their texts; those of equal fingerprint but unequal SHA-256 are read once more.
     """
 
-    @arrow_udf("struct<form:string,fingerprint:string>")
-    def forms(column: pa.Array) -> pa.Array:
-        found = [canonical(t) for t in column.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f.decode() for f in found], pa.string()), pa.array(list(map(digest, found)), pa.string())], ["form", "fingerprint"])
-
     buckets = durable(marked.groupBy("fingerprint").agg(F.min("raw").alias("a"), F.max("raw").alias("b"), F.min("row_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")))
     mixed = buckets.where("a <> b").select("fingerprint")
     raws = durable(marked.select("raw", "fingerprint").distinct().join(mixed, "fingerprint", "left_semi").select("raw"))
     chosen = with_bitmap_flag(texts.withColumn("raw", F.sha2("text", 256)), F.xxhash64("raw"), bitmap_of(raws, F.xxhash64("raw")), "chosen").where("chosen")
-    # The smallest and the largest form of each bucket: partial aggregation brings them down to a pair for each task.
-    seen = chosen.select("raw", forms("text").alias("f")).select("raw", "f.*")
-    clashing = seen.groupBy("fingerprint").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fingerprint")
-    part = durable(seen.join(clashing, "fingerprint", "left_semi").select("raw", "fingerprint", F.sha2("form", 256).alias("part")).distinct())
+    kinds = durable(compared(chosen.select("raw", "text")).distinct())
+    clashing = kinds.groupBy("fingerprint").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("fingerprint")
+    part = durable(kinds.join(clashing, "fingerprint", "left_semi"))
     if part.isEmpty():
         return salted_join(marked, buckets.drop("a", "b"), ["fingerprint"], "group_size").drop("raw")
     keyed = durable(marked.join(part, ["raw", "fingerprint"], "left").withColumn("part", F.coalesce("part", F.lit(""))))
@@ -102,6 +98,36 @@ def grouped(marked: DataFrame, texts: DataFrame) -> DataFrame:
     return salted_join(keyed, groups, ["fingerprint", "part"], "group_size").drop("raw", "part")
 
 
+def compared(rows: DataFrame) -> DataFrame:
+    """raw, fingerprint and part of each row of raw and text: of equal fingerprints, equal bytes have equal parts.
+
+    A task compares the bytes of a form with the last one that it met under the fingerprint, of the ``HELD_FORMS`` bytes
+    that it holds; what tasks say is brought together by the SHA-256 of the bytes, so no text leaves its task.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[bytes, str]] = {}
+        size = 0
+        for batch in batches:
+            for some in sliced_by_bytes(batch, 1, BYTES_AT_A_TIME):
+                prints, parts = [], []
+                for text in some.column(1):
+                    form = canonical(text.as_py())
+                    key = digest(form)
+                    before, part = held.get(key, (None, ""))
+                    if before != form:
+                        part = hashlib.sha256(form).hexdigest()
+                        size += len(form) - len(before or b"")
+                        if size > HELD_FORMS:
+                            held, size = {}, len(form)
+                        held[key] = form, part
+                    prints.append(key)
+                    parts.append(part)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(prints, pa.string()), pa.array(parts, pa.string())], ["raw", "fingerprint", "part"])
+
+    return rows.mapInArrow(compare, "raw string, fingerprint string, part string")
+
+
 def fingerprints_with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``fingerprint_with_next`` plus group_id and group_size, as ``canonical_groups`` has them, from the same digests."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -48,7 +48,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         splits = [[1 if (s >> k) & 1 else -1 for k in range(n)] for s in range(1, 1 << (n - 1))]
         return np.array(splits, float).T
     rng, bits, best, widest = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), None, -1
-    for _ in range(200):
+    for _ in range(200 if n <= 200 else 10):
         code = rng.choice([-1.0, 1.0], (n, bits))
         near = (bits - code @ code.T) / 2 + np.eye(n) * bits
         usable = (np.abs(code.sum(0)) < n).all()
@@ -68,7 +68,8 @@ class LanguageModel:
     def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language's index, its score and its lead over the second, for each row of n-gram counts."""
         margins = counts @ self.weights + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
+        one = self.code > 0  # the loss of each bit under either value, summed by codeword
+        loss = np.logaddexp(0, -margins) @ (one * self.trust).T + np.logaddexp(0, margins) @ (~one * self.trust).T
         likely = np.exp(-(loss - loss.min(1, keepdims=True)) * self.code.shape[1])
         likely /= likely.sum(1, keepdims=True)
         ranked = np.sort(likely, 1)
@@ -83,7 +84,7 @@ def train_language_model(
     """Fit on at most about ``docs_per_language`` documents of each language, chosen by a hash of the id.
 
     With many languages each has fewer, so that they are about ``docs_in_all`` together: the driver's memory is
-    bounded. Rows without text or language are left out. Without any row the model knows no language and finds
+    bounded. Of more than 2000 languages the most frequent are learned. Rows without text or language are left out. Without any row the model knows no language and finds
     every text undetermined.
     """
     rows = docs.where(trainable) if trainable is not None else docs

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from verigrain.llm.columns import free_name
 
 
 MOST_STRATA = 2000
@@ -22,19 +25,18 @@ def hash_fraction(key: Column, seed: int) -> Column:
 def bounded(df: DataFrame, id_col: str, strata: str, cap: int, seed: int, in_all: int | None = None) -> DataFrame:
     """About ``cap`` rows at most of each value of ``strata``, chosen by a hash of the id; about ``in_all`` together.
 
-    The values are listed on the driver: labels, or languages. More than ``MOST_STRATA`` of them are an error.
+    Of more than ``MOST_STRATA`` values only the most frequent are sampled, the smaller of ties. Their shares are a table
+    of so many rows at most, which is broadcast.
     """
-    sizes = {r[0]: r[1] for r in df.where(F.col(strata).isNotNull()).groupBy(strata).count().limit(MOST_STRATA + 1).collect()}
-    if len(sizes) > MOST_STRATA:
-        raise ValueError(f"{strata} has more than {MOST_STRATA} values")
+    spark, values = df.sparkSession, df.where(F.col(strata).isNotNull()).groupBy(strata).count()
+    sizes = values.orderBy(F.desc("count"), strata).limit(MOST_STRATA).collect()
     if not sizes:
         return df.limit(0)
     if in_all is not None:
         cap = min(cap, max(in_all // len(sizes), 1))
-    fraction = F.lit(0.0)
-    for value, n in sizes.items():
-        fraction = F.when(F.col(strata) == F.lit(value), F.lit(min(1.0, cap / n))).otherwise(fraction)
-    return df.where(hash_fraction(F.col(id_col), seed) < fraction)
+    share = free_name(df, "share")
+    shares = spark.createDataFrame([(r[0], min(1.0, cap / r[1])) for r in sizes], StructType([StructField(strata, df.schema[strata].dataType), StructField(share, DoubleType())]))
+    return df.join(F.broadcast(shares), strata).where(hash_fraction(F.col(id_col), seed) < F.col(share)).select(*df.columns)
 
 
 def labelled_sample(labels: DataFrame, label: str, id_col: str, folds: int, held_out: int, cap: int, seed: int) -> DataFrame:
