@@ -60,17 +60,19 @@ def _before(bins: DataFrame, keys: list[str], counts: list[str], level: int) ->
 def validity(points: DataFrame, keys: list[str], counts: list[str], level: int) -> DataFrame:
     """since (exclusive), until (inclusive) and counts of each step, split at bins.
 
-    ``points`` has one row per key, bin and time, with what is to be added after that time.
+    ``points`` has one row per key, bin and time, with an array of what is to be added to ``counts`` after that time.
     """
     order = Window.partitionBy(*keys, "bin").orderBy("at")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = {c: F.get("counts", k) for k, c in enumerate(counts)}
     steps = points.select(
         *keys, "bin", "at", F.coalesce(F.lead("at").over(order), F.lit(_LAST)).alias("next"), (F.row_number().over(order) == 1).alias("opens"),
-        *[F.sum(c).over(running).alias(f"{c}_run") for c in counts], *[F.col(c).alias(f"{c}_own") for c in counts],
+        *[F.sum(x).over(running).alias(f"{c}_run") for c, x in each.items()],
     )
     if level:
-        bins = points.groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in counts])
-        steps = steps.join(_before(bins, keys, counts, level), [*keys, "bin"])
+        # The last time is not needed; it keeps the columns alike, so that the points are shuffled once for all uses.
+        bins = points.groupBy(*keys, "bin").agg(F.max("at").alias("last"), *[F.sum(x).alias(c) for c, x in each.items()])
+        steps = steps.join(_before(bins.where("last IS NOT NULL"), keys, counts, level), [*keys, "bin"])
     else:
         steps = steps.withColumns({c: F.lit(0).cast("bigint") for c in counts})
     own = F.struct(F.col("at").alias("since"), F.col("next").alias("until"), *[(F.col(c) + F.col(f"{c}_run")).alias(c) for c in counts])
@@ -96,11 +98,13 @@ def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, cloc
         narrow = narrow.withColumn("asked", asked)
     shift = F.greatest(F.lit(clock.bits) - F.col("level"), F.lit(0))
     binned = narrow.withColumn("bin", F.call_function("shiftright", F.col("at") - F.lit(clock.start), shift))
-    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(zero)).alias(f"{c}{f}") for c in "ns" for f in range(folds)]
-    points = binned.groupBy(*keys, "bin", "at").agg(*sums, F.bit_or("asked").alias("asked")).repartition(*keys, "bin")
+    known = binned.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "bin", "at")))
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(zero)) for c in "ns" for f in range(folds)]
+    summed = known.groupBy(*keys, "bin", "at").agg(F.array(*sums, F.bit_or("asked")).alias("counts"))
+    points = summed.repartition(*keys, "bin")
     steps = validity(points, keys, counts, most)
-    probes = points.where("asked <> 0").select(*keys, "bin", "at", "asked")
-    met = probes.join(steps, [*keys, "bin"]).where("since < at AND at <= until")
+    probes = points.select(*keys, "bin", "at", F.get("counts", len(counts)).alias("asked"))
+    met = (probes.where("asked <> 0") if gap else probes).join(steps, [*keys, "bin"]).where("since < at AND at <= until")
     total = {c: sum((F.col(f"{c}{f}") for f in range(1, folds)), F.col(f"{c}0")) for c in "ns"}
     each = [F.when(F.col("asked").bitwiseAND(1 << f) != 0, F.struct(F.lit(f).alias("fold"), *[(total[c] - F.col(f"{c}{f}")).alias(c) for c in "ns"])) for f in range(folds)]
     return met.select(*keys, "at", F.explode(F.array_compact(F.array(*each))).alias("h")).select(*keys, "at", "h.*")
@@ -166,7 +170,7 @@ def encode_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
 
     def past(rows: DataFrame, key: str, most: int) -> DataFrame:
         found = history(rows, [key], F.col(f"{key}_level"), most, clock, folds, gap)
-        return found.withColumnsRenamed({"n": f"{key}_n", "s": f"{key}_s"})
+        return _written(found.withColumnsRenamed({"n": f"{key}_n", "s": f"{key}_s"}))  # one small plan after the other
 
     # All history has one key; its bins are as many as all sales need.
     sales_level = by_sale.agg(level_of(F.count(F.lit(1)))).first()[0]
@@ -174,9 +178,11 @@ def encode_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
     of_client = by_sale.select("sale_id", "at", "fold", "client_id", "segment")
     for found, key in ((past(every, "all_", sales_level).drop("all_"), None), (past(by_sale, "segment", segment_most), "segment"), (past(by_sale, "client_id", client_most), "client_id")):
         of_client = of_client.join(found, [*([key] if key else []), "at", "fold"])
+    of_client = of_client.drop("client_id", "segment")
     overall = rate(F.col("all__n"), F.col("all__s"), F.lit(PRIOR).cast("bigint"))
     of_client = of_client.withColumn("prior", overall).withColumn("segment_rate", rate(F.col("segment_n"), F.col("segment_s"), F.col("prior")))
-    of_client = of_client.select("sale_id", "at", "fold", "prior", F.col("client_id_n").alias("client_n"), rate(F.col("client_id_n"), F.col("client_id_s"), F.col("segment_rate")).alias("client_rate"))
+    client_rate = rate(F.col("client_id_n"), F.col("client_id_s"), F.col("segment_rate"))
+    of_client = _written(of_client.select("sale_id", "at", "fold", "prior", F.col("client_id_n").alias("client_n"), client_rate.alias("client_rate")))
     out = base.select("sale_id", "item_id", "vendor_id", "n", "s", "at", "fold", "kind", "nation")
     for key, most in (("kind", kind_most), ("nation", nation_most), ("item_id", item_most), ("vendor_id", vendor_most)):
         out = out.join(past(base, key, most), [key, "at", "fold"])
