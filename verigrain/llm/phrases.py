@@ -34,11 +34,11 @@ from verigrain.llm.token_files import shared_folder
 from verigrain.plans.durable import batches_of, durable, settings
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: What a task holds of texts whose blocks are not full yet.
-HELD_BYTES = 4 * BLOCK_BYTES
+HELD_BYTES = 2 * BLOCK_BYTES
 #: Texts sent to a Python worker at once, and blocks.
-BATCH_ROWS, BATCH_BLOCKS = 500, 2
+BATCH_ROWS, BATCH_BLOCKS = 500, 1
 #: Bytes that end a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower-cases A-Z, turns ends of pieces into line feeds and tabs into blanks.
@@ -183,11 +183,11 @@ def _by_block(found: DataFrame) -> DataFrame:
     return found.groupBy("block").agg(pairs.alias("u")).select("block", F.col("u.code").alias("codes"), F.col("u.id").alias("ids"))
 
 
-def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """Words in all of each lang (lang, n), and a table for each number of words up to ``max_words``.
+def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Words in all of each lang (lang, n), the frequent words (id, text), and a table for each number of words.
 
-    Those have id, lang, text, f, starts (counts of the first 1, 2, ... words), ends (of the last 1, 2, ... words),
-    tail (the last word), left and right (the parents' ids; null on level 1).
+    Those have id, lang, f, words (their ids), starts (counts of the first 1, 2, ... words), ends (of the last 1, 2, ...
+    words), left and right (the parents' ids; null on level 1).
     """
     spark = docs.sparkSession
     with batches_of(spark, BATCH_ROWS):
@@ -196,7 +196,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col:
     words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("text")).agg(F.sum("w.counts").alias("f"))
     named = _written(words.where(F.col("f") >= min_count).withColumn("id", F.monotonically_increasing_id()))
     nothing = F.lit(None).cast("bigint")
-    levels = [named.select("id", "lang", "text", "f", F.array("f").alias("starts"), F.array("f").alias("ends"), F.col("text").alias("tail"), nothing.alias("left"), nothing.alias("right"))]
+    levels = [named.select("id", "lang", "f", F.array("id").alias("words"), F.array("f").alias("starts"), F.array("f").alias("ends"), nothing.alias("left"), nothing.alias("right"))]
     with batches_of(spark, BATCH_BLOCKS):
         units = blocks.select("block", "lang", F.posexplode("words").alias("code", "text")).join(named.select("lang", "text", "id"), ["lang", "text"])
         parts = blocks.select("block", "seq", F.size("words").alias("units")).join(_by_block(units), "block")
@@ -213,18 +213,25 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col:
                 found = hopeful.join(frequent.select("left", "right", "id"), ["left", "right"])
                 parts = state.select("block", "seq", F.size("ids").alias("units")).join(_by_block(found), "block")
                 state = _written(_over_frequent(parts, level))
-    return total, levels
+    return total, named.select("id", "text"), levels
 
 
 def _described(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
-    left = shorter.select(F.col("id").alias("left"), "lang", F.col("text").alias("head"), "starts")
-    right = shorter.select(F.col("id").alias("right"), "tail", "ends")
+    left = shorter.select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), "starts")
+    right = shorter.select(F.col("id").alias("right"), F.col("words").alias("rest"), "ends")
     return frequent.join(left, "left").join(right, "right").select(
-        "id", "lang", F.concat_ws(" ", "head", "tail").alias("text"), "f", F.concat("starts", F.array("f")).alias("starts"),
-        F.concat("ends", F.array("f")).alias("ends"), "tail", "left", "right",
+        "id", "lang", "f", F.concat("head", F.slice("rest", -1, 1)).alias("words"), F.concat("starts", F.array("f")).alias("starts"),
+        F.concat("ends", F.array("f")).alias("ends"), "left", "right",
     )
 
 
+def _spelled(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with phrase in place of words, the ids of its words."""
+    placed = rows.select("lang", "words", F.posexplode("words").alias("place", "id")).join(names, "id")
+    texts = placed.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("t"))
+    return rows.join(texts, "words").withColumn("phrase", F.array_join(F.col("t.text"), " ")).drop("words", "t")
+
+
 def _cut(words: int) -> Column:
     """The lowest-scoring cut: score, l and r; the first of several. Decimals of 38 digits: exact for counts below 10**13."""
     square = (F.col("f").cast("decimal(19,0)") * F.col("f").cast("decimal(19,0)")).cast("decimal(26,0)")
@@ -247,19 +254,23 @@ def mine_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, top:
     as they occur; texts of any length are cut at ends of pieces only. An empty table gives an empty result. Other
     columns are ignored.
     """
-    total, levels = frequent_phrases(docs, min_count, max_words, lang_col, text_col)
+    total, names, levels = frequent_phrases(docs, min_count, max_words, lang_col, text_col)
     found = None
     for words, table in enumerate(levels[1:], 2):
-        rows = table.select("id", "lang", F.col("text").alias("phrase"), F.col("f").alias("a"), _cut(words).alias("c"))
+        rows = table.select("id", "lang", "words", F.col("f").alias("a"), _cut(words).alias("c"))
         if words < max_words:
             longer = levels[words].select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("longer"))
-            rows = rows.join(longer, "id", "left").where("longer IS NULL OR 100 * longer < %d * a" % cover).drop("longer")
-        rows = rows.select("lang", "phrase", "a", "c.l", "c.r", "c.score")
+            rows = rows.join(longer, "id", "left").where(f"longer IS NULL OR 100 * longer < {cover} * a").drop("longer")
+        rows = rows.select("lang", "words", "a", "c.l", "c.r", "c.score")
         found = rows if found is None else found.unionByName(rows)
-    # Each task keeps the first of each lang and salt before the rest meets, and so does each salt of a lang.
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    with settings(docs.sparkSession, spark__sql__optimizer__windowGroupLimitThreshold=str(top)):
-        salted = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-        some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-        best = durable(some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top))
+    # Each task keeps the first of each lang and salt before the rest meets, and so does each salt of a lang. Texts are
+    # wanted for the order of ties only, so they are looked up for what is first without them, ties and all.
+    order = [F.desc("score"), F.desc("a")]
+    spark = docs.sparkSession
+    with settings(spark, spark__sql__optimizer__windowGroupLimitThreshold=str(top)):
+        salted = found.withColumn("salt", F.pmod(F.xxhash64("words"), F.lit(SALTS)))
+        for by in (["lang", "salt"], ["lang"]):
+            salted = salted.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+        first = _spelled(_written(salted.drop("salt", "rank")), names)
+        best = durable(first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).where(F.col("rank") <= top))
     return best.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
