@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verigrain.config import CONFIG, EngineConfig
 from verigrain.functions.basics import clip01, ladder, names_where, points
+from verigrain.operators.communities import coloured_label_propagation, louvain_levels
 from verigrain.operators.components import connected_components
 from verigrain.operators.pairs import block_pairs
 from verigrain.plans.durable import durable
@@ -153,7 +154,10 @@ def cluster_scores(edges: DataFrame, assignment: DataFrame, min_size: int = CONF
 
 def detect_clusters(uses: DataFrame, algorithm: str = "components", min_size: int = CONFIG.min_cluster_size) -> DataFrame:
     edges = durable(identity_edges(uses, CLUSTER_TYPES))
-    ways = {"components": lambda e: connected_components(e).select(F.col("node").alias("identity_id"), "component"), "label_propagation": label_propagation, "louvain": louvain}
+    ways = {
+        "components": lambda e: connected_components(e).select(F.col("node").alias("identity_id"), "component"), "label_propagation": label_propagation, "louvain": louvain,
+        "louvain_levels": lambda e: louvain_levels(e)[-1].labels, "coloured_label_propagation": lambda e: coloured_label_propagation(e).labels,
+    }
     if algorithm not in ways:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     return cluster_scores(edges, durable(ways[algorithm](edges)), min_size)

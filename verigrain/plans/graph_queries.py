@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigrain.functions.basics import joined
+from verigrain.operators import communities as C
 from verigrain.operators import graph as G
 from verigrain.plans.registry import Registry
 from verigrain.plans.sql_tables import GRAPH_USE, joined_sql, names_sql
@@ -164,6 +165,38 @@ def cluster_members(t: Tables) -> DataFrame:
     return G.members_of_clusters(edges, most=100)
 
 
+_CONVERGED = ", ".join(
+    f"t{k} AS MATERIALIZED (SELECT id AS v, (0.15::DOUBLE + 0.85::DOUBLE * (SELECT sum(p) FROM t{k - 1} WHERE v NOT IN (SELECT v FROM deg))) / (SELECT count(*) FROM t{k - 1}) + 0.85::DOUBLE * coalesce(i.s, 0) AS p"
+    f" FROM ids LEFT JOIN (SELECT w2.dst, sum(r.p / deg.d) AS s FROM t{k - 1} r JOIN deg USING (v) JOIN w2 ON w2.src = r.v GROUP BY 1) i ON i.dst = id)"
+    for k in range(1, 101)
+)
+
+
+@query(f"""WITH {_EDGES}, ids AS (SELECT c_custkey AS id FROM customer), deg AS (SELECT src AS v, count(*) AS d FROM w2 GROUP BY 1),
+    t0 AS MATERIALIZED (SELECT id AS v, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS p FROM ids), {_CONVERGED} SELECT v AS identity_id, round(p, 8) AS rank FROM t100""")
+def pagerank(t: Tables) -> DataFrame:
+    """Ranks of all customers at the fixed point, those without a link too."""
+    ids = t.read("customer").select(F.col("c_custkey").alias("identity_id"))
+    return C.pagerank(G.identity_edges(t.graph_use()), ids).ranks.withColumn("rank", F.round("rank", 8))
+
+
+@query()
+def louvain_levels(t: Tables) -> DataFrame:
+    """The community of every identity on every level of Louvain, with the level's modularity."""
+    parts = [x.labels.select("identity_id", F.lit(k).alias("level"), "component", F.lit(x.modularity).alias("modularity")) for k, x in enumerate(C.louvain_levels(G.identity_edges(t.graph_use(), G.CLUSTER_TYPES)), 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query()
+def label_propagation_clusters(t: Tables) -> DataFrame:
+    """Clusters of label propagation at its fixed point."""
+    f = G.detect_clusters(t.graph_use(), "coloured_label_propagation")
+    return f.select("cluster_id", "size", "edges", "centre", "density", "score", "risk_level")
+
+
 @query()
 def louvain_clusters(t: Tables) -> DataFrame:
     f = G.detect_clusters(t.graph_use(), "louvain")
