@@ -23,7 +23,7 @@ from verigrain.plans.durable import durable, settings
 #: Rows of a key that a bin has on average, at most twice as many; bits of bins at most; bits of a level of prefix sums.
 ROWS_OF_BIN, MOST_LEVEL, FAN = 32, 24, 8
 PRIOR, WEIGHT, UNIT, LEAST = 500_000, 50, 1_000_000, 1
-_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
+_FIRST = -(1 << 63)
 
 
 class Clock(NamedTuple):
@@ -60,32 +60,32 @@ def _before(bins: DataFrame, keys: list[str], counts: list[str], level: int) ->
 def validity(points: DataFrame, keys: list[str], counts: list[str], level: int) -> DataFrame:
     """since (exclusive), until (inclusive) and counts of each step, split at bins.
 
-    ``points`` has one row per key, bin and time, with an array of what is to be added to ``counts`` after that time.
+    ``points`` has one row per key, bin and time, with an array of what is to be added to ``counts`` after that time. A
+    step ends at a point; no moment is asked for that is no point, so none is needed behind the last of a bin.
     """
     order = Window.partitionBy(*keys, "bin").orderBy("at")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     each = {c: F.get("counts", k) for k, c in enumerate(counts)}
     steps = points.select(
-        *keys, "bin", "at", F.coalesce(F.lead("at").over(order), F.lit(_LAST)).alias("next"), (F.row_number().over(order) == 1).alias("opens"),
-        *[F.sum(x).over(running).alias(f"{c}_run") for c, x in each.items()],
+        *keys, "bin", F.coalesce(F.lag("at").over(order), F.lit(_FIRST)).alias("since"), F.col("at").alias("until"),
+        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(c) for c, x in each.items()],
     )
-    if level:
-        # The last time is not needed; it keeps the columns alike, so that the points are shuffled once for all uses.
-        bins = points.groupBy(*keys, "bin").agg(F.max("at").alias("last"), *[F.sum(x).alias(c) for c, x in each.items()])
-        steps = steps.join(_before(bins.where("last IS NOT NULL"), keys, counts, level), [*keys, "bin"])
-    else:
-        steps = steps.withColumns({c: F.lit(0).cast("bigint") for c in counts})
-    own = F.struct(F.col("at").alias("since"), F.col("next").alias("until"), *[(F.col(c) + F.col(f"{c}_run")).alias(c) for c in counts])
-    opening = F.struct(F.lit(_FIRST).alias("since"), F.col("at").alias("until"), *[F.col(c) for c in counts])
-    return steps.select(*keys, "bin", F.explode(F.when(F.col("opens"), F.array(opening, own)).otherwise(F.array(own))).alias("v")).select(*keys, "bin", "v.*")
+    if not level:
+        return steps
+    # The last time is not needed; it keeps the columns alike, so that the points are shuffled once for all uses.
+    bins = points.groupBy(*keys, "bin").agg(F.max("at").alias("last"), *[F.sum(x).alias(c) for c, x in each.items()])
+    before = _before(bins.where("last IS NOT NULL"), keys, counts, level).withColumnsRenamed({c: f"{c}_before" for c in counts})
+    return steps.join(before, [*keys, "bin"]).select(*keys, "bin", "since", "until", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in counts])
 
 
 def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, clock: Clock, folds: int, gap: int = 0) -> DataFrame:
     """``keys``, at, fold, n and s for each key, time and fold of ``rows``: what other folds had more than ``gap`` before.
 
     ``rows`` has at (bigint), fold (int from 0), n and s (what a row counts) and ``keys``, none of them null. ``level``
-    depends on the key alone and is at most ``most``.
+    depends on the key alone and is at most ``most``. There are at most 8 folds.
     """
+    if folds > 8:
+        raise ValueError("at most 8 folds")
     keys = list(keys)
     counts = [f"{c}{f}" for c in "ns" for f in range(folds)]
     zero = F.lit(0).cast("bigint")
@@ -106,8 +106,11 @@ def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, cloc
     probes = points.select(*keys, "bin", "at", F.get("counts", len(counts)).alias("asked"))
     met = (probes.where("asked <> 0") if gap else probes).join(steps, [*keys, "bin"]).where("since < at AND at <= until")
     total = {c: sum((F.col(f"{c}{f}") for f in range(1, folds)), F.col(f"{c}0")) for c in "ns"}
-    each = [F.when(F.col("asked").bitwiseAND(1 << f) != 0, F.struct(F.lit(f).alias("fold"), *[(total[c] - F.col(f"{c}{f}")).alias(c) for c in "ns"])) for f in range(folds)]
-    return met.select(*keys, "at", F.explode(F.array_compact(F.array(*each))).alias("h")).select(*keys, "at", "h.*")
+    # The folds of each set of bits, as a table of arrays that all rows share.
+    sets = F.lit([[f for f in range(folds) if bits >> f & 1] for bits in range(1 << folds)])
+    each = met.withColumn("fold", F.explode(F.get(sets, F.col("asked").cast("int"))))
+    own = {c: F.coalesce(*[F.when(F.col("fold") == f, F.col(f"{c}{f}")) for f in range(folds)]) for c in "ns"}
+    return each.select(*keys, "at", "fold", *[(total[c] - own[c]).alias(c) for c in "ns"])
 
 
 def rate(n: Column, s: Column, prior: Column) -> Column:
@@ -199,5 +202,5 @@ def encode_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
 
 def _written(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession, "encoding")
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "lz4_raw").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
