@@ -105,3 +105,15 @@ def test_query_against_sql(spark):
     got = QUERIES["op11_phrases"](spark, folder)
     assert got.columns == want.columns
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_hashes_and_bitmap(spark):
+    """The numpy hash is Spark's, and the collected bitmap has the bit of every pair."""
+    rows = [(0, 0), (1, -1), (2**62, -(2**63)), *[(k * 7919, k << 33) for k in range(500)]]
+    table = spark.createDataFrame(rows, "left long, right long")
+    left, right = np.array(rows, np.int64).T
+    own = P.hashes(left, right)
+    assert own.view(np.int64).tolist() == [r[0] for r in table.selectExpr("xxhash64(left, right)").collect()]
+    bits = P._bitmap(table, 1 << 23)
+    place = P._places(own, 1 << 23)
+    assert (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).all() and np.unpackbits(bits).sum() == len(set(place.tolist()))

@@ -8,6 +8,9 @@ level 1 a code stands for a word, on level k for a phrase of k words. A level go
    which overlap in all but one word, so its two parts are its parent pointers.
 2. The ids are joined back to the blocks' lists, and the blocks' sequences are written over frequent units alone.
    A phrase can only be frequent if both of its parents are, so what falls out is needed on no later level.
+3. Two adjacent pairs are three ids, so the next level is counted from the same sequences; a bitmap of the frequent
+   pairs spares what cannot be frequent. Of what is, the two pairs are replaced by their global ids, with one join of
+   distinct units. So blocks are rewritten only for the level after the next.
 
 The pointers give all else: prefixes of a phrase are those of its left parent and the phrase itself, endings those of
 its right parent, so the counts of both sides of every cut come with two joins a level; and a phrase lies inside a
@@ -169,6 +172,57 @@ def _pairs(state: DataFrame) -> DataFrame:
     return state.select("block", "seq", "ids").mapInArrow(count, "block bigint, code bigint, left bigint, right bigint, n bigint")
 
 
+def hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What the SQL function xxhash64 makes of two bigints."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    seed = np.full(len(left), 42, np.uint64)
+    for value in (left, right):
+        h = (seed + p5 + np.uint64(8)) ^ (turned(value.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        seed = h ^ (h >> np.uint64(32))
+    return seed
+
+
+def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
+    """The bits of the pairs' hashes, as bytes (see ``_places``): at most 8 MiB on the driver."""
+    out = np.zeros((1 + (bits >> 15), 4096), np.uint8)
+    for bucket, some in bitmap_of(pairs, F.xxhash64("left", "right"), bits).collect():
+        part = np.frombuffer(some, np.uint8)
+        out[bucket, : len(part)] = part
+    return out.ravel()
+
+
+def _places(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Where Spark's bitmap functions keep these hashes: bucket 0 has the number 0 alone, the others follow."""
+    place = (hashed & np.uint64(bits - 1)).astype(np.int64)
+    return np.where(place > 0, place + 32767, 0)
+
+
+def _triples(state: DataFrame, frequent: DataFrame) -> DataFrame:
+    """a, b, c, n: in each block the distinct adjacent pairs of pairs, those that may be of ``frequent`` ones."""
+    bits = bits_for(frequent.count())
+    sent = state.sparkSession.sparkContext.broadcast(_bitmap(frequent, bits))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = sent.value
+        for batch in batches:
+            for seq, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = ids.values.to_numpy()
+                left, right, _, pairs = adjacent(restored(seq), len(ids))
+                place = _places(hashes(ids[left], ids[right]), bits)
+                codes = np.flatnonzero(met[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                first, second, n, _ = adjacent(only(pairs, len(left), codes), len(codes))
+                left, right = ids[left[codes]], ids[right[codes]]
+                arrays = [left[first], right[first], right[second], n]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["a", "b", "c", "n"])
+
+    return state.select("seq", "ids").mapInArrow(count, "a bigint, b bigint, c bigint, n bigint")
+
+
 def _written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: compressed, and read by column."""
     spark = df.sparkSession
@@ -201,21 +255,29 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang_col:
         units = blocks.select("block", "lang", F.posexplode("words").alias("code", "text")).join(named.select("lang", "text", "id"), ["lang", "text"])
         parts = blocks.select("block", "seq", F.size("words").alias("units")).join(_by_block(units), "block")
         state = _written(_over_frequent(parts, 1))
+        frequent = None
         for level in range(2, max_words + 1):
-            pairs = _pairs(state)
-            sums = pairs.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-            frequent = _written(sums.withColumn("id", F.monotonically_increasing_id()))
+            if level == 2:
+                sums = _pairs(state).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+            else:
+                if level > 3:
+                    state = _written(_over_frequent(_named_pairs(state, shorter), level - 2))
+                sums = _triples(state, frequent).groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+                ids = frequent.select("left", "right", "id")
+                sums = sums.join(ids.toDF("a", "b", "left"), ["a", "b"]).join(ids.toDF("b", "c", "right"), ["b", "c"]).select("left", "right", "f")
+            shorter, frequent = frequent, _written(sums.withColumn("id", F.monotonically_increasing_id()))
             levels.append(_written(_described(frequent, levels[-1])))
-            if level < max_words:
-                key = F.xxhash64("left", "right")
-                bits = bits_for(frequent.count())
-                hopeful = with_bitmap_flag(pairs.drop("n"), key, bitmap_of(frequent, key, bits), "met", bits).where("met").drop("met")
-                found = hopeful.join(frequent.select("left", "right", "id"), ["left", "right"])
-                parts = state.select("block", "seq", F.size("ids").alias("units")).join(_by_block(found), "block")
-                state = _written(_over_frequent(parts, level))
     return total, named.select("id", "text"), levels
 
 
+def _named_pairs(state: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Blocks with codes and ids of their frequent pairs."""
+    key, bits = F.xxhash64("left", "right"), bits_for(frequent.count())
+    hopeful = with_bitmap_flag(_pairs(state).drop("n"), key, bitmap_of(frequent, key, bits), "met", bits).where("met").drop("met")
+    found = hopeful.join(frequent.select("left", "right", "id"), ["left", "right"])
+    return state.select("block", "seq", F.size("ids").alias("units")).join(_by_block(found), "block")
+
+
 def _described(frequent: DataFrame, shorter: DataFrame) -> DataFrame:
     left = shorter.select(F.col("id").alias("left"), "lang", F.col("words").alias("head"), "starts")
     right = shorter.select(F.col("id").alias("right"), F.col("words").alias("rest"), "ends")
