@@ -59,3 +59,12 @@ def test_columns_named_like_those_that_stages_add(spark, odd):
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert all(set(r[5:]) == {"own"} for r in docs.collect())
+
+
+def test_near_copies_without_an_id(spark):
+    """Rows without an id are judged one by one, and go before those that have one."""
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, a, "s"), (None, a + " more", "s"), (None, b, "s"), (None, b + " more", "t"), (-3, b + " again", "t"), (7, "x y z", "s"), (7, "x y z", "t"), (None, None, "s"), (2**62, a + " too", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in P.near_copy_stage(spark, docs, SF).collect())
+    assert got == sorted([(5, a), (-3, b + " again"), (7, "x y z"), (0, "")])
