@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verigrain.llm.columns import free_name
@@ -35,7 +35,10 @@ def beside(docs: DataFrame, added: tuple[str, ...], work: Callable[[DataFrame],
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined: ``und`` goes, and so does an ambiguous answer of a low score."""
+    """Documents whose language is determined: ``und`` goes, and so does an ambiguous answer of a low score.
+
+    Null, empty and letterless texts go; null ids, ties and repeated rows are judged by their texts alone.
+    """
     model = train_language_model(docs, crc_fold("doc_id", 4) != 2)
 
     def accepted(rows: DataFrame) -> DataFrame:
@@ -55,19 +58,40 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return beside(docs, ("n_lines", "n_dropped"), cleaned)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number for each id and text, in the order of ids; a row without an id comes behind all others."""
+    half = F.lit(str(2**63)).cast("decimal(19,0)")
+    tail = F.shiftrightunsigned(F.xxhash64(text), 1).cast("decimal(19,0)")
+    return (F.coalesce(doc_id.cast("decimal(19,0)"), half).cast("decimal(19,0)") * half + tail).cast("decimal(38,0)")
+
+
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link, the one with the smallest id; repeated rows once."""
-    kept = ngram_jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group that five-word shingles link, the one with the smallest id; repeated rows once.
+
+    Rows without an id take part one by one, and go before any other does. Texts without words are linked with nothing;
+    null text is such a text. An empty table gives an empty result.
+    """
+    key, own = free_name(docs, "key"), F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), own))
+    found = ngram_jaccard_join(keyed.select(key, "text"), id_col=key)
+    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keyed.join(kept, key, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources reach their target weights, in shuffled order."""
+    """Documents repeated or left out so that sources reach their target weights, in shuffled order.
+
+    A row without an id draws by its text, a null source belongs to the group of sources not named, and null and empty
+    texts weigh nothing. An empty table stays empty.
+    """
     return beside(docs, ("copy", "n_copies", "shuffle_key"), lambda rows: mix_sources(rows, MIX_WEIGHTS, MIX_SEED))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences.
+
+    Null and empty texts are one end token, long ones several pieces; null ids and repeated rows are packed as they are.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
