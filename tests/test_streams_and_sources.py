@@ -148,3 +148,51 @@ def test_sinks(spark, tmp_path):
 @pytest.mark.parametrize("table", ["element_use", "graph_use", "resolution_records", "emails", "streets"])
 def test_adapters_need_no_action(spark, table):
     assert getattr(Tables(spark, "/root/testdata/sf0.001"), table)().schema
+
+
+def test_exact_windows_of_a_table(spark):
+    """Windows count each identity once, however often and however near the border it came."""
+    import datetime as dt
+
+    from verigrain.streaming import applications as A
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [("device", "d", k % 3, start + dt.timedelta(hours=5 * k)) for k in range(12)] + [("device", "d", None, start), ("device", "e", 1, start)]
+    uses = spark.createDataFrame(rows, "element_type string, element_key string, identity_key long, ts timestamp")
+    got = {(r["window_start"], r["element_key"]): r["identities"] for r in A.exact_windows(uses, "2 days", "1 day").collect()}
+    want = {}
+    for day in range(-1, 3):
+        begin = start + dt.timedelta(days=day)
+        for key in "de":
+            seen = {i for _, e, i, t in rows if e == key and i is not None and begin <= t < begin + dt.timedelta(days=2)}
+            if seen:
+                want[begin, key] = len(seen)
+    assert got == want
+
+
+def test_observed_metrics_gauges_and_latency(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from verigrain.sources import sinks as S
+    from verigrain.streaming import applications as A
+
+    scored = spark.range(100).select((F.col("id") % 10 / 10.0).alias("score"), F.when(F.col("id") % 4 == 0, "high").otherwise("low").alias("risk_level"))
+    counted, seen = S.observed(scored, "scores", scored=F.count(F.lit(1)), high=F.count_if(F.col("risk_level") == "high"), top=F.max("score"))
+    counted.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"scored": 100, "high": 25, "top": 0.9}
+    assert {(r["name"], r["label"], r["value"]) for r in S.gauge_rows("active_cases", scored, "risk_level").collect()} == {("active_cases", "high", 25.0), ("active_cases", "low", 75.0)}
+    latency = S.BatchLatency()
+    spark.streams.addListener(latency)
+    try:
+        for k in range(3):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            (tmp_path / "in" / f"{k}.txt").write_text("a\nb\n")
+        A.run_once(A.file_lines(spark, str(tmp_path / "in"), 1), str(tmp_path / "state"), lambda b, e: b.count())
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(latency)
+    batches = [b for b in latency.batches if b[2]]
+    assert sum(b[2] for b in batches) == 6 and len({b[1] for b in batches}) == len(batches) == 3
+    found = {r["label"]: r["value"] for r in latency.rows(spark).collect()}
+    values = [found[str(le)] for le in S.LATENCY_BUCKETS] + [found["+Inf"]]
+    assert values == sorted(values) and values[-1] == len(latency.batches)

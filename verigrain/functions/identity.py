@@ -76,6 +76,19 @@ def randomised_era(issued: Column) -> Column:
     return issued >= F.lit(RANDOMISED).cast("date")
 
 
+def high_group_valid(group: Column, highest: Column, issued: Column) -> Column:
+    """Whether a group had been issued by the area's highest one; null where the list cannot tell: without a date, after
+    the change, or for an area that it lacks."""
+    return F.when(~randomised_era(issued) & highest.isNotNull(), group <= highest)
+
+
+def randomisation_note(group: Column, area: Column, highest: Column, issued: Column) -> Column:
+    """What the comparison found, in words."""
+    valid = high_group_valid(group, highest, issued)
+    checked = F.concat(F.lit("group "), group.cast("string"), F.when(valid, " within ").otherwise(" above "), F.lit("highest group "), highest.cast("string"), F.lit(" of area "), area.cast("string"))
+    return F.when(valid.isNotNull(), checked).when(randomised_era(issued), "issued after randomisation").otherwise("not on the list or not dated")
+
+
 def randomisation_risk(dob: Column, valid_for_era: Column | None = None) -> Column:
     """0.3 for births before the change; 0.8 where a dated group is known to be impossible."""
     old = F.when(dob < F.lit(RANDOMISED).cast("date"), 0.3).otherwise(0.0)

@@ -89,3 +89,11 @@ def consortium_reports(scored: DataFrame, provider: str) -> DataFrame:
     """Rows to share: fabricated identities by score, and bust-outs with full confidence."""
     kind = F.when(F.col("is_bust_out"), "bust_out").otherwise("synthetic_identity")
     return scored.select(F.sha2(F.col("identity_key").cast("string"), 256).alias("identity_hash"), kind.alias("alert_type"), F.when(F.col("is_bust_out"), 1.0).otherwise(F.col("score")).alias("confidence"), F.lit(provider).alias("reported_by"))
+
+
+def dossiers(scored: DataFrame, graph: DataFrame, log: DataFrame) -> DataFrame:
+    """``scored`` identities beside their part of the graph (``graph.graph_reports``) and of a case log (identity_key,
+    log_entries). One without a link has a neighbourhood of itself, and no edge; one without a case no entries."""
+    found = scored.join(graph.withColumnRenamed("identity_id", "identity_key"), "identity_key", "left").join(log, "identity_key", "left")
+    numbers = [c for c in found.columns if c not in scored.columns]
+    return found.withColumns({c: F.coalesce(F.col(c), F.lit(int(c == "nodes")).cast("long")) for c in numbers})

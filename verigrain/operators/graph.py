@@ -312,6 +312,19 @@ def feature_table(uses: DataFrame, scores: DataFrame, identities: DataFrame, ran
     return out.withColumn("feature_vector", F.array(*[F.col(c).cast("double") for c in names]))
 
 
+def graph_reports(uses: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """Per identity with a link: degree, neighbours that share each type, and the identities (nodes, itself included) and
+    edges within ``depth`` steps."""
+    edges = durable(edges)
+    linked = degrees(edges).drop("weighted_degree")
+    reached = durable(neighbourhood(uses, linked.select("identity_id"), depth).select("start", "identity_id"))
+    nodes = reached.groupBy("start").agg(F.count(F.lit(1)).alias("nodes"))
+    near = reached.join(edges.select(F.col("src").alias("identity_id"), F.col("dst").alias("other")), "identity_id")
+    inside = near.join(reached.select("start", F.col("identity_id").alias("other")), ["start", "other"]).groupBy("start").agg(F.count(F.lit(1)).alias("edges"))
+    sizes = nodes.join(inside, "start", "left").withColumnRenamed("start", "identity_id")
+    return linked.join(sizes, "identity_id")
+
+
 def message_passing(edges: DataFrame, features: DataFrame, width: int, layers: int = 2) -> DataFrame:
     """Mean aggregation over neighbours with a residual and a ReLU, ``layers`` times, on a column vec of ``width``."""
     ways = durable(both_ways(edges.select("src", "dst")))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from verigrain.functions.basics import joined
 from verigrain.operators import cases as K
+from verigrain.operators import graph as G
 from verigrain.operators import scoring as X
+from verigrain.plans.durable import durable
+from verigrain.plans.graph_queries import _edges_sql
 from verigrain.plans.registry import Registry
 from verigrain.plans.scoring_queries import _SLEVEL, _SYNTH, bags
 from verigrain.plans.sql_tables import joined_sql
@@ -117,4 +120,19 @@ def consortium_reports(t: Tables) -> DataFrame:
     return K.consortium_reports(f, "bank")
 
 
+@query(f"""WITH RECURSIVE {_SYNTH.removeprefix('RECURSIVE ')}, {_edges_sql()}, deg AS (SELECT src AS v, count(*) AS degree, {', '.join(f"count(*) FILTER (list_contains(types, '{k}')) AS shared_{k}_count" for k in G.ALL_TYPES)} FROM w2 GROUP BY 1),
+    near AS (SELECT src AS start, src AS v FROM w2 UNION SELECT src, dst FROM w2 UNION SELECT a.src, b.dst FROM w2 a JOIN w2 b ON a.dst = b.src),
+    nodes AS (SELECT start, count(*) AS nodes FROM near GROUP BY 1), inside AS (SELECT a.start, count(*) AS edges FROM near a JOIN e ON e.src = a.v JOIN near b ON b.start = a.start AND b.v = e.dst GROUP BY 1),
+    cases AS (SELECT user_id AS id, count(*) AS log_entries FROM events GROUP BY 1)
+    SELECT identity_key, round(s, 6) AS synthetic_score, {_SLEVEL} AS risk_level, coalesce(degree, 0) AS degree, {', '.join(f'coalesce(shared_{k}_count, 0) AS shared_{k}_count' for k in G.ALL_TYPES)},
+      coalesce(nodes, 1) AS nodes, coalesce(edges, 0) AS edges, coalesce(log_entries, 0) AS log_entries
+    FROM syn LEFT JOIN deg ON deg.v = identity_key LEFT JOIN nodes ON nodes.start = identity_key LEFT JOIN inside ON inside.start = identity_key LEFT JOIN cases ON cases.id = identity_key""")
+def identity_dossier(t: Tables) -> DataFrame:
+    """Every identity with its score, its place in the graph, the size of its neighbourhood, and its cases' entries."""
+    scored = X.synthetic(bags(t)).select("identity_key", F.round("synthetic_score", 6).alias("synthetic_score"), F.col("synthetic_level").alias("risk_level"))
+    log = t.read("events").groupBy(F.col("user_id").alias("identity_key")).agg(F.count(F.lit(1)).alias("log_entries"))
+    uses = durable(t.graph_use())
+    return K.dossiers(scored, G.graph_reports(uses, G.identity_edges(uses)), log)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -48,6 +48,29 @@ def ssn_randomization(t: Tables) -> DataFrame:
     return p.select("identity_key", "dob", I.randomisation_risk(F.col("dob")).alias("risk"), I.randomised_era(F.add_months("dob", 24)).alias("randomised_era"))
 
 
+_HIGHEST = "hg AS (SELECT DISTINCT split_part(ssn, '-', 1)::INT AS area, (split_part(ssn, '-', 1)::INT * 7) % 99 + 1 AS highest FROM people WHERE split_part(ssn, '-', 1)::INT % 3 <> 0)"
+_ISSUED = "CASE WHEN identity_key % 5 <> 0 THEN (dob + INTERVAL 2 YEAR)::DATE END"
+
+
+@query(f"""WITH {IDENTITIES}, {_HIGHEST}, p AS (SELECT identity_key, split_part(ssn, '-', 1)::INT AS area, split_part(ssn, '-', 2)::INT AS grp, dob, {_ISSUED} AS issued FROM people),
+    v AS (SELECT p.*, highest, CASE WHEN issued < DATE '2011-06-25' AND highest IS NOT NULL THEN grp <= highest END AS valid FROM p LEFT JOIN hg USING (area))
+    SELECT identity_key, issued >= DATE '2011-06-25' AS randomised_era, valid AS high_group_valid,
+      CASE WHEN NOT valid THEN 0.8 WHEN dob < DATE '2011-06-25' THEN 0.3 ELSE 0.0 END::DOUBLE AS risk,
+      CASE WHEN valid IS NOT NULL THEN 'group ' || grp || CASE WHEN valid THEN ' within ' ELSE ' above ' END || 'highest group ' || highest || ' of area ' || area
+        WHEN issued >= DATE '2011-06-25' THEN 'issued after randomisation' ELSE 'not on the list or not dated' END AS note FROM v""")
+def high_group(t: Tables) -> DataFrame:
+    """Groups of numbers against the highest group of their area; the list has two areas in three, four dates in five."""
+    p = t.identities().withColumns({"area": F.split_part("ssn", F.lit("-"), F.lit(1)).cast("int"), "grp": F.split_part("ssn", F.lit("-"), F.lit(2)).cast("int")})
+    issued = p.withColumn("issued", F.when(F.col("identity_key") % 5 != 0, F.add_months("dob", 24)))
+    known = p.where("area % 3 <> 0").select("area", (F.col("area") * 7 % 99 + 1).alias("highest")).distinct()
+    found = issued.join(known, "area", "left")
+    valid = I.high_group_valid(F.col("grp"), F.col("highest"), F.col("issued"))
+    return found.select(
+        "identity_key", I.randomised_era(F.col("issued")).alias("randomised_era"), valid.alias("high_group_valid"), I.randomisation_risk(F.col("dob"), valid).alias("risk"),
+        I.randomisation_note(F.col("grp"), F.col("area"), F.col("highest"), F.col("issued")).alias("note"),
+    )
+
+
 # --- hashes -------------------------------------------------------------------------------------------------------------
 
 _SSN9 = "replace(ssn, '-', '')"

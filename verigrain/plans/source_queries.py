@@ -122,4 +122,23 @@ def stream_velocity(t: Tables) -> DataFrame:
     return done.groupBy("element").agg(F.max_by(F.struct("identities_30d", "identities_90d", "identities_180d"), "last_seen").alias("s"), F.max("last_seen").alias("last_seen")).select("element", "s.*", "last_seen")
 
 
+@query(f"""WITH {DEVICE_USE}, w AS (SELECT device, identity_key, date_trunc('day', ts) - to_days(k::INT) AS start FROM du, range(7) r(k)),
+    last AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM du)
+    SELECT start AS window_start, device::VARCHAR AS element_key, count(DISTINCT identity_key) AS identities FROM w, last
+    WHERE start + INTERVAL 7 DAY <= mark AND device IS NOT NULL GROUP BY 1, 2""")
+def stream_windows(t: Tables) -> DataFrame:
+    """Exact distinct identities of each device in weeks that slide by days, from a stream: the weeks that are closed."""
+    from verigrain.streaming import applications as A
+
+    spark = t.spark
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(t.read("events").schema).parquet(f"{t.dir}/events.parquet*")
+    uses = events.select(F.lit("device").alias("element_type"), F.get_json_object("props", "$.k").alias("element_key"), F.col("user_id").alias("identity_key"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = A.exact_windows(uses.where("element_key IS NOT NULL"), "7 days", "1 day")
+    A.run_once(counts, f"{folder}/state", lambda b, e: b.write.mode("overwrite").parquet(f"{folder}/out/batch={e}"))
+    done = spark.read.parquet(f"{folder}/out")
+    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "element_key", "identities")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from verigrain.operators.monitoring import histogram
 
@@ -26,6 +27,47 @@ def metric_rows(scored: DataFrame) -> DataFrame:
     return levels.union(buckets)
 
 
+def gauge_rows(name: str, rows: DataFrame, label: str) -> DataFrame:
+    """A gauge: how many of ``rows`` have each value of ``label`` now."""
+    return rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("name"), "label", "value")
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` that counts ``metrics`` while it is written for another purpose, and where they can be read afterwards."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
+
+
+#: Seconds up to which the buckets of the latency histogram count.
+LATENCY_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+
+
+class BatchLatency(StreamingQueryListener):
+    """Rows and seconds of every micro-batch of the session's streams, and their cumulative histogram as metric rows."""
+
+    def __init__(self) -> None:
+        self.batches: list[tuple[str, int, int, float]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((p.name or str(p.id), p.batchId, p.numInputRows, p.batchDuration / 1000))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """name, label (seconds, or +Inf), value; one row for each bucket."""
+        seconds = [s for *_, s in self.batches]
+        found = [("scoring_latency_seconds", str(le), float(sum(s <= le for s in seconds))) for le in LATENCY_BUCKETS]
+        return spark.createDataFrame([*found, ("scoring_latency_seconds", "+Inf", float(len(seconds)))], "name string, label string, value double")
+
+
 def alert_rows(scored: DataFrame) -> DataFrame:
     """One JSON line per identity of the two highest levels."""
     high = scored.where(F.col("risk_level").isin("critical", "high"))
