@@ -181,7 +181,7 @@ def scoring_features(uses: DataFrame, scores: DataFrame) -> DataFrame:
     """What the synthetic score takes from the graph, per identity with a link: identity_key, shared_ssn_count, size and
     density of its component, and the mean of its neighbours' stored scores."""
     edges = durable(identity_edges(uses))
-    labels = durable(connected_components(edges).select(F.col("node").alias("identity_id"), "component"))
+    labels = durable(components(uses.where(F.col("element_type").isin(*ALL_TYPES))))  # from stars: one edge for each use
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
     inside = edges.join(labels.withColumnRenamed("identity_id", "src"), "src").groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     n = F.col("cluster_size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDERS_AS_OF = "2001-08-01 00:00:00"
@@ -61,24 +61,17 @@ class Tables:
     def credit_sequences(self) -> DataFrame:
         """account_id, months_on_books and five arrays in order of month."""
         paid = self.read("lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount"), 4).cast("decimal(18,4)")).alias("paid"))
+        in_time = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         month = F.struct(
             F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 100).alias("balance"),
             (F.coalesce(F.col("paid").cast("double"), F.lit(0.0)) / 100).alias("payment"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") / 100).otherwise(0.0).alias("cash"),
-        )
+            F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") / 100).otherwise(0.0).alias("cash"), "highest",
+        )
         months = (
-            self.read("orders").join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+            self.read("orders").join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("highest", F.max(F.col("o_totalprice") / 100).over(in_time))
             .groupBy(F.col("o_custkey").alias("account_id")).agg(F.sort_array(F.collect_list(month)).alias("m"))
         )
-        balances = F.transform("m", lambda x: x["balance"])
-        # The running maximum in one pass, each step behind the last.
-        start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<double>").alias("all"))
-
-        def higher(acc: Column, x: Column) -> Column:
-            top = F.greatest(acc["top"], x)
-            return F.struct(top.alias("top"), F.concat(acc["all"], F.array(top)).alias("all"))
-
-        highest = F.aggregate(balances, start, higher, lambda acc: acc["all"])
+        balances, highest = F.transform("m", lambda x: x["balance"]), F.transform("m", lambda x: x["highest"])
         return months.select(
             "account_id", F.size("m").cast("long").alias("months_on_books"), balances.alias("balances"), F.transform("m", lambda x: x["payment"]).alias("payments"),
             F.transform(highest, lambda x, i: F.when(i > 0, x - F.get(highest, i - 1)).otherwise(0.0)).alias("limits"),
