@@ -57,60 +57,50 @@ def _before(bins: DataFrame, keys: list[str], counts: list[str], level: int) ->
     return found.join(above, [*keys, "block"]).select(*keys, "bin", *[(F.col(c) + F.col(f"{c}_above")).alias(c) for c in counts])
 
 
-def validity(points: DataFrame, keys: list[str], counts: list[str], level: int) -> DataFrame:
-    """since (exclusive), until (inclusive) and counts of each step, split at bins.
+def validity(points: DataFrame, keys: list[str], folds: int, level: int) -> DataFrame:
+    """since (exclusive), until (inclusive) and counts n0, n1, ... and s0, s1, ... of each step by fold, split at bins.
 
-    ``points`` has one row per key, bin and time, with an array of what is to be added to ``counts`` after that time. A
-    step ends at a point; no moment is asked for that is no point, so none is needed behind the last of a bin.
+    ``points`` has a row for each key, bin, time and fold, with n and s that are to be added after that time. A step ends
+    at a point; no moment is asked for that is no point, so none is needed behind the last of a bin.
     """
+    each = {f"{c}{f}": F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in "ns" for f in range(folds)}
     order = Window.partitionBy(*keys, "bin").orderBy("at")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    each = {c: F.get("counts", k) for k, c in enumerate(counts)}
+    earlier = order.rangeBetween(Window.unboundedPreceding, -1)  # no row of the same time
     steps = points.select(
-        *keys, "bin", F.coalesce(F.lag("at").over(order), F.lit(_FIRST)).alias("since"), F.col("at").alias("until"),
+        *keys, "bin", F.coalesce(F.max("at").over(earlier), F.lit(_FIRST)).alias("since"), F.col("at").alias("until"), F.lag("at").over(order).alias("above"),
         *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(c) for c, x in each.items()],
     )
+    steps = steps.where("above IS NULL OR above <> until").drop("above")  # one step of a time, however many folds it has
     if not level:
         return steps
     # The last time is not needed; it keeps the columns alike, so that the points are shuffled once for all uses.
     bins = points.groupBy(*keys, "bin").agg(F.max("at").alias("last"), *[F.sum(x).alias(c) for c, x in each.items()])
-    before = _before(bins.where("last IS NOT NULL"), keys, counts, level).withColumnsRenamed({c: f"{c}_before" for c in counts})
-    return steps.join(before, [*keys, "bin"]).select(*keys, "bin", "since", "until", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in counts])
+    before = _before(bins.where("last IS NOT NULL"), keys, list(each), level).withColumnsRenamed({c: f"{c}_before" for c in each})
+    return steps.join(before, [*keys, "bin"]).select(*keys, "bin", "since", "until", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in each])
 
 
 def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, clock: Clock, folds: int, gap: int = 0) -> DataFrame:
     """``keys``, at, fold, n and s for each key, time and fold of ``rows``: what other folds had more than ``gap`` before.
 
     ``rows`` has at (bigint), fold (int from 0), n and s (what a row counts) and ``keys``, none of them null. ``level``
-    depends on the key alone and is at most ``most``. There are at most 8 folds.
+    depends on the key alone and is at most ``most``.
     """
-    if folds > 8:
-        raise ValueError("at most 8 folds")
     keys = list(keys)
-    counts = [f"{c}{f}" for c in "ns" for f in range(folds)]
     zero = F.lit(0).cast("bigint")
-    asked = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("fold"))
-    narrow = rows.select(*keys, level.alias("level"), "at", "fold", "n", "s")
+    narrow = rows.select(*keys, level.alias("level"), "at", "fold", "n", "s", F.lit(1).alias("asked"))
     if gap:
-        told = narrow.withColumns({"at": F.col("at") + F.lit(gap), "asked": zero})
-        narrow = told.unionByName(narrow.withColumns({"n": zero, "s": zero, "asked": asked}))
-    else:
-        narrow = narrow.withColumn("asked", asked)
+        told = narrow.withColumns({"at": F.col("at") + F.lit(gap), "asked": F.lit(0)})
+        narrow = told.unionByName(narrow.withColumns({"n": zero, "s": zero}))
     shift = F.greatest(F.lit(clock.bits) - F.col("level"), F.lit(0))
     binned = narrow.withColumn("bin", F.call_function("shiftright", F.col("at") - F.lit(clock.start), shift))
-    known = binned.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "bin", "at")))
-    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(zero)) for c in "ns" for f in range(folds)]
-    summed = known.groupBy(*keys, "bin", "at").agg(F.array(*sums, F.bit_or("asked")).alias("counts"))
+    known = binned.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "bin", "at", "fold")))
+    summed = known.groupBy(*keys, "bin", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("asked").alias("asked"))
     points = summed.repartition(*keys, "bin")
-    steps = validity(points, keys, counts, most)
-    probes = points.select(*keys, "bin", "at", F.get("counts", len(counts)).alias("asked"))
-    met = (probes.where("asked <> 0") if gap else probes).join(steps, [*keys, "bin"]).where("since < at AND at <= until")
+    probes = points.where("asked = 1") if gap else points
+    met = probes.select(*keys, "bin", "at", "fold").join(validity(points, keys, folds, most), [*keys, "bin"]).where("since < at AND at <= until")
     total = {c: sum((F.col(f"{c}{f}") for f in range(1, folds)), F.col(f"{c}0")) for c in "ns"}
-    # The folds of each set of bits, as a table of arrays that all rows share.
-    sets = F.lit([[f for f in range(folds) if bits >> f & 1] for bits in range(1 << folds)])
-    each = met.withColumn("fold", F.explode(F.get(sets, F.col("asked").cast("int"))))
     own = {c: F.coalesce(*[F.when(F.col("fold") == f, F.col(f"{c}{f}")) for f in range(folds)]) for c in "ns"}
-    return each.select(*keys, "at", "fold", *[(total[c] - own[c]).alias(c) for c in "ns"])
+    return met.select(*keys, "at", "fold", *[(total[c] - own[c]).alias(c) for c in "ns"])
 
 
 def rate(n: Column, s: Column, prior: Column) -> Column:
