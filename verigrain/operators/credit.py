@@ -111,6 +111,15 @@ def ssn_dob_signal(identities: DataFrame, areas: DataFrame) -> DataFrame:
     return found.withColumn("mismatch_score", I.issuance_score(F.col("mismatch"), F.col("confidence"))).withColumn("severity", severity).withColumn("score", score)
 
 
+def application_history(events: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Applications of the ``days`` before ``as_of`` by id, each id's newest first; repeated (institution, time) once.
+
+    One sort by ranges, so an id of very many applications is no single task.
+    """
+    recent = events.where((F.col("ts") >= before(as_of, days)) & (F.col("ts") <= as_of))
+    return recent.select("ssn_key", "institution", "ts").distinct().orderBy("ssn_key", F.desc("ts"), "institution")
+
+
 def application_velocity(events: DataFrame, as_of: Column) -> DataFrame:
     """Applications in 7, 30 and 90 days and institutions in 30, per id; repeated (institution, time) count once."""
     once = events.where(F.col("ts") >= before(as_of, 90)).dropDuplicates(["ssn_key", "institution", "ts"])

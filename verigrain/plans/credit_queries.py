@@ -153,4 +153,9 @@ def bust_out(t: Tables) -> DataFrame:
     return f.select("account_id", F.round("bust_out_probability", 6).alias("bust_out_probability"), joined(F.col("warning_signals")).alias("warning_signals"), "days_to_bust_out", F.col("bust_out_level").alias("risk_level"), F.col("bust_out_action").alias("recommended_action"))
 
 
+@query(f"WITH {APPLICATIONS} SELECT DISTINCT ssn_key, institution, ts FROM ae WHERE ts >= {EVENTS_AT} - INTERVAL 90 DAY AND ts <= {EVENTS_AT} ORDER BY ssn_key, ts DESC, institution")
+def application_history(t: Tables) -> DataFrame:
+    return C.application_history(t.application_events(), as_of(EVENTS_AS_OF), 90)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -18,6 +18,7 @@ from verigrain.plans.registry import Registry
 from verigrain.plans.sql_tables import ELEMENT_USE, GRAPH_USE, WITH_CREDIT, clip, joined_sql, names_sql, points
 from verigrain.plans.velocity_queries import _ANALYSIS
 from verigrain.sources.adapters import ORDERS_AS_OF, Tables, as_of
+from verigrain.sources.sinks import observed
 
 R = Registry()
 query = R.query
@@ -133,4 +134,20 @@ def latest_score(t: Tables) -> DataFrame:
     return X.latest_scores(log)
 
 
+LEVELS = ("critical", "high", "medium", "low", "minimal")
+BUCKETS = tuple(k / 10 for k in range(1, 11))
+
+
+@query(f"""WITH {_SYNTH}, v AS (SELECT s, {_SLEVEL} AS level FROM syn)
+    SELECT 'scored' AS name, count(*)::DOUBLE AS value FROM v {' '.join(f"UNION ALL SELECT 'level_{k}', count(*) FILTER (level = '{k}') FROM v" for k in LEVELS)}
+    {' '.join(f"UNION ALL SELECT 'score_le_{le}', count(*) FILTER (round(s, 9) <= {le}) FROM v" for le in BUCKETS)}""")
+def scoring_metrics(t: Tables) -> DataFrame:
+    """What a run that scores all identities counts on its way: no second pass over the scores."""
+    score = F.round("synthetic_score", 9)
+    counts = {"scored": F.count(F.lit(1))} | {f"level_{k}": F.count_if(F.col("synthetic_level") == k) for k in LEVELS} | {f"score_le_{le}": F.count_if(score <= le) for le in BUCKETS}
+    scored, seen = observed(X.synthetic(bags(t)), "scoring", **counts)
+    scored.write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([(k, float(v)) for k, v in seen.get.items()], "name string, value double")
+
+
 QUERIES, ORACLES = R.queries, R.oracles
