@@ -106,12 +106,6 @@ def linked_addresses(uses: DataFrame, as_of: Column, days: int = 180, least: int
     )
 
 
-def hub_identities(uses: DataFrame, element_type: str, max_fanout: int = CONFIG.max_fanout) -> DataFrame:
-    """Identities with more than ``max_fanout`` elements of a type, which pair joins take in blocks."""
-    found = uses.where(F.col("element_type") == element_type).groupBy("identity_key").agg(F.count_distinct("element_key").alias("elements"))
-    return found.where(F.col("elements") > max_fanout)
-
-
 def retention(uses: DataFrame, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:
     """Uses that stay, and per element how many identities no longer have any."""
     cutoff = before(as_of, days)
