@@ -14,7 +14,8 @@ from verigrain.plans.registry import Registry
 from verigrain.plans.sql_tables import DEVICE_USE
 from verigrain.sources import generators as N
 from verigrain.sources import readers
-from verigrain.sources.adapters import Tables
+from verigrain.sources.adapters import Tables, as_of
+from verigrain.sources.store import KeyedStore
 
 R = Registry()
 query = R.query
@@ -141,4 +142,33 @@ def stream_windows(t: Tables) -> DataFrame:
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "element_key", "identities")
 
 
+#: The ends of the batches of ``fingerprint_store``; a device that is not used for ``IDLE_DAYS`` before one is forgotten.
+BATCH_ENDS, IDLE_DAYS = ("2024-01-11 00:00:00", "2024-01-18 00:00:00", "2024-01-31 00:00:00"), 5
+
+
+def _store_sql() -> str:
+    steps, before = [], "SELECT NULL::BIGINT AS device, NULL::TIMESTAMP AS first_seen, NULL::TIMESTAMP AS last_seen, NULL::BIGINT AS identity_key WHERE false"
+    for k, (start, end) in enumerate(zip(("1900-01-01 00:00:00", *BATCH_ENDS), BATCH_ENDS, strict=False)):
+        new = f"SELECT device, ts AS first_seen, ts AS last_seen, identity_key FROM du WHERE ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{end}' AND device IS NOT NULL"
+        steps.append(f"""s{k} AS (SELECT device, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_max(identity_key, (last_seen, identity_key)) AS identity_key
+            FROM ({before} UNION ALL {new}) GROUP BY device HAVING max(last_seen) >= TIMESTAMP '{end}' - INTERVAL {IDLE_DAYS} DAY)""")
+        before = f"SELECT * FROM s{k}"
+    return f"WITH {DEVICE_USE}, {', '.join(steps)} {before}"
+
+
+@query(_store_sql())
+def fingerprint_store(t: Tables) -> DataFrame:
+    """Devices after three batches, each merged twice, as after a failure: first and last use and the last identity."""
+    spark = t.spark
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
+    store = KeyedStore(spark, folder, "device", ("identity_key",), 16)
+    uses = t.device_use()
+    for start, end in zip(("1900-01-01 00:00:00", *BATCH_ENDS), BATCH_ENDS, strict=False):
+        batch = uses.where((F.col("ts") >= as_of(start)) & (F.col("ts") < as_of(end)))
+        for _ in range(2):
+            store.merge(batch, "ts", as_of(end), IDLE_DAYS)
+    return store.rows()
+
+
 QUERIES, ORACLES = R.queries, R.oracles
