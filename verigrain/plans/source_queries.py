@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verigrain.operators import attention as A
 from verigrain.operators import credit as C
+from verigrain.operators import graph as G
 from verigrain.operators import learning as L
 from verigrain.plans.durable import durable, ensure_checkpoint_dir
 from verigrain.plans.registry import Registry
@@ -80,20 +82,46 @@ def training_join(t: Tables) -> DataFrame:
     return t.read("customer").select(F.col("c_custkey").alias("identity_key")).join(extra, "identity_key", "left").fillna(0).withColumn("mean_price", F.round("mean_price", 6))
 
 
+def labelled_identities(t: Tables) -> DataFrame:
+    """Every customer with what links and earlier tradelines say, and whether the newest tradeline has the highest balance
+    so far (null with less than two tradelines)."""
+    latest = F.max_by(F.struct("balance", "is_au", "opened"), F.struct("opened", "tradeline_id"))
+    held = t.tradelines().groupBy(F.col("holder").alias("identity_id")).agg(
+        latest.alias("newest"), F.max("balance").alias("highest"), F.count(F.lit(1)).alias("held"), F.count_if("is_au").alias("au"), F.min("opened").alias("oldest")
+    )
+    earlier = held.select(
+        "identity_id", F.when(F.col("held") > 1, F.col("newest.balance") >= F.col("highest")).alias("is_bust_out"), (F.col("held") - 1).alias("num_tradelines"),
+        (F.col("au") - F.col("newest.is_au").cast("int")).alias("au_accounts"), F.months_between("newest.opened", "oldest").alias("file_age_months"),
+    )
+    uses = t.graph_use()
+    labels = G.components(uses)
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
+    linked = G.degrees(G.identity_edges(uses)).select("identity_id", "degree", *[f"shared_{k}_count" for k in G.ALL_TYPES])
+    out = t.read("customer").select(F.col("c_custkey").alias("identity_id"))
+    for part in (earlier, linked, labels.join(sizes, "component").drop("component")):
+        out = out.join(part, "identity_id", "left")
+    return durable(out.withColumn("au_ratio", F.coalesce(F.try_divide("au_accounts", "num_tradelines"), F.lit(0.0))))
+
+
 @query()
 def gbt_train(t: Tables) -> DataFrame:
-    table = N.identities(t.spark, 2000)
-    train, test = L.split(table, "identity_id", "is_synthetic")
-    model = L.fit_scorer(train)
-    return L.probabilities(model, test, L.SCORER_FEATURES, "is_synthetic").select("identity_id", "is_synthetic", "score")
+    """Test identities scored by trees that learn from the others whether the newest tradeline reaches a new highest balance."""
+    train, test = L.split(labelled_identities(t).where("is_bust_out IS NOT NULL"), "identity_id", "is_bust_out")
+    model = L.fit_scorer(train, "is_bust_out")
+    return L.probabilities(model, test, L.SCORER_FEATURES, "is_bust_out").select("identity_id", "is_bust_out", "score")
 
 
 def _sequences(t: Tables) -> DataFrame:
-    return durable(C.sequence_features(N.credit_sequences(t.spark)))
+    """Features of all months of an account but the last, and whether that last month's balance was the highest so far."""
+    arrays = ("balances", "payments", "limits", "utilization", "cash")
+    known = t.credit_sequences().where("months_on_books > 1").withColumn("is_bust_out", F.element_at("utilization", -1) >= 1.0)
+    before = known.withColumns({c: F.slice(c, 1, F.size(c) - 1) for c in arrays} | {"months_on_books": F.col("months_on_books") - 1})
+    return durable(C.sequence_features(before))
 
 
 @query()
 def rf_train(t: Tables) -> DataFrame:
+    """Test accounts scored by a forest that learns from the others whether the next month reaches a new highest balance."""
     train, test = L.split(_sequences(t), "account_id", "is_bust_out")
     model = L.fit_bust_out(train)
     return L.probabilities(model, test, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "is_bust_out", "score")
@@ -101,10 +129,33 @@ def rf_train(t: Tables) -> DataFrame:
 
 @query()
 def model_inference(t: Tables) -> DataFrame:
-    """The forest trained on made accounts, applied to the accounts of the driver's tables."""
-    model = L.fit_bust_out(_sequences(t))
+    """The forest of ``rf_train``, saved and loaded, applied to all months of every account."""
+    ensure_checkpoint_dir(t.spark)
+    path = f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/forest-{uuid.uuid4().hex}"
+    L.save_model(L.fit_bust_out(_sequences(t)), path)
     real = C.sequence_features(t.credit_sequences()).withColumn("is_bust_out", F.lit(False))
-    return L.probabilities(model, real, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "score")
+    return L.probabilities(L.load_model(path), real, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "score")
+
+
+#: Width, layers and steps of the attention network; a step is some thirty jobs, so there are few.
+ATTENTION = {"hidden": 16, "layers": 2, "epochs": 4, "rate": 0.02}
+ATTENTION_FEATURES = ("degree", *[f"shared_{k}_count" for k in G.ALL_TYPES], "cluster_size", "au_ratio", "file_age_months", "num_tradelines", "au_accounts")
+
+
+@query()
+def attention_scores(t: Tables) -> DataFrame:
+    """Every identity's score of an attention network over the links, trained on identities outside ``held_out``."""
+    rows = labelled_identities(t)
+    known = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ATTENTION_FEATURES}
+    scale = rows.agg(*[F.avg(v).alias(f"m_{c}") for c, v in known.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in known.items()]).first()
+    features = F.array(*[(v - (scale[f"m_{c}"] or 0.0)) / (scale[f"s_{c}"] or 1.0) for c, v in known.items()])
+    held_out = F.pmod(F.crc32(F.col("identity_id").cast("string")), F.lit(5)) == 0
+    vertices = durable(rows.select("identity_id", features.alias("features"), held_out.alias("held_out"), F.col("is_bust_out").cast("int").alias("known")))
+    shown = vertices.withColumn("label", F.when(~F.col("held_out"), F.col("known")))
+    edges = durable(G.identity_edges(t.graph_use()).select("src", "dst", "weight"))
+    start = A.initial_network(len(ATTENTION_FEATURES), ATTENTION["hidden"], ATTENTION["layers"])
+    done = A.train(start, shown, edges, ATTENTION["epochs"], ATTENTION["rate"])
+    return A.scored(done.network, vertices, edges).join(vertices.select("identity_id", "held_out", F.col("known").alias("is_bust_out")), "identity_id")
 
 
 @query(f"""WITH {DEVICE_USE}, l AS (SELECT device, identity_key, max(ts) AS t FROM du GROUP BY 1, 2), n AS (SELECT device, max(t) AS newest FROM l GROUP BY 1)
