@@ -137,7 +137,7 @@ def model_inference(t: Tables) -> DataFrame:
     return L.probabilities(L.load_model(path), real, L.SEQUENCE_FEATURES, "is_bust_out").select("account_id", "score")
 
 
-#: Width, layers and steps of the attention network; a step is some thirty jobs, so there are few.
+#: Width, layers and steps of the attention network; a step is 76 jobs on a small graph, so there are few.
 ATTENTION = {"hidden": 16, "layers": 2, "epochs": 4, "rate": 0.02}
 ATTENTION_FEATURES = ("degree", *[f"shared_{k}_count" for k in G.ALL_TYPES], "cluster_size", "au_ratio", "file_age_months", "num_tradelines", "au_accounts")
 
