@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verigrain.operators import credit as C
 from verigrain.operators import learning as L
 from verigrain.operators import velocity as V
+from verigrain.plans import durable as D
 from verigrain.sources import generators as N
 from verigrain.sources import readers, sinks
 from verigrain.sources.adapters import Tables
@@ -102,6 +103,24 @@ def test_keyed_state_equals_the_batch(spark, tmp_path):
         assert [got[f"identities_{d}d"] for d in (30, 90, 180)] == [own[f"unique_identities_{d}d"] for d in (30, 90, 180)]
 
 
+def test_keyed_state_is_touched_only_where_a_batch_says(spark, tmp_path):
+    """One more use of an element that 3000 identities share rewrites a few entries; after 180 idle days nothing is left."""
+    start = dt.datetime(2023, 1, 1)
+    batches = [[(k, start + dt.timedelta(minutes=k)) for k in range(3000)], [(5, start + dt.timedelta(days=40))], [(6, start + dt.timedelta(days=400))], [(7, start + dt.timedelta(days=395))]]
+    for rows in batches:
+        uses = spark.createDataFrame([("phone", "1", *r) for r in rows], "element_type string, element_key string, identity_key long, ts timestamp")
+        uses.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(uses.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen, done = [], []
+    with D.settings(spark, spark__sql__streaming__stateStore__providerClass=A.STORE):
+        q = A.trailing_velocity(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        q = q.foreachBatch(lambda b, e: seen.extend((e, *r) for r in b.collect())).start()
+        q.awaitTermination()
+        done = [p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.stateOperators]
+    assert [r[2:5] for r in sorted(seen)] == [(3000, 3000, 3000), (1, 3000, 3000), (1, 1, 1), (2, 2, 2)]
+    assert done[0] > 3000 and done[1] < 20
+
+
 def test_windowed_counts(spark):
     uses = spark.createDataFrame([("phone", "1", 5, dt.datetime(2024, 1, 2)), ("phone", "1", 6, dt.datetime(2024, 1, 2))], "element_type string, element_key string, identity_key long, ts timestamp")
     rows = A.windowed_counts(uses, "2 days", "1 day").collect()
