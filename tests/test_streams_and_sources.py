@@ -136,20 +136,20 @@ def test_area_map_and_domain_list(spark, tmp_path):
 
 
 def test_generators(spark):
-    people = N.identities(spark, 2000)
-    assert sorted(map(tuple, people.collect())) == sorted(map(tuple, N.identities(spark, 2000).collect()))
+    people = N.identities(spark.range(2000))
+    assert sorted(map(tuple, people.collect())) == sorted(map(tuple, N.identities(spark.range(2000)).collect()))
     assert 140 < people.where("is_synthetic").count() < 260
     files = N.credit_files(people)
     assert files.where("total_balance > total_credit_limit OR authorized_user_accounts > num_tradelines").count() == 0
     lines = N.tradelines(files)
     assert lines.count() == files.agg(F.sum("num_tradelines")).first()[0]
     assert lines.where("is_authorized_user").count() == files.agg(F.sum("authorized_user_accounts")).first()[0]
-    sizes = [r["count"] for r in N.fraud_rings(spark, 30).groupBy("ring").count().collect()]
+    sizes = [r["count"] for r in N.fraud_rings(spark.range(30)).groupBy("ring").count().collect()]
     assert len(sizes) == 30 and min(sizes) >= 3 and max(sizes) <= 8
 
 
 def test_models(spark):
-    sequences = C.sequence_features(N.credit_sequences(spark, 150, 50))
+    sequences = C.sequence_features(N.credit_sequences(spark.range(200)))
     train, test = L.split(sequences, "account_id", "is_bust_out")
     model = L.fit_bust_out(train, trees=10, depth=5)
     assert L.auc(L.probabilities(model, test, L.SEQUENCE_FEATURES, "is_bust_out")) > 0.9

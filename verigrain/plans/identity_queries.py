@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigrain.functions import address as A
 from verigrain.functions import identity as I
 from verigrain.functions.basics import elapsed_days
+from verigrain.plans.durable import ensure_checkpoint_dir
 from verigrain.plans.registry import Registry
 from verigrain.plans.sql_tables import IDENTITIES, ORDERS_AT, clip, points
 from verigrain.sources.adapters import ORDERS_AS_OF, Tables, as_of
+from verigrain.sources.readers import read_area_map
 
 R = Registry()
 query = R.query
@@ -241,14 +245,21 @@ def pii_extract_text(t: Tables) -> DataFrame:
     return texts.where(some).select("origin", "id", *[F.size(c).alias(k) for k, c in found.items()], hashes.alias("email_hashes"))
 
 
-@query("SELECT a AS area_number, CASE WHEN a % 7 <> 0 THEN 1936 + a % 60 END::INT AS year_start, CASE WHEN a % 7 <> 0 THEN 1961 + a % 60 END::INT AS year_end, 'S' || (a % 50) AS state FROM range(1, 900) r(a)")
+@query("""SELECT 1 + o_custkey % 899 AS area_number, CASE WHEN min(o_custkey) % 7 <> 0 THEN year(min(o_orderdate)) END::INT AS year_start, CASE WHEN min(o_custkey) % 7 <> 0 THEN year(max(o_orderdate)) END::INT AS year_end,
+    'S' || min(c_nationkey) AS state FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
 def area_map_load(t: Tables) -> DataFrame:
-    from verigrain.sources.readers import area_rows
-
-    year = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    a = F.col("area").cast("string")
-    csv = t.area_map().select(F.concat_ws(",", a, year("year_start"), year("year_end"), F.concat(F.lit("S"), (F.col("area") % 50).cast("string"))).alias("value"))
-    return area_rows(csv)
+    """The area map read from text files, which hold the years in which an area's customers ordered, and lines that are none."""
+    spark = t.spark
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/areas-{uuid.uuid4().hex}"
+    orders, people = t.read("orders").select("o_custkey", "o_orderdate"), t.read("customer").select("c_custkey", "c_nationkey")
+    first, last = F.year(F.min("o_orderdate")).alias("first"), F.year(F.max("o_orderdate")).alias("last")
+    used = orders.join(people, F.col("c_custkey") == F.col("o_custkey")).groupBy((1 + F.col("o_custkey") % 899).alias("area")).agg(first, last, F.min("c_nationkey").alias("nation"), F.min("o_custkey").alias("customer"))
+    known = F.col("customer") % 7 != 0
+    year = lambda c: F.when(known, F.col(c).cast("string")).otherwise("")
+    lines = used.select(F.concat_ws(",", F.col("area").cast("string"), year("first"), year("last"), F.concat(F.lit("S"), F.col("nation").cast("string"))).alias("value"))
+    lines.union(used.select(F.concat(F.lit("# area "), F.col("area").cast("string")))).write.text(folder)
+    return read_area_map(spark, folder)
 
 
 QUERIES, ORACLES = R.queries, R.oracles

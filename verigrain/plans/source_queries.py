@@ -61,19 +61,46 @@ def alert_dispatch(t: Tables) -> DataFrame:
     return good.groupBy("alert_type").agg(F.count(F.lit(1)).alias("alerts"), F.round(F.avg("confidence_score"), 6).alias("mean_confidence"))
 
 
-@query()
+def _u(seed: int, *parts: str) -> str:
+    """``generators.draw`` in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)}, '{seed}')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _whole(u: str, low: int, high: int) -> str:
+    return f"({low} + floor({u} * {high - low + 1}))::INT"
+
+
+_ID = {k: _u(1, "id::VARCHAR", f"'{k}'") for k in ("kind", "ssn", "name", "dob", "lines", "age", "au")}
+_SSN = f"sha256(concat_ws('-', {_whole(_ID['ssn'], 1, 899)}::VARCHAR, floor({_ID['ssn']} * 7919 * 99)::BIGINT::VARCHAR, floor({_ID['ssn']} * 104729 * 9999)::BIGINT::VARCHAR))"
+_MADE = lambda k, fake, own: f"CASE WHEN {_ID['kind']} < 0.1::DOUBLE THEN {_whole(_ID[k], *fake)} ELSE {_whole(_ID[k], *own)} END"
+_FILE = {k: _u(4, "ssn_hash", f"'{k}'") for k in ("thin", "limit", "lines", "au", "use")}
+_LINE = {k: _u(5, "ssn_hash", "i::VARCHAR", f"'{k}'") for k in ("limit", "use", "late", "kind", "age")}
+
+
+@query(f"""SELECT 'id_' || lpad(id::VARCHAR, 10, '0') AS identity_id, {_SSN} AS ssn_hash, 'First' || {_whole(_ID['name'], 1, 500)} AS first_name, 'Last' || {_whole(_ID['dob'], 1, 2000)} AS last_name,
+    (DATE '1950-01-01' + {_whole(_ID['dob'], 0, 19000)})::DATE AS dob, {', '.join(f"sha256('{k}|' || id || '|1') AS {k}_hash" for k in ('address', 'phone', 'email'))}, {_ID['kind']} < 0.1::DOUBLE AS is_synthetic,
+    {_MADE('lines', (0, 4), (2, 20))} AS num_tradelines, {_MADE('age', (1, 24), (12, 300))} AS file_age_months, {_MADE('au', (1, 6), (0, 1))} AS au_accounts FROM (SELECT c_custkey AS id FROM customer)""")
 def identity_generate(t: Tables) -> DataFrame:
-    return N.identities(t.spark, 1000)
+    """A made identity beside each customer."""
+    return N.identities(t.read("customer").select(F.col("c_custkey").alias("id")))
 
 
-@query()
+@query(f"""WITH m AS (SELECT ring, unnest(range(1, {_whole(_u(2, 'ring::VARCHAR'), 3, 8)} + 1)) AS k FROM (SELECT s_suppkey AS ring FROM supplier))
+    SELECT 'ring_' || ring || '_' || k AS identity_id, ring, {', '.join(f"sha256('{x}' || CASE WHEN {_u(2, 'ring::VARCHAR', 'k::VARCHAR', f"'{x}'")} < {share}::DOUBLE THEN 'ring' || ring ELSE 'own_' || ring || '_' || k END) AS {x}_hash" for x, share in (('address', 0.7), ('phone', 0.5)))}, true AS is_synthetic FROM m""")
 def ring_generate(t: Tables) -> DataFrame:
-    return N.fraud_rings(t.spark)
+    """A made fraud ring around each supplier."""
+    return N.fraud_rings(t.read("supplier").select(F.col("s_suppkey").alias("id")))
 
 
-@query()
+@query(f"""WITH people AS (SELECT DISTINCT {_SSN} AS ssn_hash FROM (SELECT c_custkey AS id FROM customer)),
+    files AS (SELECT ssn_hash, {_FILE['thin']} < 0.15::DOUBLE AS thin, CASE WHEN {_FILE['thin']} < 0.15::DOUBLE THEN {_whole(_FILE['lines'], 0, 2)} ELSE {_whole(_FILE['lines'], 3, 25)} END AS n FROM people),
+    held AS (SELECT ssn_hash, least(n, CASE WHEN thin THEN {_whole(_FILE['au'], 1, 5)} ELSE {_whole(_FILE['au'], 0, 1)} END) AS au, unnest(range(0, n)) AS i FROM files),
+    d AS (SELECT *, 500 + 20000 * {_LINE['limit']} AS credit_limit FROM held)
+    SELECT 'TL-' || substr(ssn_hash, 1, 4) || '-' || lpad(i::VARCHAR, 3, '0') AS tradeline_id, ssn_hash, (['credit_card', 'auto_loan', 'mortgage', 'student_loan', 'personal_loan', 'retail_card'])[1 + {_whole(_LINE['kind'], 0, 5)}] AS account_type,
+      {_whole(_LINE['age'], 1, 240)} AS age_months, credit_limit, credit_limit * {_LINE['use']} AS current_balance, CASE WHEN {_LINE['late']} < 0.05::DOUBLE THEN 'late' ELSE 'current' END AS payment_status, i < au AS is_authorized_user FROM d""")
 def bureau_generate(t: Tables) -> DataFrame:
-    return N.tradelines(N.credit_files(N.identities(t.spark, 1000)))
+    """The lines of a made bureau file of each customer's identity."""
+    return N.tradelines(N.credit_files(N.identities(t.read("customer").select(F.col("c_custkey").alias("id")))))
 
 
 @query("SELECT c_custkey AS identity_key, coalesce(n, 0) AS shared_count, round(coalesce(m, 0), 6) AS mean_price FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS m FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1) ON o_custkey = c_custkey")

@@ -1,14 +1,18 @@
-"""Deterministic made data: every value is derived from a row number and a seed by hashing."""
+"""Deterministic made data beside given rows: every value is derived from a row's id and a seed by hashing.
+
+A table of n ids makes n identities, rings or accounts; equal ids make equal rows, and a null id makes none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def draw(seed: int, *parts: Column | str) -> Column:
-    """A number in [0, 1) of the parts and the seed."""
-    return F.pmod(F.xxhash64(*[F.col(p) if isinstance(p, str) else p for p in parts], F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) of the parts and the seed: 52 bits of a hash that other engines have too."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def whole(u: Column, low: int, high: int) -> Column:
@@ -19,22 +23,24 @@ def ssn_hash(u: Column) -> Column:
     return F.sha2(F.concat_ws("-", whole(u, 1, 899).cast("string"), F.floor(u * 7919 * 99).cast("string"), F.floor(u * 104729 * 9999).cast("string")), 256)
 
 
-def identities(spark: SparkSession, n: int, share_synthetic: float = 0.1, seed: int = 1) -> DataFrame:
-    """n identities, about the given share fabricated: thin, young files with many authorised-user accounts."""
+def identities(rows: DataFrame, share_synthetic: float = 0.1, seed: int = 1) -> DataFrame:
+    """An identity for each id of ``rows``, about the given share fabricated: thin, young files with many
+    authorised-user accounts."""
     fake = draw(seed, "id", F.lit("kind")) < share_synthetic
     u = {k: draw(seed, "id", F.lit(k)) for k in ("ssn", "name", "dob", "lines", "age", "au")}
-    return spark.range(n).select(
+    return rows.where("id IS NOT NULL").select(
         F.concat(F.lit("id_"), F.lpad(F.col("id").cast("string"), 10, "0")).alias("identity_id"), ssn_hash(u["ssn"]).alias("ssn_hash"), F.concat(F.lit("First"), whole(u["name"], 1, 500).cast("string")).alias("first_name"),
         F.concat(F.lit("Last"), whole(u["dob"], 1, 2000).cast("string")).alias("last_name"), F.date_add(F.lit("1950-01-01").cast("date"), whole(u["dob"], 0, 19000)).alias("dob"),
-        *[F.sha2(F.concat(F.lit(k), F.col("id").cast("string"), F.lit(seed)), 256).alias(f"{k}_hash") for k in ("address", "phone", "email")], fake.alias("is_synthetic"),
+        *[F.sha2(F.concat_ws("|", F.lit(k), F.col("id").cast("string"), F.lit(str(seed))), 256).alias(f"{k}_hash") for k in ("address", "phone", "email")], fake.alias("is_synthetic"),
         F.when(fake, whole(u["lines"], 0, 4)).otherwise(whole(u["lines"], 2, 20)).alias("num_tradelines"), F.when(fake, whole(u["age"], 1, 24)).otherwise(whole(u["age"], 12, 300)).alias("file_age_months"),
         F.when(fake, whole(u["au"], 1, 6)).otherwise(whole(u["au"], 0, 1)).alias("au_accounts"),
     )
 
 
-def fraud_rings(spark: SparkSession, rings: int = 10, seed: int = 2) -> DataFrame:
-    """Rings of 3 to 8 fabricated identities; about 70 % share the ring's address and 50 % its phone."""
-    ring = spark.range(rings).select(F.col("id").alias("ring"), whole(draw(seed, "id"), 3, 8).alias("size"))
+def fraud_rings(rows: DataFrame, seed: int = 2) -> DataFrame:
+    """For each id of ``rows`` a ring of 3 to 8 fabricated identities; about 70 % share the ring's address and 50 % its
+    phone."""
+    ring = rows.where("id IS NOT NULL").select(F.col("id").alias("ring"), whole(draw(seed, "id"), 3, 8).alias("size"))
     member = ring.select("ring", F.explode(F.sequence(F.lit(1), "size")).alias("k"))
     own = F.concat_ws("_", F.lit("own"), F.col("ring").cast("string"), F.col("k").cast("string"))
     common = F.concat(F.lit("ring"), F.col("ring").cast("string"))
@@ -42,9 +48,10 @@ def fraud_rings(spark: SparkSession, rings: int = 10, seed: int = 2) -> DataFram
     return member.select(F.concat_ws("_", F.lit("ring"), F.col("ring").cast("string"), F.col("k").cast("string")).alias("identity_id"), "ring", pick("address", 0.7).alias("address_hash"), pick("phone", 0.5).alias("phone_hash"), F.lit(True).alias("is_synthetic"))
 
 
-def credit_sequences(spark: SparkSession, normal: int = 800, bust_out: int = 200, months: int = 12, seed: int = 3) -> DataFrame:
-    """Monthly arrays; accounts that bust out run their balance up and stop paying in the last quarter."""
-    base = spark.range(normal + bust_out).withColumn("is_bust_out", F.col("id") >= normal)
+def credit_sequences(rows: DataFrame, share_bust_out: float = 0.2, months: int = 12, seed: int = 3) -> DataFrame:
+    """Monthly arrays of an account for each id of ``rows``; accounts that bust out, about the given share, run their
+    balance up and stop paying in the last quarter."""
+    base = rows.where("id IS NOT NULL").select("id", (draw(seed, "id", F.lit("kind")) < share_bust_out).alias("is_bust_out"))
     at = F.sequence(F.lit(1), F.lit(months))
     noise = lambda k, tag: draw(seed, "id", k, F.lit(tag))
     rising = lambda k: F.when(F.col("is_bust_out"), 0.3 + 0.65 * k / months).otherwise(0.2 + 0.2 * noise(k, "u"))
