@@ -118,7 +118,14 @@ def pagerank_fixed(t: Tables) -> DataFrame:
     return G.pagerank(G.identity_edges(t.graph_use()), 10).withColumn("rank", F.round("rank", 9))
 
 
-@query()
+_VOTES = ", ".join(
+    f"""l{k} AS MATERIALIZED (SELECT src AS v, label FROM (SELECT w2.src, near.label, count(*) AS n, near.label = any_value(own.label) AS stays FROM w2 JOIN l{k - 1} near ON near.v = w2.dst JOIN l{k - 1} own ON own.v = w2.src GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, stays DESC, label) = 1)"""
+    for k in range(1, 11)
+)
+
+
+@query(f"WITH {_EDGES}, l0 AS (SELECT DISTINCT src AS v, src AS label FROM w2), {_VOTES} SELECT v AS identity_id, label AS component FROM l10")
 def label_propagation(t: Tables) -> DataFrame:
     return G.label_propagation(G.identity_edges(t.graph_use()))
 
@@ -128,15 +135,45 @@ def louvain(t: Tables) -> DataFrame:
     return G.louvain(G.identity_edges(t.graph_use(), G.CLUSTER_TYPES))
 
 
-@query()
+# Shortest paths of all sources level by level, then each vertex's share of those behind it, from the last level back.
+_BETWEEN = """vs AS MATERIALIZED (SELECT DISTINCT src AS v FROM w2), nb AS MATERIALIZED (SELECT src, dst FROM w2),
+    hops(s, v, d) USING KEY (s, v) AS (SELECT v, v, 0 FROM vs UNION SELECT h.s, nb.dst, min(h.d) + 1 FROM hops h JOIN nb ON nb.src = h.v LEFT JOIN recurring.hops x ON x.s = h.s AND x.v = nb.dst WHERE x.v IS NULL GROUP BY 1, 2),
+    far AS MATERIALIZED (SELECT s, v, d FROM hops),
+    ways AS (SELECT s, v, 0 AS d, 1.0::DOUBLE AS n FROM far WHERE d = 0 UNION ALL
+      SELECT w.s, f.v, w.d + 1, sum(w.n) FROM ways w JOIN nb ON nb.src = w.v JOIN far f ON f.s = w.s AND f.v = nb.dst AND f.d = w.d + 1 GROUP BY 1, 2, 3),
+    paths AS MATERIALIZED (SELECT s, v, d, n FROM ways),
+    back AS (SELECT s, v, d, n, 0.0::DOUBLE AS share FROM paths WHERE d = (SELECT max(d) FROM paths) UNION ALL
+      SELECT p.s, p.v, p.d, p.n, coalesce(any_value(g.g), 0) * p.n FROM paths p JOIN (SELECT max(d) - 1 AS d FROM back) at_ ON p.d = at_.d
+        LEFT JOIN (SELECT b.s, nb.dst AS v, sum((1 + b.share) / b.n) AS g FROM back b JOIN nb ON nb.src = b.v GROUP BY 1, 2) g ON g.s = p.s AND g.v = p.v
+      WHERE p.d > 0 GROUP BY p.s, p.v, p.d, p.n),
+    btw AS (SELECT v, coalesce(b, 0) / nullif((n - 1) * (n - 2), 0)::DOUBLE AS b FROM vs LEFT JOIN (SELECT v, sum(share) AS b FROM back WHERE d > 0 GROUP BY 1) USING (v), (SELECT count(*) AS n FROM vs))"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_BETWEEN} SELECT v AS identity_id, round(b, 9) AS betweenness FROM btw")
 def betweenness(t: Tables) -> DataFrame:
-    return G.betweenness(G.identity_edges(t.graph_use()))
+    return G.betweenness(G.identity_edges(t.graph_use())).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query()
+_RANKS_20 = ", ".join(
+    f"r{k} AS MATERIALIZED (SELECT w2.dst AS v, 0.15::DOUBLE / (SELECT count(*) FROM deg) + 0.85::DOUBLE * sum(r.p / deg.d) AS p FROM r{k - 1} r JOIN deg USING (v) JOIN w2 ON w2.src = r.v GROUP BY 1)" for k in range(1, 21)
+)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, {_BETWEEN}, {_CC}, deg AS (SELECT src AS v, count(*) AS d, sum(len(types))::BIGINT AS wd, {', '.join(f"count(*) FILTER (list_contains(types, '{k}')) AS {k}" for k in G.ALL_TYPES)} FROM w2 GROUP BY 1),
+    r0 AS (SELECT v, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS p FROM deg), {_RANKS_20},
+    tri AS (SELECT a.src AS v, count(*) / 2 AS triangles FROM w2 a JOIN w2 b ON a.dst = b.src JOIN w2 c ON b.dst = c.src AND c.dst = a.src GROUP BY 1),
+    sz AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), m AS (SELECT component, count(*) AS edges FROM e JOIN comp ON src = identity_id GROUP BY 1),
+    sc AS (SELECT c_custkey AS v, (c_custkey * 7 % 100) / 100.0::DOUBLE AS score FROM customer),
+    ns AS (SELECT src AS v, avg(coalesce(score, 0)) AS near, max(coalesce(score, 0)) AS highest, count(*) FILTER (score > 0.5) AS risky FROM w2 LEFT JOIN sc ON sc.v = dst GROUP BY 1)
+    SELECT sc.v AS identity_id, coalesce(d, 0) AS degree, coalesce(wd, 0) AS weighted_degree, {', '.join(f"coalesce({k}, 0) AS shared_{k}_count" for k in G.ALL_TYPES)},
+      round(CASE WHEN coalesce(d, 0) < 2 THEN 0 ELSE coalesce(triangles, 0) / (d * (d - 1) / 2.0::DOUBLE) END::DOUBLE, 6) AS clustering, round(coalesce(b, 0), 9) AS betweenness, round(coalesce(p, 0), 9) AS rank,
+      coalesce(size, 1) AS cluster_size, round(coalesce(2.0::DOUBLE * edges / (size * (size - 1)), 0), 6) AS cluster_density, round(coalesce(near, 0), 6) AS neighbor_avg_score, coalesce(highest, 0) AS neighbor_max_score, coalesce(risky, 0) AS high_risk_neighbor_count
+    FROM sc LEFT JOIN deg USING (v) LEFT JOIN tri USING (v) LEFT JOIN btw USING (v) LEFT JOIN r20 USING (v) LEFT JOIN ns USING (v) LEFT JOIN comp ON comp.identity_id = sc.v LEFT JOIN sz USING (component) LEFT JOIN m USING (component)""")
 def graph_features(t: Tables) -> DataFrame:
+    """The fifteen features of every customer; ``feature_table`` has them as a vector too."""
     ids = t.read("customer").select(F.col("c_custkey").alias("identity_id"))
-    return G.feature_table(t.graph_use(), _scores(t), ids)
+    places = {"clustering": 6, "betweenness": 9, "rank": 9, "cluster_density": 6, "neighbor_avg_score": 6}
+    return G.feature_table(t.graph_use(), _scores(t), ids).withColumns({c: F.round(c, k) for c, k in places.items()}).drop("feature_vector")
 
 
 @query(f"""WITH {GRAPH_USE}, n AS (SELECT DISTINCT 'identity:' || identity_id AS id, 'identity' AS kind FROM gu UNION SELECT DISTINCT element_type || ':' || element_key, element_type FROM gu)
@@ -203,11 +240,21 @@ def louvain_clusters(t: Tables) -> DataFrame:
     return f.select("cluster_id", "size", "edges", "centre", "density", "score", "risk_level")
 
 
-@query()
+_LAYERS = ", ".join(
+    f"""m{k} AS MATERIALIZED (SELECT s.v, {', '.join(f"s.{x} + greatest(0.0::DOUBLE, 0.5::DOUBLE * s.{x} + 0.5::DOUBLE * coalesce(near.{x}, 0)) AS {x}" for x in G.ALL_TYPES)} FROM m{k - 1} s
+      LEFT JOIN (SELECT w2.src AS v, {', '.join(f'avg(o.{x}) AS {x}' for x in G.ALL_TYPES)} FROM w2 JOIN m{k - 1} o ON o.v = w2.dst GROUP BY 1) near USING (v))"""
+    for k in (1, 2)
+)
+
+
+@query(f"""WITH {_EDGES}, m0 AS (SELECT src AS v, {', '.join(f"count(*) FILTER (list_contains(types, '{k}'))::DOUBLE AS {k}" for k in G.ALL_TYPES)} FROM w2 GROUP BY 1), {_LAYERS}
+    SELECT v AS identity_id, {', '.join(f'round({k}, 6) AS {k}' for k in G.ALL_TYPES)} FROM m2""")
 def message_passing(t: Tables) -> DataFrame:
+    """How many neighbours share each type, passed on along two edges."""
     edges = G.identity_edges(t.graph_use())
     features = G.degrees(edges).select("identity_id", F.array(*[F.col(f"shared_{k}_count").cast("double") for k in G.ALL_TYPES]).alias("vec"))
-    return G.message_passing(edges, features, len(G.ALL_TYPES))
+    passed = G.message_passing(edges, features, len(G.ALL_TYPES))
+    return passed.select("identity_id", *[F.round(F.get("vec", k), 6).alias(x) for k, x in enumerate(G.ALL_TYPES)])
 
 
 QUERIES, ORACLES = R.queries, R.oracles
