@@ -92,11 +92,20 @@ def histogram(scores: DataFrame, column: str = "score", buckets: tuple[float, ..
 
 
 def breach_exposure(people: DataFrame, breaches: DataFrame, as_of: Column) -> DataFrame:
-    """Per person the number of breaches of their id or e-mail and the mean aged severity, clipped; 0 without any."""
-    by_ssn = people.join(breaches.where("ssn_key IS NOT NULL").select("ssn_key", "record_id", "severity", "found_at"), "ssn_key")
-    by_mail = people.join(breaches.where("email IS NOT NULL").select("email", "record_id", "severity", "found_at"), "email")
-    columns = ["identity_key", "record_id", "severity", "found_at"]
-    hits = by_ssn.select(columns).union(by_mail.select(columns)).dropDuplicates(["identity_key", "record_id"])
+    """Per person the number of breaches of their id or e-mail and the mean aged severity, clipped; 0 without any.
+
+    ``people`` has a row for each person, ``breaches`` one or more for each record. Records are added up by id, by
+    e-mail and by both, so a person meets three sums, not all records: by id plus by e-mail less those by both.
+    """
     aged = F.col("severity") * F.greatest(F.lit(0.1), 1.0 - elapsed_days(as_of, F.col("found_at")) / 365.0)
-    found = hits.groupBy("identity_key").agg(F.count(F.lit(1)).alias("breaches"), F.avg(aged).alias("raw"))
-    return people.select("identity_key").join(found, "identity_key", "left").select("identity_key", F.coalesce("breaches", F.lit(0).cast("long")).alias("breaches"), clip01(F.coalesce("raw", F.lit(0.0))).alias("exposure"))
+    records = breaches.groupBy("record_id").agg(F.max(F.struct("severity", "found_at")).alias("r")).select("record_id", "r.*").select("record_id", aged.alias("aged"))
+    by_ssn = breaches.where("ssn_key IS NOT NULL").select("record_id", "ssn_key").distinct()
+    by_mail = breaches.where("email IS NOT NULL").select("record_id", "email").distinct()
+    out = people
+    for name, of in (("s", by_ssn), ("m", by_mail), ("b", by_ssn.join(by_mail, "record_id"))):
+        keys = [c for c in of.columns if c != "record_id"]
+        sums = of.join(records, "record_id").groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.count("aged").alias(f"{name}_known"), F.sum("aged").alias(f"{name}_sum"))
+        out = out.join(sums, keys, "left")
+    total = lambda x: F.coalesce(f"s_{x}", F.lit(0)) + F.coalesce(f"m_{x}", F.lit(0)) - F.coalesce(f"b_{x}", F.lit(0))
+    mean = F.coalesce(F.try_divide(total("sum"), total("known")), F.lit(0.0))
+    return out.select("identity_key", total("n").alias("breaches"), clip01(mean).alias("exposure"))
