@@ -18,15 +18,23 @@ def window_counts(uses: DataFrame, as_of: Column, members: dict[str, str], bound
 
     ``members`` maps an output name to a column of ``uses``. A member counts in a window exactly if its last use
     does, so one aggregation brings every (element, member) down to a row before members are counted; nothing is
-    expanded once per window. Without ``bounded``, uses later than ``as_of`` count too.
+    expanded once per window. Uses before all windows only count for first and last use: without their members they
+    are one row per element, which map-side aggregation makes of them before anything is shuffled. Without
+    ``bounded``, uses later than ``as_of`` count too.
     """
     uses = uses.where(F.col("ts") <= as_of) if bounded else uses
-    types = {uses.schema[c].dataType.simpleString() for c in members.values()}
+    held = list(dict.fromkeys(members.values()))
+    recent = F.col("ts") >= before(as_of, max(WINDOWS))
+    span = [F.max("ts").alias("last"), F.min("ts").alias("first")]
+    together = uses.select("element_type", "element_key", "ts", *[F.when(recent, F.col(c)).alias(c) for c in held]).groupBy("element_type", "element_key", *held).agg(*span)
+    types = {uses.schema[c].dataType.simpleString() for c in held}
     kind = types.pop() if len(types) == 1 else "string"
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast(kind).alias("member")) for k, c in members.items()]))
+    named = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast(kind).alias("member")) for k, c in members.items()])
+    nobody = F.array(F.struct(F.lit("").alias("kind"), F.lit(None).cast(kind).alias("member")))
+    someone = F.coalesce(*[F.col(c).cast("string") for c in held]).isNotNull()
     last = (
-        uses.select("element_type", "element_key", "ts", each.alias("m")).groupBy("element_type", "element_key", "m.kind", "m.member")
-        .agg(F.max("ts").alias("last"), F.min("ts").alias("first"))
+        together.select("element_type", "element_key", "last", "first", F.explode(F.when(someone, named).otherwise(nobody)).alias("m"))
+        .groupBy("element_type", "element_key", "m.kind", "m.member").agg(F.max("last").alias("last"), F.min("first").alias("first"))
     )
     counts = [
         F.count_if((F.col("kind") == k) & F.col("member").isNotNull() & (F.col("last") >= before(as_of, d))).alias(f"unique_{k}_{d}d")
@@ -61,10 +69,13 @@ def latest_elements(uses: DataFrame) -> DataFrame:
     return uses.groupBy("identity_key", "element_type").agg(F.max(F.struct("ts", "element_key"))["element_key"].alias("element_key"))
 
 
-def velocity_analysis(uses: DataFrame, as_of: Column, config: EngineConfig = CONFIG) -> DataFrame:
-    """Per identity, the scores of its latest elements, the overall score, the anomalies and the level."""
+def velocity_analysis(uses: DataFrame, as_of: Column, config: EngineConfig = CONFIG, newest: DataFrame | None = None) -> DataFrame:
+    """Per identity, the scores of its latest elements, the overall score, the anomalies and the level.
+
+    ``newest`` may be the uses among which the latest are, where they can be had without sorting all.
+    """
     scored = element_velocity(uses, as_of, config).select("element_type", "element_key", "velocity_score")
-    own = latest_elements(uses).join(scored, ["element_type", "element_key"], "left")
+    own = latest_elements(uses if newest is None else newest).join(scored, ["element_type", "element_key"], "left")
     of = {t: F.coalesce(F.max(F.when(F.col("element_type") == t, F.col("velocity_score"))), F.lit(0.0)).alias(f"{t}_velocity") for t in config.velocity_weights}
     wide = own.groupBy("identity_key").agg(*of.values())
     cols = [F.col(f"{t}_velocity") for t in ("address", "phone", "email", "device")]

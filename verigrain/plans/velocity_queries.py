@@ -87,14 +87,14 @@ _LEVEL = "CASE WHEN overall >= 0.8 OR len(names) >= 4 THEN 'critical' WHEN overa
     f"WITH {ELEMENT_USE}, {_ANALYSIS} SELECT identity_key, round(address_velocity, 6) AS address_velocity, round(phone_velocity, 6) AS phone_velocity, round(email_velocity, 6) AS email_velocity, round(device_velocity, 6) AS device_velocity, round(overall, 6) AS overall_velocity_score, array_to_string(list_sort(names), ',') AS anomalies, {_LEVEL} AS risk_level FROM total"
 )
 def velocity_analysis(t: Tables) -> DataFrame:
-    found = V.velocity_analysis(t.element_use(), AT())
+    found = V.velocity_analysis(t.element_use(), AT(), newest=t.element_use(newest=True))
     rounded = {c: F.round(c, 6) for c in ("address_velocity", "phone_velocity", "email_velocity", "device_velocity", "overall_velocity_score")}
     return found.withColumns(rounded | {"anomalies": joined(F.col("anomalies"))})
 
 
 @query(f"WITH {ELEMENT_USE}, {_ANALYSIS} SELECT unnest(names) AS anomaly, count(*) AS identities FROM total GROUP BY 1")
 def velocity_anomalies(t: Tables) -> DataFrame:
-    found = V.velocity_analysis(t.element_use(), AT())
+    found = V.velocity_analysis(t.element_use(), AT(), newest=t.element_use(newest=True))
     return found.select(F.explode("anomalies").alias("anomaly")).groupBy("anomaly").agg(F.count(F.lit(1)).alias("identities"))
 
 
