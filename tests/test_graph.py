@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verigrain.operators import graph as G
 from verigrain.operators.components import connected_components
+from verigrain.plans.durable import durable
 
 
 def uses_of(spark, elements):
@@ -64,6 +65,26 @@ def test_neighbourhood(spark):
         G.neighbourhood(uses, start, 6)
 
 
+def test_neighbourhood_reads_shared_elements_only(spark, monkeypatch):
+    """10,000 elements of one identity each: the steps see the two uses of the shared one."""
+    own = spark.range(10_000).select(F.lit(1).cast("long").alias("identity_id"), F.lit("email").alias("element_type"), (F.col("id") + 10).alias("element_key"))
+    uses = uses_of(spark, [("phone", (1, 2))]).unionByName(own)
+    written = []
+    monkeypatch.setattr(G, "durable", lambda df: written.append(durable(df)) or written[-1])
+    found = G.neighbourhood(uses, spark.createDataFrame([(1,)], "identity_id long"), 2)
+    assert {(r["identity_id"], r["hops"]) for r in found.collect()} == {(1, 0), (2, 1)}
+    assert sorted(tuple(r) for r in written[0].select("identity_id", "element_type").collect()) == [(1, "phone"), (2, "phone")]
+
+
+def test_export_of_all_uses_joins_nothing(spark):
+    uses = uses_of(spark, [("phone", (1, 2)), ("ssn", (2, 3)), ("email", (3, 3))]).distinct()
+    nodes, edges = G.export_nodes_edges(uses)
+    assert "Join" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(nodes.select("kind").toPandas()["kind"]) == ["email", "identity", "identity", "identity", "phone", "ssn"] and edges.count() == 5
+    nodes, edges = G.export_nodes_edges(uses, spark.createDataFrame([(3,), (3,)], "identity_id long"))
+    assert {r["id"] for r in nodes.where("kind = 'identity'").collect()} == {"identity:3"} and nodes.count() == 3 and edges.count() == 2
+
+
 def test_components(spark):
     pairs = [(5, 4), (4, 3), (10, 11), (7, 7), (20, 21), (21, 22), (22, 23), (23, 20), (1, 2), (2, 3), (30, 29), (29, 28)]
     got = {r[0]: r[1] for r in connected_components(edges_of(spark, pairs)).collect()}
