@@ -62,3 +62,13 @@ def test_newest_uses(spark, tmp_path):
     latest = lambda uses: sorted(map(str, V.latest_elements(uses).collect()))
     assert latest(t.element_use(newest=True)) == latest(t.element_use())
     assert t.element_use(newest=True).where("identity_key = 7 AND element_type = 'address'").count() == 3
+
+
+def test_fanout(spark, rows):
+    df = V.fanout(spark.createDataFrame([*rows, (None, None, 5, 1, AT, 1)], FIELDS))
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
+    wanted = {}
+    for kind in ("phone", "email", None):
+        own = [r for r in [*rows, (None, None, 5, 1, AT, 1)] if r[0] == kind]
+        wanted[kind] = (len(own), len({r[1] for r in own} - {None}), len({r[2] for r in own} - {None}))
+    assert {tuple(r)[0]: tuple(r)[1:] for r in df.collect()} == wanted

@@ -129,3 +129,11 @@ def retention(uses: DataFrame, as_of: Column, days: int) -> tuple[DataFrame, Dat
 def pair_writes(uses: DataFrame) -> DataFrame:
     """What repeated upserts of (identity, element) leave: first and last use and the number of uses."""
     return uses.groupBy("identity_key", "element_type", "element_key").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("uses"))
+
+
+def fanout(uses: DataFrame) -> DataFrame:
+    """Per type, uses and distinct elements and identities: each is brought down to its keys for itself, so no use is
+    repeated once for every distinct count."""
+    elements = uses.groupBy("element_type", "element_key").agg(F.count(F.lit(1)).alias("n")).groupBy("element_type").agg(F.sum("n").alias("uses"), F.count("element_key").alias("elements"))
+    identities = uses.groupBy("element_type", "identity_key").agg(F.lit(1)).groupBy(F.col("element_type").alias("of_type")).agg(F.count("identity_key").alias("identities"))
+    return elements.join(identities, F.col("element_type").eqNullSafe(F.col("of_type"))).drop("of_type")

@@ -144,9 +144,7 @@ def graph_writer(t: Tables) -> DataFrame:
 
 @query(f"WITH {ELEMENT_USE} SELECT element_type, count(*) AS uses, count(DISTINCT element_key) AS elements, count(DISTINCT identity_key) AS identities FROM eu GROUP BY 1")
 def use_log_fanout(t: Tables) -> DataFrame:
-    return t.element_use().groupBy("element_type").agg(
-        F.count(F.lit(1)).alias("uses"), F.count_distinct("element_key").alias("elements"), F.count_distinct("identity_key").alias("identities")
-    )
+    return V.fanout(t.element_use())
 
 
 # --- devices --------------------------------------------------------------------------------------------------------
