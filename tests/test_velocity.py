@@ -72,3 +72,13 @@ def test_fanout(spark, rows):
         own = [r for r in [*rows, (None, None, 5, 1, AT, 1)] if r[0] == kind]
         wanted[kind] = (len(own), len({r[1] for r in own} - {None}), len({r[2] for r in own} - {None}))
     assert {tuple(r)[0]: tuple(r)[1:] for r in df.collect()} == wanted
+
+
+def test_uses_are_dealt_before_they_are_summed_up(spark):
+    """In as many parts as asked for, since nearly every use is a pair of its own; the sums are the same."""
+    rows = [("phone", str(k % 7), k % 5 if k % 11 else None, k) for k in range(200)]
+    uses = spark.createDataFrame(rows, "element_type string, element_key string, identity_key int, day int").withColumn("ts", F.date_add(F.lit("2001-01-01"), F.col("day")).cast("timestamp_ntz"))
+    at = F.lit("2001-08-01").cast("timestamp_ntz")
+    for made in (lambda n: V.pair_writes(uses, n), lambda n: V.retention(uses, at, 100, n)[1]):
+        plan = made(13)._jdf.queryExecution().executedPlan().toString()
+        assert "13), REPARTITION_BY_NUM" in plan and sorted(map(str, made(13).collect())) == sorted(map(str, made(None).collect()))

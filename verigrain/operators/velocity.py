@@ -117,18 +117,26 @@ def linked_addresses(uses: DataFrame, as_of: Column, days: int = 180, least: int
     )
 
 
-def retention(uses: DataFrame, as_of: Column, days: int) -> tuple[DataFrame, DataFrame]:
-    """Uses that stay, and per element how many identities no longer have any."""
+def retention(uses: DataFrame, as_of: Column, days: int, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Uses that stay, and per element how many identities no longer have any; ``parts`` as for ``pair_writes``."""
     cutoff = before(as_of, days)
     kept = uses.where(F.col("ts") > cutoff)
-    last = uses.groupBy("element_type", "element_key", "identity_key").agg(F.max("ts").alias("last"))
+    last = _dealt(uses, parts).groupBy("element_type", "element_key", "identity_key").agg(F.max("ts").alias("last"))
     removed = last.groupBy("element_type", "element_key").agg(F.count_if(F.col("last") <= cutoff).alias("removed"), F.count_if(F.col("last") > cutoff).alias("kept"))
     return kept, removed
 
 
-def pair_writes(uses: DataFrame) -> DataFrame:
-    """What repeated upserts of (identity, element) leave: first and last use and the number of uses."""
-    return uses.groupBy("identity_key", "element_type", "element_key").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("uses"))
+def pair_writes(uses: DataFrame, parts: int | None = None) -> DataFrame:
+    """What repeated upserts of (identity, element) leave: first and last use and the number of uses.
+
+    Nearly every use is a pair of its own, so summing up before the shuffle only takes memory. With ``parts``, uses are
+    dealt over so many tasks and summed up there.
+    """
+    return _dealt(uses, parts).groupBy("identity_key", "element_type", "element_key").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("uses"))
+
+
+def _dealt(uses: DataFrame, parts: int | None) -> DataFrame:
+    return uses.repartition(parts, "identity_key", "element_type", "element_key") if parts else uses
 
 
 def fanout(uses: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def shared_on_element(t: Tables) -> DataFrame:
 @query(f"""WITH {ELEMENT_USE}, last AS (SELECT element_type, element_key, identity_key, max(ts) AS last FROM eu GROUP BY 1, 2, 3)
     SELECT element_type, element_key, count(*) FILTER (last <= {ORDERS_AT} - INTERVAL 180 DAY) AS removed, count(*) FILTER (last > {ORDERS_AT} - INTERVAL 180 DAY) AS kept FROM last GROUP BY 1, 2""")
 def retention_cleanup(t: Tables) -> DataFrame:
-    return V.retention(t.element_use(), AT(), 180)[1]
+    return V.retention(t.element_use(), AT(), 180, t.parts())[1]
 
 
 @query(f"""WITH {ELEMENT_USE}, own AS (SELECT DISTINCT element_key, ssn_key FROM eu WHERE element_type = 'phone' AND ts >= {ORDERS_AT} - INTERVAL 180 DAY),
@@ -139,7 +139,7 @@ def linked_addresses(t: Tables) -> DataFrame:
 
 @query(f"WITH {ELEMENT_USE} SELECT identity_key, element_type, element_key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS uses FROM eu GROUP BY 1, 2, 3")
 def graph_writer(t: Tables) -> DataFrame:
-    return V.pair_writes(t.element_use())
+    return V.pair_writes(t.element_use(), t.parts())
 
 
 @query(f"WITH {ELEMENT_USE} SELECT element_type, count(*) AS uses, count(DISTINCT element_key) AS elements, count(DISTINCT identity_key) AS identities FROM eu GROUP BY 1")
