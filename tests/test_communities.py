@@ -128,3 +128,9 @@ def test_no_edges(spark):
     assert C.pagerank(none).ranks.count() == 0
     alone = C.pagerank(none, spark.createDataFrame([(1,), (2,)], "identity_id long")).ranks
     assert dict(tuple(r) for r in alone.collect()) == pytest.approx({1: 0.5, 2: 0.5})
+
+
+def test_pagerank_settles_in_few_rounds(spark):
+    """On a star ranks swing to and fro; plain steps take 0.85 of the error to the next round."""
+    found = C.pagerank(made(spark, [(1, 2), (1, 3)]))
+    assert found.rounds <= 60 and {r[0]: r[1] for r in found.ranks.collect()} == pytest.approx({1: 0.9 / 1.85, 2: 0.475 / 1.85, 3: 0.475 / 1.85}, abs=1e-9)

@@ -149,6 +149,10 @@ def coloured_label_propagation(edges: DataFrame, most: int = 100) -> Propagation
     return Propagation(labels.select(F.col("v").alias("identity_id"), F.col("label").alias("component")), not changed, sweep)
 
 
+#: Neighbours in a list.
+_LIST = 1000
+
+
 class Ranks(NamedTuple):
     ranks: DataFrame
     rounds: int
@@ -160,7 +164,11 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float
 
     Stops when a round changes all ranks together by at most ``tolerance``; that is looked at every ``stride`` rounds.
     ``vertices`` (identity_id) without an edge take part: their rank goes to all vertices alike. They have no other
-    income than that and the teleport, so they all have one rank, which is a number and not a table.
+    income than that and the teleport, so they all have one rank, which is a number that can be solved for.
+
+    Steps of an undirected graph have real eigenvalues within the damping, so Chebyshev's iteration applies: a round goes
+    beyond the step from the ranks before it, and the error falls by 0.55 a round at 0.85 instead of by 0.85. A vertex
+    keeps its neighbours in lists of about ``_LIST``, so that ranks meet vertices and not edges.
     """
     ways = durable(_ways(edges).select("src", "dst"))
     out = durable(ways.groupBy("src").agg(F.count(F.lit(1)).alias("d")))
@@ -173,18 +181,23 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float
     n = linked + idle
     if not n:
         return Ranks(out.select(F.col("src").alias("identity_id"), F.lit(0.0).alias("rank")), 0, 0.0)
-    links = durable(ways.join(out, "src"))
-    rank, lone, residual, done = out.select("src", F.lit(1.0 / n).alias("rank")), 1.0 / n, 1.0, 0
+    lone = (1 - damping) / (n - damping * idle)
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("d") / _LIST)).alias("part")
+    links = durable(ways.join(out, "src").groupBy("src", "d", part).agg(F.collect_list("dst").alias("near")).withColumn("near", F.array_append("near", F.col("src"))))  # its own row too
+    rank = out.select("src", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("before"))
+    residual, done, omega = 1.0, 0, 1.0
     while done < most and residual > tolerance:
         for _ in range(stride):
-            before, lone_before = rank, lone
-            base = (1 - damping) / n + damping * idle * lone / n
-            given = links.join(rank, "src").groupBy(F.col("dst").alias("src")).agg(F.sum(F.col("rank") / F.col("d")).alias("in"))
-            rank, lone = given.select("src", (F.lit(base) + damping * F.col("in")).alias("rank")), base
+            omega = 1.0 if not done else 1.0 / (1.0 - damping**2 / 2) if done == 1 else 1.0 / (1.0 - damping**2 * omega / 4)
+            own = F.col("src") == F.col("to")
+            given = links.join(rank, "src").select("src", "d", "rank", "before", F.explode("near").alias("to"))
+            given = given.select(F.col("to").alias("src"), F.when(~own, F.col("rank") / F.col("d")).alias("in"), F.when(own, F.col("rank")).alias("rank"), F.when(own, F.col("before")).alias("before"))
+            met = given.groupBy("src").agg(F.sum("in").alias("in"), F.max("rank").alias("rank"), F.max("before").alias("before"))
+            step = F.lit(lone) + damping * F.col("in")
+            rank = met.select("src", (F.lit(omega) * (step - F.col("before")) + F.col("before")).alias("rank"), F.col("rank").alias("before"))
             done += 1
-        both = durable(rank.join(before.withColumnRenamed("rank", "before"), "src"))
-        rank = both.select("src", "rank")
-        residual = (both.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) + idle * abs(lone - lone_before)
+        rank = durable(rank)
+        residual = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0
     found = rank.select(F.col("src").alias("identity_id"), "rank")
     if idle:
         found = found.union(loose.select("src", F.lit(lone)))
