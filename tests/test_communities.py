@@ -132,5 +132,5 @@ def test_no_edges(spark):
 
 def test_pagerank_settles_in_few_rounds(spark):
     """On a star ranks swing to and fro; plain steps take 0.85 of the error to the next round."""
-    found = C.pagerank(made(spark, [(1, 2), (1, 3)]))
+    found = C.pagerank(made(spark, [(1, 2, 1.0), (1, 3, 1.0)]))
     assert found.rounds <= 60 and {r[0]: r[1] for r in found.ranks.collect()} == pytest.approx({1: 0.9 / 1.85, 2: 0.475 / 1.85, 3: 0.475 / 1.85}, abs=1e-9)
