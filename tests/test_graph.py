@@ -127,6 +127,24 @@ def test_betweenness(spark):
     assert got == pytest.approx(brandes(pairs))
 
 
+def test_betweenness_takes_all_sources_in_batches(spark):
+    """Two rings of 6 and a path: in batches of few rows the result is that of all at once; no size ends the exact job."""
+    pairs = [(k, (k + 1) % 6) for k in range(6)] + [(10 + k, 10 + (k + 1) % 6) for k in range(6)] + [(20, 21), (21, 22)]
+    edges = edges_of(spark, pairs)
+    got = {r[0]: r[1] for r in G.betweenness(edges, rows_at_once=30).collect()}
+    assert got == pytest.approx(brandes(pairs))
+
+
+def test_betweenness_has_no_size_from_which_it_samples(spark):
+    """Beyond 10,000 vertices it took 500 sources: of 3,500 paths of three, most centres then had nothing."""
+    edges = spark.range(3500).selectExpr("explode(array(named_struct('src', 3 * id, 'dst', 3 * id + 1), named_struct('src', 3 * id + 1, 'dst', 3 * id + 2))) AS e").select("e.*")
+    found = G.betweenness(edges)
+    n = 10500
+    assert found.where("identity_id % 3 = 1").count() == 3500
+    wrong = found.where(f"abs(betweenness - CASE WHEN identity_id % 3 = 1 THEN 2 / ({n - 1} * {n - 2}D) ELSE 0 END) > 1e-15")
+    assert wrong.count() == 0
+
+
 def test_pagerank(spark):
     got = {r[0]: r[1] for r in G.pagerank(edges_of(spark, [(1, 2), (1, 3), (1, 4)]), 40).collect()}
     assert sum(got.values()) == pytest.approx(1) and got[2] == pytest.approx(got[3]) and got[1] > got[2]
