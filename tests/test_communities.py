@@ -39,6 +39,34 @@ def sql_modularity(edges, labels):
         SELECT inner_.w / m.m - (SELECT sum((k / (2 * m.m)) ** 2) FROM k, m) FROM inner_, m""").fetchall()[0][0]
 
 
+def test_a_louvain_round_deals_edges_out_once(spark, monkeypatch):
+    """Edges are dealt out as lists, and once more to their other end; it was five times, of eleven exchanges."""
+    plans, real = [], C.durable
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return real(frame)
+
+    ways = real(C._ways(made(spark, noise())))
+    nodes = real(ways.selectExpr("src AS v", "weight AS k").groupBy("v").agg({"k": "sum"}).toDF("v", "k").selectExpr("*", "0D AS loop"))
+    total = nodes.selectExpr("sum(k)").first()[0]
+    monkeypatch.setattr(C, "durable", seen)
+    found = C._move(ways, nodes, total, 1, 1.0)
+    labels = [tuple(r) for r in found.labels.collect()]
+    assert sql_modularity(noise(), labels) == pytest.approx(found.modularity, abs=1e-9)
+    # Six of vertices by community or by themselves, one of lists of neighbours, one of what they are told.
+    assert len(plans) == 3 and all(p.count("Exchange ") <= 8 for p in plans[1:])
+    assert plans[1].count("REPARTITION_BY_COL") == 1
+
+
+def test_louvain_splits_long_lists(spark, monkeypatch):
+    """A star's centre has its neighbours in several lists; the result is that of one list."""
+    frame = made(spark, [(0, k, 1) for k in range(1, 9)])
+    monkeypatch.setattr(C, "LIST", 3)
+    lists = C._lists(C._ways(frame)).selectExpr("v", "size(near) AS n").collect()
+    assert len(lists) > 9 and sorted((r["v"]) for r in lists if r["v"]) == list(range(1, 9)) and sum(r["n"] for r in lists if not r["v"]) == 8
+
+
 @pytest.mark.parametrize("name", ["rings", "noise", "pair", "star"])
 def test_louvain_levels(spark, name):
     edges = graphs()[name]

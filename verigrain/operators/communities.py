@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from verigrain.plans.durable import durable
 
+#: Neighbours of a vertex in one list.
+LIST = 10_000
+
 
 def _ways(edges: DataFrame) -> DataFrame:
     """src, dst and weight in both directions."""
@@ -20,6 +23,13 @@ def _ways(edges: DataFrame) -> DataFrame:
     return weighted.union(weighted.select("dst", "src", "weight"))
 
 
+def _lists(ways: DataFrame) -> DataFrame:
+    """v and near: the neighbours (src, weight) of a vertex in as many lists of about ``LIST`` as it needs."""
+    degree = ways.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIST)).alias("parts"))
+    dealt = ways.join(degree, "dst").groupBy("dst", F.pmod(F.xxhash64("src"), F.col("parts")).alias("part"))
+    return dealt.agg(F.collect_list(F.struct("src", "weight")).alias("near")).select(F.col("dst").alias("v"), "near")
+
+
 class Level(NamedTuple):
     labels: DataFrame
     communities: int
@@ -39,20 +49,24 @@ def _move(ways: DataFrame, nodes: DataFrame, total: float, rounds: int, resoluti
     round, so that two do not swap for ever. The rounds' modularity can fall, so the best is kept.
     """
     labels = nodes.select("v", F.col("v").alias("c"), "k", "loop")
+    lists = durable(_lists(ways))
     best: _Settled | None = None
     for turn in range(rounds + 1):
-        size = labels.groupBy("c").agg(F.sum("k").alias("size"))
-        into = ways.join(labels.select(F.col("v").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("weight").alias("w"))
-        options = into.join(labels.select(F.col("v").alias("src"), F.col("c").alias("own"), "k"), "src").join(size, "c")
+        # A vertex tells its neighbours its community and that one's size, so edges are dealt out once, to their other end.
+        sized = labels.join(labels.groupBy("c").agg(F.sum("k").alias("size")), "c")
+        told = lists.join(sized.select("v", "c", "size"), "v").select(F.explode("near").alias("e"), "c", "size").select(F.col("e.src").alias("v"), "c", "size", F.col("e.weight").alias("weight"))
+        into = told.repartition("v").groupBy("v", "c").agg(F.first("size").alias("size"), F.sum("weight").alias("w"))
+        own = sized.select("v", F.col("c").alias("own"), "k", "loop", F.col("size").alias("own_size"))
         stays = F.col("c") == F.col("own")
         gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(stays, F.col("k")).otherwise(0.0)) / total, 9)
-        chosen = options.groupBy("src").agg(
+        chosen = own.join(into, "v", "left").groupBy("v").agg(
             F.max_by(F.struct("c", gain.alias("g")), F.struct(gain, -F.col("c"))).alias("b"), F.max(F.when(stays, gain)).alias("stay"), F.sum(F.when(stays, F.col("w")).otherwise(0.0)).alias("inner"),
+            *[F.first(c).alias(c) for c in ("own", "k", "loop", "own_size")],
         )
         # A vertex that has left all its neighbours' communities gains nothing by staying but what it takes off alone.
-        alone = labels.join(size, "c").select("v", "c", "k", "loop", F.round(-resolution * F.col("k") * (F.col("size") - F.col("k")) / total, 9).alias("bare"))
-        wanted = F.when(F.col("b.g") > F.coalesce("stay", "bare"), F.col("b.c"))
-        decided = durable(alone.join(chosen.withColumnRenamed("src", "v"), "v", "left").select("v", "c", "k", "loop", wanted.alias("to"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
+        bare = F.round(-resolution * F.col("k") * (F.col("own_size") - F.col("k")) / total, 9)
+        wanted = F.when(F.col("b.g") > F.coalesce("stay", bare), F.col("b.c"))
+        decided = durable(chosen.select("v", F.col("own").alias("c"), "k", "loop", wanted.alias("to"), "inner"))
         by = decided.groupBy("c").agg(F.sum(F.col("inner") + F.col("loop")).alias("inside"), F.sum("k").alias("size"), F.count_if(F.col("to").isNotNull()).alias("wishes"))
         inside, square, wishes = by.agg(F.sum("inside"), F.sum(F.pow(F.col("size") / total, F.lit(2))), F.sum("wishes")).first()
         modularity = inside / total - resolution * square
