@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from verigrain.sources import generators as N
 from verigrain.sources import readers, sinks
 from verigrain.sources.adapters import Tables
 from verigrain.streaming import applications as A
+from verigrain.streaming.trailing import TrailingUses
 
 
 def application(k, **over):
@@ -121,6 +124,53 @@ def test_keyed_state_is_touched_only_where_a_batch_says(spark, tmp_path):
     assert done[0] > 3000 and done[1] < 20
 
 
+class Entries(dict):
+    """State of one element in plain Python, with the number of looks at it."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    updateValue, iterator = dict.__setitem__, dict.items
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+class Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Entries())
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.maps.get("newest"), update=lambda v: self.maps.update(newest=v), clear=lambda: self.maps.pop("newest", None))
+
+    def listTimers(self):
+        return list(self.timers)
+
+    deleteTimer, registerTimer = (lambda self, t: self.timers.remove(t)), (lambda self, t: self.timers.append(t))
+
+
+def test_a_new_element_is_not_looked_up():
+    """Of an element without state nothing is asked for, however many identities come; later only what a batch names."""
+    uses, handle = TrailingUses(), Handle()
+    uses.init(handle)
+    day = 24 * 3_600_000_000
+
+    def batch(rows):
+        frame = pd.DataFrame(rows, columns=["identity", "us"])
+        return next(uses.handleInputRows(("phone:1",), iter([frame]), None)).iloc[0].tolist()[1:4]
+
+    first = [(str(k), k * day) for k in range(1, 200)] + [("5", 150 * day)]
+    assert batch(first) == [31, 92, 182] and handle.maps["last"].asked == 0
+    assert batch([("199", 200 * day), ("7", 199 * day)]) == [31, 92, 182] and handle.maps["last"].asked == 2
+    assert batch([("x", 900 * day)]) == [1, 1, 1] and set(handle.maps["last"]) == {("x",)}
+
+
 def test_windowed_counts(spark):
     uses = spark.createDataFrame([("phone", "1", 5, dt.datetime(2024, 1, 2)), ("phone", "1", 6, dt.datetime(2024, 1, 2))], "element_type string, element_key string, identity_key long, ts timestamp")
     rows = A.windowed_counts(uses, "2 days", "1 day").collect()

@@ -39,7 +39,7 @@ class TrailingUses(StatefulProcessor):
                 used[identity] = max(int(us), used.get(identity, int(us)))
         known = self.newest.get()
         newest = max([*used.values(), *([known[0]] if known else [])])
-        self._move({i: us for i, us in used.items() if us >= newest - KEPT})
+        self._move({i: us for i, us in used.items() if us >= newest - KEPT}, fresh=not known)
         self._expire(newest - KEPT)
         self.newest.update((newest,))
         for timer in list(self.handle.listTimers()):
@@ -57,10 +57,11 @@ class TrailingUses(StatefulProcessor):
         found = self.hours.getValue((hour,))
         return dict(zip(found[0], found[1], strict=True)) if found else {}
 
-    def _move(self, used: dict[str, int]) -> None:
+    def _move(self, used: dict[str, int], fresh: bool) -> None:
+        """Without a look at the maps for a ``fresh`` element, of which they hold nothing: a look costs as much as an entry."""
         gone, come = defaultdict(set), defaultdict(dict)
         for identity, us in used.items():
-            before = self.last.getValue((identity,))
+            before = None if fresh else self.last.getValue((identity,))
             if before and before[0] >= us:
                 continue
             if before:
@@ -69,7 +70,7 @@ class TrailingUses(StatefulProcessor):
             self.last.updateValue((identity,), (us,))
         change: dict[int, int] = defaultdict(int)
         for hour in gone.keys() | come.keys():
-            old = self._hour(hour)
+            old = {} if fresh else self._hour(hour)
             new = {i: us for i, us in old.items() if i not in gone[hour]} | come[hour]
             change[hour // 24] += len(new) - len(old)
             if new:
@@ -77,7 +78,7 @@ class TrailingUses(StatefulProcessor):
             else:
                 self.hours.removeKey((hour,))
         for day, more in change.items():
-            before = self.days.getValue((day,))
+            before = None if fresh else self.days.getValue((day,))
             left = more + (before[0] if before else 0)
             if left:
                 self.days.updateValue((day,), (left,))
