@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from verigrain.llm import target_encoding as E
 from verigrain.llm.queries import ORACLES, QUERIES
@@ -100,3 +101,16 @@ def test_query_against_sql(spark):
     got = QUERIES["op13_target_encoding"](spark, folder)
     assert got.columns == want.columns
     assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
+def test_points_are_shuffled_once(spark):
+    """Steps, sums of bins and moments do not each bring their own shuffle of all points."""
+    rows = spark.range(3000).selectExpr("id % 2 AS k", "id * 7 % 1999 AS at", "CAST(id % 5 AS int) AS fold", "1L AS n", "id % 2 AS s")
+    found = E.history(rows, ["k"], F.lit(9), 9, E.clock_of(rows, "at"), 5)
+    got = {(r.k, r.at, r.fold): (r.n, r.s) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan) == 1
+    given = rows.collect()
+    for r in given[::97]:
+        past = [p for p in given if p.k == r.k and p.at < r.at and p.fold != r.fold]
+        assert got[r.k, r.at, r.fold] == (len(past), sum(p.s for p in past))

@@ -57,35 +57,50 @@ def _before(bins: DataFrame, keys: list[str], counts: list[str], level: int) ->
     return found.join(above, [*keys, "block"]).select(*keys, "bin", *[(F.col(c) + F.col(f"{c}_above")).alias(c) for c in counts])
 
 
-def validity(points: DataFrame, keys: list[str], folds: int, level: int) -> DataFrame:
+def _by_fold(folds: int) -> dict[str, Column]:
+    return {f"{c}{f}": F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in "ns" for f in range(folds)}
+
+
+def bins_before(rows: DataFrame, keys: list[str], folds: int, level: int) -> DataFrame | None:
+    """Counts n0_before, s0_before, ... that a key has before each of its bins; None where each key has one bin.
+
+    They are summed up from the rows themselves and written before any level of prefix sums reads them, since a bin is
+    many rows; the points are then read for the steps alone.
+    """
+    if not level:
+        return None
+    each = _by_fold(folds)
+    bins = _written(rows.groupBy(*keys, "bin").agg(*[F.sum(x).alias(c) for c, x in each.items()]))
+    return _before(bins, keys, list(each), level).withColumnsRenamed({c: f"{c}_before" for c in each})
+
+
+def validity(points: DataFrame, slot: list[str], folds: int, before: DataFrame | None) -> DataFrame:
     """since (exclusive), until (inclusive) and counts n0, n1, ... and s0, s1, ... of each step by fold, split at bins.
 
-    ``points`` has a row for each key, bin, time and fold, with n and s that are to be added after that time. A step ends
-    at a point; no moment is asked for that is no point, so none is needed behind the last of a bin.
+    ``points`` has a row for each ``slot`` (key and bin), time and fold, with n and s to be added after that time; ``before`` is that of ``bins_before``. A step ends at a point; no moment is asked for that is no point, so none is needed behind the last of a bin.
     """
-    each = {f"{c}{f}": F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in "ns" for f in range(folds)}
-    order = Window.partitionBy(*keys, "bin").orderBy("at")
+    each = _by_fold(folds)
+    order = Window.partitionBy(*slot).orderBy("at")
     earlier = order.rangeBetween(Window.unboundedPreceding, -1)  # no row of the same time
     steps = points.select(
-        *keys, "bin", F.coalesce(F.max("at").over(earlier), F.lit(_FIRST)).alias("since"), F.col("at").alias("until"), F.lag("at").over(order).alias("above"),
+        *slot, F.coalesce(F.max("at").over(earlier), F.lit(_FIRST)).alias("since"), F.col("at").alias("until"), F.lag("at").over(order).alias("above"),
         *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(c) for c, x in each.items()],
     )
     steps = steps.where("above IS NULL OR above <> until").drop("above")  # one step of a time, however many folds it has
-    if not level:
+    if before is None:
         return steps
-    # The last time is not needed; it keeps the columns alike, so that the points are shuffled once for all uses.
-    bins = points.groupBy(*keys, "bin").agg(F.max("at").alias("last"), *[F.sum(x).alias(c) for c, x in each.items()])
-    before = _before(bins.where("last IS NOT NULL"), keys, list(each), level).withColumnsRenamed({c: f"{c}_before" for c in each})
-    return steps.join(before, [*keys, "bin"]).select(*keys, "bin", "since", "until", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in each])
+    return steps.join(before, slot).select(*slot, "since", "until", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in each])
 
 
 def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, clock: Clock, folds: int, gap: int = 0) -> DataFrame:
     """``keys``, at, fold, n and s for each key, time and fold of ``rows``: what other folds had more than ``gap`` before.
 
     ``rows`` has at (bigint), fold (int from 0), n and s (what a row counts) and ``keys``, none of them null. ``level``
-    depends on the key alone and is at most ``most``.
+    depends on the key alone and is at most ``most``. Beside them stand n_then and s_then, what the key, time and fold
+    itself counts: with them, moments and steps are read from one shuffle of the points.
     """
     keys = list(keys)
+    slot = ["bin", *keys] if most > FAN else [*keys, "bin"]  # sorts compare the first column before whole rows
     zero = F.lit(0).cast("bigint")
     narrow = rows.select(*keys, level.alias("level"), "at", "fold", "n", "s", F.lit(1).alias("asked"))
     if gap:
@@ -94,13 +109,14 @@ def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, cloc
     shift = F.greatest(F.lit(clock.bits) - F.col("level"), F.lit(0))
     binned = narrow.withColumn("bin", F.call_function("shiftright", F.col("at") - F.lit(clock.start), shift))
     known = binned.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "bin", "at", "fold")))
-    summed = known.groupBy(*keys, "bin", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("asked").alias("asked"))
-    points = summed.repartition(*keys, "bin")
-    probes = points.where("asked = 1") if gap else points
-    met = probes.select(*keys, "bin", "at", "fold").join(validity(points, keys, folds, most), [*keys, "bin"]).where("since < at AND at <= until")
+    before = bins_before(known, keys, folds, most)
+    summed = known.groupBy(*keys, "bin", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *([F.max("asked").alias("asked")] if gap else []))
+    points = summed.repartition(*slot)
+    probes = (points.where("asked = 1") if gap else points).select(*slot, "at", "fold", F.col("n").alias("n_then"), F.col("s").alias("s_then"))
+    met = probes.join(validity(points, slot, folds, before), slot).where("since < at AND at <= until")
     total = {c: sum((F.col(f"{c}{f}") for f in range(1, folds)), F.col(f"{c}0")) for c in "ns"}
     own = {c: F.coalesce(*[F.when(F.col("fold") == f, F.col(f"{c}{f}")) for f in range(folds)]) for c in "ns"}
-    return met.select(*keys, "at", "fold", *[(total[c] - own[c]).alias(c) for c in "ns"])
+    return met.select(*keys, "at", "fold", *[(total[c] - own[c]).alias(c) for c in "ns"], "n_then", "s_then")
 
 
 def rate(n: Column, s: Column, prior: Column) -> Column:
@@ -163,34 +179,36 @@ def encode_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
 
     def past(rows: DataFrame, key: str, most: int) -> DataFrame:
         found = history(rows, [key], F.col(f"{key}_level"), most, clock, folds, gap)
-        return _written(found.withColumnsRenamed({"n": f"{key}_n", "s": f"{key}_s"}))  # one small plan after the other
+        return _written(found.withColumnsRenamed({"n": f"{key}_n", "s": f"{key}_s"})).drop("n_then", "s_then")  # one small plan after the other
 
     # All history has one key; its bins are as many as all sales need.
     sales_level = by_sale.agg(level_of(F.count(F.lit(1)))).first()[0]
     every = by_sale.withColumns({"all_": F.lit(0), "all__level": F.lit(sales_level)})
+    def beside(out: DataFrame, rows: DataFrame, key: str, most: int, prior: str, count: str | None = None) -> DataFrame:
+        """``out`` with the key's rate, and its count if that has a name; the group or prior that nothing else reads is dropped."""
+        by = ["at", "fold", *([key] if key != "all_" else [])]  # times tell rows apart, so sorts compare them first
+        seen = rate(F.col(f"{key}_n"), F.col(f"{key}_s"), F.col(prior) if prior else F.lit(PRIOR).cast("bigint"))
+        kept = [c for c in out.columns if c not in ((key,) if count is None else (prior,))]
+        return out.join(past(rows, key, most), by).select(*kept, *([F.col(f"{key}_n").alias(count)] if count else []), seen.alias(f"{key}_rate"))
+
     of_client = by_sale.select("sale_id", "at", "fold", "client_id", "segment")
-    for found, key in ((past(every, "all_", sales_level).drop("all_"), None), (past(by_sale, "segment", segment_most), "segment"), (past(by_sale, "client_id", client_most), "client_id")):
-        of_client = of_client.join(found, [*([key] if key else []), "at", "fold"])
-    of_client = of_client.drop("client_id", "segment")
-    overall = rate(F.col("all__n"), F.col("all__s"), F.lit(PRIOR).cast("bigint"))
-    of_client = of_client.withColumn("prior", overall).withColumn("segment_rate", rate(F.col("segment_n"), F.col("segment_s"), F.col("prior")))
-    client_rate = rate(F.col("client_id_n"), F.col("client_id_s"), F.col("segment_rate"))
-    of_client = _written(of_client.select("sale_id", "at", "fold", "prior", F.col("client_id_n").alias("client_n"), client_rate.alias("client_rate")))
-    out = base.select("sale_id", "item_id", "vendor_id", "n", "s", "at", "fold", "kind", "nation")
-    for key, most in (("kind", kind_most), ("nation", nation_most), ("item_id", item_most), ("vendor_id", vendor_most)):
-        out = out.join(past(base, key, most), [key, "at", "fold"])
-    out = out.join(of_client, ["sale_id", "at", "fold"])
-    kind_rate = rate(F.col("kind_n"), F.col("kind_s"), F.col("prior"))
-    nation_rate = rate(F.col("nation_n"), F.col("nation_s"), F.col("prior"))
+    of_client = beside(of_client, every, "all_", sales_level, "")
+    of_client = beside(of_client, by_sale, "segment", segment_most, "all__rate")
+    of_client = beside(of_client, by_sale, "client_id", client_most, "segment_rate", "client_n")
+    of_client = _written(of_client.select("sale_id", "at", "fold", F.col("all__rate").alias("prior"), "client_n", F.col("client_id_rate").alias("client_rate")))
+    out = base.select("sale_id", "item_id", "vendor_id", "n", "s", "at", "fold", "kind", "nation").join(of_client, ["sale_id", "at", "fold"])
+    out = beside(out, base, "kind", kind_most, "prior")
+    out = beside(out, base, "nation", nation_most, "prior").drop("prior")
+    out = beside(out, base, "item_id", item_most, "kind_rate", "item_n")
+    out = beside(out, base, "vendor_id", vendor_most, "nation_rate", "vendor_n")
     return out.select(
         "sale_id", "item_id", F.when(F.col("vendor_id") != _FIRST, F.col("vendor_id")).alias("vendor_id"), F.col("n").alias("n_lines"), F.col("s").alias("n_returned"),
-        F.col("item_id_n").alias("item_n"), rate(F.col("item_id_n"), F.col("item_id_s"), kind_rate).alias("item_rate"),
-        F.col("vendor_id_n").alias("vendor_n"), rate(F.col("vendor_id_n"), F.col("vendor_id_s"), nation_rate).alias("vendor_rate"),
-        "client_n", "client_rate",
+        "item_n", F.col("item_id_rate").alias("item_rate"), "vendor_n", F.col("vendor_id_rate").alias("vendor_rate"), "client_n", "client_rate",
     )
 
 
 def _written(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession, "encoding")
-    df.write.option("compression", "lz4_raw").parquet(folder)
+    # A dictionary of times, ids or counts is as large as the column.
+    df.write.option("compression", "lz4_raw").option("parquet.enable.dictionary", "false").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
