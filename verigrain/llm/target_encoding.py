@@ -4,7 +4,7 @@ What happened before a moment is a step function of time. A validity table has i
 from an event's time plus the gap (exclusive) to the next change (inclusive). It is made and asked in time bins: a
 key of many rows has many short bins, so no task gets all its rows. An interval that reaches over the end of a bin is
 split there; what lies before a bin comes from prefix sums over bins, taken 256 at a time, level by level. A moment is
-looked up by a range join within its key and bin, and the component of its own fold is taken off that of the key.
+looked up by a range join within its key, bin and fold; the component of its own fold has been taken off that of the key.
 
 Rows of one key and moment are summed up before anything is sorted, so a hot sale is one step and one look-up.
 """
@@ -57,10 +57,6 @@ def _before(bins: DataFrame, keys: list[str], counts: list[str], level: int) ->
     return found.join(above, [*keys, "block"]).select(*keys, "bin", *[(F.col(c) + F.col(f"{c}_above")).alias(c) for c in counts])
 
 
-def _by_fold(folds: int) -> dict[str, Column]:
-    return {f"{c}{f}": F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in "ns" for f in range(folds)}
-
-
 def bins_before(rows: DataFrame, keys: list[str], folds: int, level: int) -> DataFrame | None:
     """Counts n0_before, s0_before, ... that a key has before each of its bins; None where each key has one bin.
 
@@ -69,27 +65,28 @@ def bins_before(rows: DataFrame, keys: list[str], folds: int, level: int) -> Dat
     """
     if not level:
         return None
-    each = _by_fold(folds)
+    each = {f"{c}{f}": F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0).cast("bigint")) for c in "ns" for f in range(folds)}
     bins = _written(rows.groupBy(*keys, "bin").agg(*[F.sum(x).alias(c) for c, x in each.items()]))
     return _before(bins, keys, list(each), level).withColumnsRenamed({c: f"{c}_before" for c in each})
 
 
 def validity(points: DataFrame, slot: list[str], folds: int, before: DataFrame | None) -> DataFrame:
-    """since (exclusive), until (inclusive) and counts n0, n1, ... and s0, s1, ... of each step by fold, split at bins.
+    """since (exclusive), until (inclusive) and counts n and s of other folds than ``fold`` in each step, split at bins.
 
-    ``points`` has a row for each ``slot`` (key and bin), time and fold, with n and s to be added after that time; ``before`` is that of ``bins_before``. A step ends at a point; no moment is asked for that is no point, so none is needed behind the last of a bin.
+    ``points`` has a row for each ``slot`` (key and bin), time and fold, with n and s to be added after that time; ``before`` is that of
+    ``bins_before``. A fold's component is a running sum of its own points. A step ends at a point of the fold; no moment is asked
+    for that is no point, so a fold needs no steps that end at points of others, and none behind the last of a bin.
     """
-    each = _by_fold(folds)
-    order = Window.partitionBy(*slot).orderBy("at")
-    earlier = order.rangeBetween(Window.unboundedPreceding, -1)  # no row of the same time
-    steps = points.select(
-        *slot, F.coalesce(F.max("at").over(earlier), F.lit(_FIRST)).alias("since"), F.col("at").alias("until"), F.lag("at").over(order).alias("above"),
-        *[F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(c) for c, x in each.items()],
-    )
-    steps = steps.where("above IS NULL OR above <> until").drop("above")  # one step of a time, however many folds it has
+    earlier = Window.partitionBy(*slot).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)  # no row of the same time
+    own = Window.partitionBy(*slot, "fold").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda x, rows: F.coalesce(F.sum(x).over(rows), F.lit(0))
+    steps = points.select(*slot, "fold", "at", "n", "s", F.coalesce(F.max("at").over(earlier), F.lit(_FIRST)).alias("since"), *[of(c, earlier).alias(f"{c}_all") for c in "ns"])
+    steps = steps.select(*slot, "fold", "since", F.col("at").alias("until"), *[(F.col(f"{c}_all") - of(c, own)).alias(c) for c in "ns"])
     if before is None:
         return steps
-    return steps.join(before, slot).select(*slot, "since", "until", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in each])
+    total = {c: sum((F.col(f"{c}{f}_before") for f in range(1, folds)), F.col(f"{c}0_before")) for c in "ns"}
+    part = {c: F.coalesce(*[F.when(F.col("fold") == f, F.col(f"{c}{f}_before")) for f in range(folds)]) for c in "ns"}
+    return steps.join(before, slot).select(*slot, "fold", "since", "until", *[(F.col(c) + total[c] - part[c]).alias(c) for c in "ns"])
 
 
 def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, clock: Clock, folds: int, gap: int = 0) -> DataFrame:
@@ -113,10 +110,8 @@ def history(rows: DataFrame, keys: Sequence[str], level: Column, most: int, cloc
     summed = known.groupBy(*keys, "bin", "at", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), *([F.max("asked").alias("asked")] if gap else []))
     points = summed.repartition(*slot)
     probes = (points.where("asked = 1") if gap else points).select(*slot, "at", "fold", F.col("n").alias("n_then"), F.col("s").alias("s_then"))
-    met = probes.join(validity(points, slot, folds, before), slot).where("since < at AND at <= until")
-    total = {c: sum((F.col(f"{c}{f}") for f in range(1, folds)), F.col(f"{c}0")) for c in "ns"}
-    own = {c: F.coalesce(*[F.when(F.col("fold") == f, F.col(f"{c}{f}")) for f in range(folds)]) for c in "ns"}
-    return met.select(*keys, "at", "fold", *[(total[c] - own[c]).alias(c) for c in "ns"], "n_then", "s_then")
+    met = probes.join(validity(points, slot, folds, before), [*slot, "fold"]).where("since < at AND at <= until")
+    return met.select(*keys, "at", "fold", "n", "s", "n_then", "s_then")
 
 
 def rate(n: Column, s: Column, prior: Column) -> Column:
@@ -179,7 +174,8 @@ def encode_lines(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors:
 
     def past(rows: DataFrame, key: str, most: int) -> DataFrame:
         found = history(rows, [key], F.col(f"{key}_level"), most, clock, folds, gap)
-        return _written(found.withColumnsRenamed({"n": f"{key}_n", "s": f"{key}_s"})).drop("n_then", "s_then")  # one small plan after the other
+        with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):  # dealt by key and bin, joined by fold too
+            return _written(found.withColumnsRenamed({"n": f"{key}_n", "s": f"{key}_s"})).drop("n_then", "s_then")  # one small plan after the other
 
     # All history has one key; its bins are as many as all sales need.
     sales_level = by_sale.agg(level_of(F.count(F.lit(1)))).first()[0]
