@@ -1,12 +1,14 @@
 """Small graphs worked by hand or by brute force."""
 
 import itertools
+import random
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from verigrain.operators import graph as G
+from verigrain.operators import paths
 from verigrain.operators.components import connected_components
 from verigrain.plans.durable import durable
 
@@ -162,3 +164,15 @@ def test_communities(spark):
         assert sorted(map(sorted, groups.values())) == [list(range(k * 10, k * 10 + 5)) for k in range(4)]
         assert G.modularity(edges, found) > G.modularity(edges, whole)
         assert sorted(map(tuple, way(edges).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_betweenness_in_tasks_and_by_joins(spark, monkeypatch):
+    """Components that share a task, one that several tasks have, and one beyond the bound of a task, in one graph."""
+    r = random.Random(9)
+    crowd = sorted({tuple(sorted(r.sample(range(100, 130), 2))) for _ in range(60)})
+    pairs = [(k, (k + 1) % 6) for k in range(6)] + [(10, 11), (11, 12), (20, 21)] + crowd
+    wanted = pytest.approx(brandes(pairs))
+    for in_task, a_task, cells in ((1000, 10**8, 10**6), (1000, 300, 40), (20, 300, 40), (0, 10**8, 10**6)):
+        monkeypatch.setattr(paths, "EDGES_A_TASK", a_task)
+        monkeypatch.setattr(paths, "CELLS", cells)
+        assert {x[0]: x[1] for x in G.betweenness(edges_of(spark, pairs), edges_in_task=in_task).collect()} == wanted
